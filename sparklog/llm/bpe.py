@@ -123,24 +123,24 @@ def vocabulary(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-def _joined(rows: list[tuple[tuple[int, ...], str]]) -> tuple[tuple[int, ...], str]:
-    return tuple(chain.from_iterable(r[0] for r in rows)), ",".join(r[1] for r in rows)
-
-
 @functools.cache
 def _id_cache(path: str) -> PieceCache:
+    """Values: the ids, and the ids as decimals joined by commas."""
     v = vocabulary(path)
 
     def encode(words: list[str]) -> list:
         return [(ids := v.merge(w.encode()), ",".join(map(str, ids))) for w in words]
 
-    return PieceCache(encode, _joined, limit=300_000)
+    def join(rows: list) -> tuple:
+        return tuple(chain.from_iterable([r[0] for r in rows])), ",".join([r[1] for r in rows])
+
+    return PieceCache(encode, join, limit=400_000)
 
 
 def encode_texts(path: str, texts: list[str | None]) -> Iterator[list[int]]:
     """Ids of each text."""
     for row in _id_cache(path).batch(texts):
-        yield list(chain.from_iterable(ids for ids, _ in row))
+        yield list(chain.from_iterable([ids for ids, _ in row]))
 
 
 def decode_ids(path: str, ids: list[int]) -> bytes:

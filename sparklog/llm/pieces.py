@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import regex
 
@@ -16,18 +16,29 @@ _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
 
 def cut(text: str) -> list[str]:
-    """Pieces of ``text``, in order, whose encodings join to the encoding of the whole.
+    """Keys of the pieces of ``text``, in order; their encodings join to the encoding of the whole.
 
     A blank starts a pre-token or belongs to a run of white space, so a cut between a
     character that isn't white space and a blank never splits a pre-token; each piece
     sees the same pre-tokens as within the whole text.
+
+    A key stands for a blank and itself, or, after a NUL, for the rest as it is.  So most
+    texts are cut by one ``split``.
     """
     if not text:
         return []
-    if _SPACE_AFTER_SPACE.search(text):
-        return _BEFORE_SPACE.split(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
+    if "\0" in text or _SPACE_AFTER_SPACE.search(text):
+        return ["\0" + p for p in _BEFORE_SPACE.split(text)]
+    keys = text.split(" ")
+    if keys[0]:
+        keys[0] = "\0" + keys[0]
+    else:
+        del keys[0]
+    return keys
+
+
+def piece_of(key: str) -> str:
+    return key[1:] if key[:1] == "\0" else " " + key
 
 
 class PieceCache:
@@ -44,28 +55,36 @@ class PieceCache:
         self.words: dict[str, object] = {}
 
     def _learn(self, missing: set[str]) -> None:
-        split = {p: [p] if any(s in p for s in self.special) else _WORDS.findall(p) for p in missing}
+        split = {}
+        for key in missing:
+            piece = piece_of(key)
+            split[key] = [piece] if any(s in piece for s in self.special) else _WORDS.findall(piece)
         new = list({w for ws in split.values() for w in ws if w not in self.words})
         self.words.update(zip(new, self.encode(new), strict=True))
-        for piece, ws in split.items():
-            self.pieces[piece] = self.words[ws[0]] if len(ws) == 1 else self.join([self.words[w] for w in ws])
+        for key, ws in split.items():
+            self.pieces[key] = self.words[ws[0]] if len(ws) == 1 else self.join([self.words[w] for w in ws])
         for w in new:
             if len(w) > self.longest:
                 del self.words[w]
 
-    def batch(self, texts: Iterable[str | None]) -> Iterator[list]:
+    def batch(self, texts: Iterable[str | None]) -> list[list]:
         """For each text the values of its pieces."""
         for kept in (self.pieces, self.words):
             if len(kept) > self.limit:
                 kept.clear()
-        cuts = [cut(t or "") for t in texts]
-        known = self.pieces
-        missing = {p for c in cuts for p in c if p not in known}
+        known, rows, missing = self.pieces, [], set()
+        for text in texts:
+            keys = cut(text or "")
+            values = list(map(known.get, keys))
+            if None in values:
+                missing.update(k for k, v in zip(keys, values, strict=True) if v is None)
+                rows.append(keys)
+            else:
+                rows.append((values,))
         if missing:
             self._learn(missing)
-        get = known.__getitem__
-        for c in cuts:
-            yield list(map(get, c))
-        for p in missing:
-            if len(p) > self.longest:
-                known.pop(p, None)
+        out = [row[0] if type(row) is tuple else list(map(known.__getitem__, row)) for row in rows]
+        for key in missing:
+            if len(key) > self.longest:
+                known.pop(key, None)
+        return out
