@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
     """Cut Arrow batches so that each slice holds about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:
         start, held = 0, 0
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
         for i, size in enumerate(sizes.to_pylist()):
             held += size or 0
             if held >= limit:

@@ -14,6 +14,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +96,7 @@ def op8(df: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            size = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             n = lengths(path, [t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
