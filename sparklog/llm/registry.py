@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklog.llm import bpe, token_counts, token_files
+from sparklog.llm import bpe, near_dedup, token_counts, token_files
 from sparklog.llm.common import table, tokenizer_path
 
 
@@ -22,8 +22,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_files, op8_token_counts, op9_byte_bpe)}
+    return {f.__name__: f for f in (op7_token_files, op8_token_counts, op9_byte_bpe, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
