@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklog.llm import bpe, fingerprint, language, near_dedup, token_counts, token_files
+from sparklog.llm import bpe, fingerprint, language, near_dedup, token_counts, token_files, toxicity
 from sparklog.llm.common import table, tokenizer_path
 
 
@@ -18,6 +18,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op7(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -35,7 +39,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_fingerprints, op7_token_files, op8_token_counts, op9_byte_bpe, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op3_fingerprints, op4_toxicity, op7_token_files, op8_token_counts, op9_byte_bpe, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
