@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklog.llm import bpe, fingerprint, language, near_dedup, token_counts, token_files, toxicity
+from sparklog.llm import bpe, decontaminate, fingerprint, html_text, language, near_dedup, token_counts, token_files, toxicity
 from sparklog.llm.common import table, tokenizer_path
 
 
@@ -22,6 +22,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op5(table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op7(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -39,7 +47,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_fingerprints, op4_toxicity, op7_token_files, op8_token_counts, op9_byte_bpe, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op3_fingerprints, op4_toxicity, op5_html_extraction, op6_decontamination, op7_token_files, op8_token_counts, op9_byte_bpe, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
