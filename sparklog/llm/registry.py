@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklog.llm import bpe, decontaminate, fingerprint, html_text, language, near_dedup, token_counts, token_files, toxicity
+from sparklog.llm import bpe, decontaminate, fingerprint, html_text, language, line_dedup, near_dedup, token_counts, token_files, toxicity
 from sparklog.llm.common import table, tokenizer_path
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op3(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,8 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_fingerprints, op4_toxicity, op5_html_extraction, op6_decontamination, op7_token_files, op8_token_counts, op9_byte_bpe, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_fingerprints, op4_toxicity, op5_html_extraction, op6_decontamination, op7_token_files, op8_token_counts, op9_byte_bpe, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL}
