@@ -66,10 +66,10 @@ def as_of(df: DataFrame, versions: DataFrame, keys: list[str], values: list[str]
     """
     extra = [c for c in df.columns if c not in (*keys, s, tie)]
     mark = F.struct(*[F.col(c) for c in values])
-    a = df.select(*keys, s, tie, F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in extra]).alias("_row"), F.lit(None).cast(versions.select(mark.alias("m")).schema["m"].dataType).alias("_v"))
-    b = versions.select(*keys, s, tie, F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), mark.alias("_v"))
+    a = df.select(*keys, s, tie, F.lit(0).alias("_side"), F.struct(*[F.col(c) for c in extra]).alias("_row"), F.lit(None).cast(versions.select(mark.alias("m")).schema["m"].dataType).alias("_v"))
+    b = versions.select(*keys, s, tie, F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), mark.alias("_v"))
     before = W.partitionBy(*keys).orderBy(s, tie, "_side").rowsBetween(W.unboundedPreceding, -1)
-    found = a.unionByName(b).withColumn("_f", F.last("_v", ignorenulls=True).over(before)).where("_side = 1")
+    found = a.unionByName(b).withColumn("_f", F.last("_v", ignorenulls=True).over(before)).where("_side = 0")
     return found.select(*keys, s, tie, *[F.col(f"_row.{c}").alias(c) for c in extra], *[F.col(f"_f.{c}").alias(f"found_{c}") for c in values])
 
 

@@ -70,10 +70,11 @@ def logon_id_join(spark, sf_dir):
     return rows.where("event_code = 4624").drop("event_code").join(rows.where("event_code = 4672").select(F.col("record_id").alias("privilege"), "computer", "logon_id"), ["computer", "logon_id"]).select("record_id", "privilege")
 
 
-@query("SELECT DISTINCT i.user_name FROM security_log i WHERE i.sec >= 1705363200 AND i.event_code = 4720 AND NOT EXISTS (SELECT 1 FROM security_log b WHERE b.sec < 1705363200 AND b.event_code = 4720 AND b.user_name = i.user_name)")
+@query("SELECT DISTINCT user_name, process_name FROM security_log i WHERE i.sec >= 1705363200 AND i.event_code = 4720 AND NOT EXISTS (SELECT 1 FROM security_log b WHERE b.sec < 1705363200 AND b.event_code = 4720 AND b.user_name = i.user_name AND b.process_name = i.process_name)")
 def only_in_incident(spark, sf_dir):
-    rows = log(spark, sf_dir).where("event_code = 4720").select("user_name", "sec")
-    return rows.where("sec >= 1705363200").select("user_name").join(rows.where("sec < 1705363200"), "user_name", "left_anti").distinct()
+    rows = log(spark, sf_dir).where("event_code = 4720").select("user_name", "process_name", "sec")
+    keys = ["user_name", "process_name"]
+    return rows.where("sec >= 1705363200").select(*keys).join(rows.where("sec < 1705363200"), keys, "left_anti").distinct()
 
 
 @query("SELECT user_name FROM security_log WHERE event_code = 4720 INTERSECT SELECT user_name FROM security_log WHERE event_code = 4625 AND level = 2 AND sec > 1705363200")
