@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparklog.plans import detection, filtering, indicators, joining, profiling  # noqa: F401
+from sparklog.plans import detection, filtering, indicators, joining, moving, profiling  # noqa: F401
 from sparklog.plans.base import ORACLES, QUERIES
 
 
