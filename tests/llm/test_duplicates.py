@@ -153,7 +153,7 @@ def test_line_dedup(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, l int")
     expected = line_brute(rows)
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.op2(df).collect()} == expected
-    monkeypatch.setattr(line_dedup, "COMMON", 0)  # all words are common
+    monkeypatch.setattr(line_dedup, "COMMON", 1)  # all shared words are common
     monkeypatch.setattr(line_dedup, "SMALL", 1)  # no table is broadcast
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.op2(df).collect()} == expected
     assert line_dedup.without_repeated_lines(df).columns == ["doc_id", "text", "l", "n_lines", "n_removed"]
