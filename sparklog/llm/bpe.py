@@ -16,8 +16,8 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,42 +123,56 @@ def vocabulary(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
+class Table:
+    """Byte strings by id, to be gathered for a whole text at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(s) for s in strings], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.blob = np.frombuffer(b"".join(strings), np.uint8)
+
+    def gather(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        return self.blob[np.arange(total) + np.repeat(self.at[ids] - (end - size), size)]
+
+
 @functools.cache
-def _id_cache(path: str) -> PieceCache:
-    """Values: the ids, and the ids as decimals joined by commas."""
+def _tables(path: str) -> tuple[Table, Table]:
+    """The bytes of each id, and each id as a decimal and a comma."""
     v = vocabulary(path)
+    n = max(v.bytes) + 1
+    return Table([v.bytes.get(i, b"") for i in range(n)]), Table([b"%d," % i for i in range(n)])
 
-    def encode(words: list[str]) -> list:
-        return [(ids := v.merge(w.encode()), ",".join(map(str, ids))) for w in words]
 
-    def join(rows: list) -> tuple:
-        return tuple(chain.from_iterable([r[0] for r in rows])), ",".join([r[1] for r in rows])
-
-    return PieceCache(encode, join, limit=400_000)
+@functools.cache
+def _id_cache(path: str) -> PieceCache:
+    v = vocabulary(path)
+    return PieceCache(lambda words: [np.array(v.merge(w.encode()), np.int32).tobytes() for w in words], b"".join)
 
 
-def encode_texts(path: str, texts: list[str | None]) -> Iterator[list[int]]:
+def encode_texts(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
     """Ids of each text."""
     for row in _id_cache(path).batch(texts):
-        yield list(chain.from_iterable([ids for ids, _ in row]))
+        yield np.frombuffer(b"".join(row), np.int32)
 
 
-def decode_ids(path: str, ids: list[int]) -> bytes:
-    return b"".join(map(vocabulary(path).bytes.__getitem__, ids))
+def decode_ids(path: str, ids: np.ndarray) -> bytes:
+    return _tables(path)[0].gather(ids).tobytes()
 
 
 def bpe_round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids if ``keep_ids``) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoded = vocabulary(path).bytes.__getitem__
+        decimal = _tables(path)[1]
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             n, ids_sha, text_sha, kept = [], [], [], []
-            for row in _id_cache(path).batch(batch.column(1).to_pylist()):
-                ids = list(chain.from_iterable([x[0] for x in row]))
+            for ids in encode_texts(path, batch.column(1).to_pylist()):
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join([x[1] for x in row]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(map(decoded, ids))).hexdigest())
+                ids_sha.append(hashlib.sha256(decimal.gather(ids)[:-1].tobytes()).hexdigest())
+                text_sha.append(hashlib.sha256(decode_ids(path, ids)).hexdigest())
                 if keep_ids:
                     kept.append(ids)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]

@@ -42,36 +42,50 @@ def piece_of(key: str) -> str:
 
 
 class PieceCache:
-    """Encoded value of each piece, kept for the life of a Python worker within ``limit`` entries.
+    """Encoded value of each piece, kept for the life of a Python worker.
 
     ``encode`` gets a list of unseen pre-tokens and returns their values; ``join`` adds up the
     values of a piece's pre-tokens.  A piece that holds one of ``special`` goes to ``encode``
-    whole.  Pieces over ``longest`` characters are forgotten after their batch.
+    whole.  Pieces over ``longest`` characters are forgotten after their batch.  What was not
+    met again while ``limit`` others were is forgotten.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], join: Callable[[list], object], special: tuple[str, ...] = (), limit: int = 600_000, longest: int = 40):
+    def __init__(self, encode: Callable[[list[str]], list], join: Callable[[list], object], special: tuple[str, ...] = (), limit: int = 500_000, longest: int = 40):
         self.encode, self.join, self.special, self.limit, self.longest = encode, join, special, limit, longest
         self.pieces: dict[str, object] = {}
         self.words: dict[str, object] = {}
+        self.old_pieces: dict[str, object] = {}
+        self.old_words: dict[str, object] = {}
 
     def _learn(self, missing: set[str]) -> None:
-        split = {}
+        split, new = {}, set()
+        pieces, words, old_pieces, old_words = self.pieces, self.words, self.old_pieces, self.old_words
         for key in missing:
+            if (value := old_pieces.get(key)) is not None:
+                pieces[key] = value
+                continue
             piece = piece_of(key)
-            split[key] = [piece] if any(s in piece for s in self.special) else _WORDS.findall(piece)
-        new = list({w for ws in split.values() for w in ws if w not in self.words})
-        self.words.update(zip(new, self.encode(new), strict=True))
-        for key, ws in split.items():
-            self.pieces[key] = self.words[ws[0]] if len(ws) == 1 else self.join([self.words[w] for w in ws])
-        for w in new:
+            split[key] = own = [piece] if any(s in piece for s in self.special) else _WORDS.findall(piece)
+            for w in own:
+                if w not in words:
+                    if (value := old_words.get(w)) is not None:
+                        words[w] = value
+                    else:
+                        new.add(w)
+        fresh = list(new)
+        words.update(zip(fresh, self.encode(fresh), strict=True))
+        for key, own in split.items():
+            pieces[key] = words[own[0]] if len(own) == 1 else self.join([words[w] for w in own])
+        for w in fresh:
             if len(w) > self.longest:
-                del self.words[w]
+                del words[w]
 
     def batch(self, texts: Iterable[str | None]) -> list[list]:
         """For each text the values of its pieces."""
-        for kept in (self.pieces, self.words):
-            if len(kept) > self.limit:
-                kept.clear()
+        if len(self.pieces) > self.limit:
+            self.old_pieces, self.pieces = self.pieces, {}
+        if len(self.words) > self.limit:
+            self.old_words, self.words = self.words, {}
         known, rows, missing = self.pieces, [], set()
         for text in texts:
             keys = cut(text or "")
