@@ -1,11 +1,16 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full sets, union-find groups.
 
 Documents of equal shingle sets are one class, named by its least doc_id.  Classes that
-share a band are candidates.  First every class is held against the least and the greatest
-class of its band (two pairs per row, however large the band is), and what is confirmed is
-grouped.  Then pairs of a band whose classes are still in different groups are held against
-each other, so that no link is lost; pairs within a group would not change the result.
-Every link is confirmed on the full sets: ``100 * common >= percent * union``.
+share a band are candidates.  First every class is held against three classes of its band,
+however large the band is: the hub (the one that shares bands with most others, as the
+original of many copies does), the least and the greatest; what is confirmed is grouped.
+Where a band holds more than one group still, each class is held against two more, drawn for
+each band by a hash.  Then pairs of a band whose classes are still in different groups are
+held against each other, so that no link is lost; pairs within a group would not change the
+result.  Of these,
+pairs whose signatures agree in far fewer places than similar sets' do (six standard
+deviations) are left out.  Every link is confirmed on the full sets:
+``100 * common >= percent * union``.
 
 128 places in 32 bands of 4: two sets of similarity 0.75 share no band with probability 5e-6.
 
@@ -16,6 +21,7 @@ repeat a doc_id are one document, linked when any of its texts is.  Null doc_ids
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 from sparklog.llm.common import by_bytes, materialize
 from sparklog.llm.components import components
 from sparklog.llm.shingles import shingle_sets
-from sparklog.llm.superminhash import band_keys, signatures
+from sparklog.llm.superminhash import band_keys, nibbles, signatures
 
 BATCH_BYTES = 1 << 20
 _NO_ID = -(1 << 63)
@@ -38,14 +44,22 @@ def _sketches(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             elements, at = shingle_sets(batch.column(1), words)
-            keys = band_keys(signatures(elements, at, bands * rows), rows).view(np.int64)
+            sig = signatures(elements, at, bands * rows)
+            keys, code = band_keys(sig, rows).view(np.int64), nibbles(sig).view(np.int64)
             size = np.diff(at)
             ids = [hashlib.blake2b(elements[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            flat = pa.array(np.ascontiguousarray(keys).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * bands, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), lists], names=["doc_id", "n_shingles", "set_id", "bands"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (keys, code)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), *lists], names=["doc_id", "n_shingles", "set_id", "bands", "code"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return df.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>, code array<long>")
+
+
+def _agree(places: int, percent: int) -> str:
+    """Whether the codes of x and y agree in as many places as those of similar sets do."""
+    each = [f"bit_count((x.code[{i}] ^ y.code[{i}] | shiftrightunsigned(x.code[{i}] ^ y.code[{i}], 1) | shiftrightunsigned(x.code[{i}] ^ y.code[{i}], 2) | shiftrightunsigned(x.code[{i}] ^ y.code[{i}], 3)) & 1229782938247303441L)" for i in range(places // 16)]
+    share = percent / 100 + (1 - percent / 100) / 16
+    least = math.floor(places * share - 6 * math.sqrt(places * share * (1 - share)))
+    return f"{places} - ({' + '.join(each)}) >= {least}"
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
@@ -71,28 +85,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     sketches = materialize(_sketches(texts, words, bands, rows), "sketches")
-    classes = materialize(
-        sketches.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
-        "classes",
-    )
+    first = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("bands", "bands"), ("code", "code"))]
+    classes = materialize(sketches.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), *first), "classes")
     members = classes.select("node", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    shared = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size")).where("least <> most")
     members = materialize(members.join(shared, "band"), "bands")
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = members.select("band", "node").join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", F.bitwise_not("node").alias("inverse"))).alias("h"))
+    hubs = hubs.select("band", F.bitwise_not("h.inverse").alias("hub"))
     needed = members.select("node").distinct()
     chosen = texts.join(needed.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = materialize(_sets(chosen, words), "sets")
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = members.select(*pair("node", "least")).union(members.select(*pair("node", "most"))).where("a <> b").distinct()
+    centres = F.explode(F.array("hub", "least", "most")).alias("centre")
+    stars = materialize(members.join(hubs, "band").select("node", centres).where("node <> centre").select(*pair("node", "centre")).distinct(), "stars")
     links = materialize(_confirmed(stars, sets, percent), "confirmed")
-    groups = components(links)
-    named = members.join(groups, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("group"))
-    # bands that hold more than one group still
-    mixed = named.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("band")
-    open_ = materialize(named.join(mixed, "band", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    alike = F.expr(f"x.band = y.band and x.group < y.group and 100 * least(x.n, y.n) >= {int(percent)} * greatest(x.n, y.n)")
-    rest = x.join(y, alike).select(*pair("x.node", "y.node")).distinct().join(stars, ["a", "b"], "left_anti")
+    members = members.select("band", "node", "n")
+    codes = classes.select("node", "code")
+    alike = f"x.band = y.band and x.group < y.group and 100 * least(x.n, y.n) >= {int(percent)} * greatest(x.n, y.n) and {_agree(bands * rows, percent)}"
+
+    def still_open(links: DataFrame) -> DataFrame:
+        """Rows of the bands that hold more than one group still."""
+        named = members.join(components(links), "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("group"))
+        mixed = named.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("band")
+        return materialize(named.join(mixed, "band", "left_semi").join(codes, "node"), "open")
+
+    open_ = still_open(links)
+    order = lambda j: F.xxhash64("node", "band", F.lit(j))
+    each = F.struct("node", "n", "code", "group")
+    some = open_.groupBy("band").agg(F.array(*[F.min_by(each, order(j)) for j in range(2)]).alias("c")).select("band", F.explode("c").alias("c")).select("band", "c.*")
+    near = open_.alias("x").join(some.alias("y"), F.expr(alike.replace("x.group < y.group", "x.group <> y.group")))
+    near = materialize(near.select(*pair("x.node", "y.node")).distinct().join(stars, ["a", "b"], "left_anti"), "stars")
+    links = materialize(links.union(_confirmed(near, sets, percent)), "confirmed")
+    open_ = still_open(links)
+    rest = open_.alias("x").join(open_.alias("y"), F.expr(alike)).select(*pair("x.node", "y.node")).distinct()
+    rest = rest.join(stars.union(near), ["a", "b"], "left_anti")
     links = links.union(materialize(_confirmed(rest, sets, percent), "confirmed"))
     groups = materialize(components(links), "groups")
 
