@@ -11,7 +11,7 @@ classes are joined on those, and kept as candidates by length, by the words' pos
 by a 64-bit parity map (sets that differ in ``k`` words differ in at most ``k`` bits).  Then
 the full sets decide.
 
-Words that are among the first of very many classes would give a pair for any two of these.
+Words that are among the first of more than ``COMMON`` classes would give a pair for any two.
 There each class is held against the first class of the word alone; those that find a match
 are settled, as one earlier match is enough, and only the others are held against all
 earlier ones.
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from sparklog.llm.common import materialize
 
 PERCENT = 85
-#: Buckets of the word sketch and of the join keys' sketch.
+#: Buckets of the word sketch.
 BUCKETS = 1 << 16
-#: Postings of a bucket from which its words count as common.
-COMMON = 4096
+#: Classes that a word is among the first of, from which it counts as common.
+COMMON = 16
 #: Rows up to which a table of ids is broadcast.
 SMALL = 200_000
 _NO_ID = -(1 << 63)
@@ -41,8 +41,10 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\r\x0b\x0c"
 _PLAIN = "abcdefghijklmnopqrstuvwxyz    "
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.translate(text, _UPPER, _PLAIN), " ")), "")
+def _hashes(text: Column) -> Column:
+    """Hashes of the distinct words of a line."""
+    found = F.transform(F.split(F.translate(text, _UPPER, _PLAIN), " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(found), F.xxhash64(F.lit("")))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -50,27 +52,24 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(at, F.posexplode(F.split("text", "\n")).alias("l", "line"))
 
 
-def _flag(table: bytes, value: Column) -> Column:
-    """The entry of ``value``'s bucket in a table of one ASCII character per bucket."""
-    return F.ascii(F.substring(F.lit(table), F.pmod(value, F.lit(len(table))).cast("int") + 1, F.lit(1)).cast("string"))
-
-
-def _levels(docs: DataFrame) -> bytes:
+def _levels(docs: DataFrame) -> list[int]:
     """Per bucket of word hashes the logarithm of how often its words occur, counted over all documents."""
     words = docs.select(F.explode(F.split(F.translate("text", _UPPER + "\n", _PLAIN + " "), " ")).alias("word")).where("word <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).count().collect()
-    levels = bytearray(b"0" * BUCKETS)
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect()
+    levels = [0] * BUCKETS
     for r in counts:
-        levels[r.bucket] = 48 + int(math.log2(r["count"] + 1))
-    return bytes(levels)
+        levels[r.bucket] = int(math.log2(r["count"] + 1))
+    return levels
 
 
-def _sets(docs: DataFrame, levels: bytes, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, levels: list[int], percent: int) -> DataFrame:
     """d, l of each line with words; its class key k1, k2; n words, parity map and first words."""
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    table = F.split(F.lit(",".join(str(x << 57) for x in levels)), ",").cast("array<long>")  # folded to a constant
     low = (1 << 57) - 1
-    ranked = F.transform(hashes, lambda h: F.shiftleft((_flag(levels, h) - 48).cast("long"), 57).bitwiseOR(h.bitwiseAND(F.lit(low))))
-    rows = _lines(docs).select("d", "l", F.sort_array(ranked).alias("codes")).where(F.size("codes") > 0)
+    ranked = F.transform(_hashes(F.col("line")), lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(low))))
+    # asked of the line itself: a filter on the codes would be pushed down and compute them twice
+    worded = _lines(docs).where(F.trim(F.translate("line", _UPPER, _PLAIN)) != "")
+    rows = worded.select("d", "l", F.sort_array(ranked).alias("codes"))
     n = F.size("codes")
     first = n - F.floor((percent * n + 99) / 100).cast("int") + 1
     parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
@@ -98,7 +97,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     ends = materialize(ends, "ends")
     wanted = materialize(ends.select(F.col("d").alias("doc_id")).distinct(), "wanted")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text").join(_checked(wanted), "doc_id", "left_semi")
-    sets = _lines(texts).join(ends, ["d", "l"], "left_semi").select("d", "l", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
+    sets = _lines(texts).join(ends, ["d", "l"], "left_semi").select("d", "l", _hashes(F.col("line")).alias("words"))
     sets = materialize(sets, "sets")
     x = sets.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("words").alias("xw"))
     y = sets.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("words").alias("yw"))
@@ -114,23 +113,21 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = sets.groupBy("k1", "k2").agg(F.min(F.struct("d", "l")).alias("at"), *pick)
     classes = materialize(classes.select("k1", "k2", "at.d", "at.l", "n", "parity", "prefix"), "classes")
     postings = classes.select("d", "l", "n", "parity", F.posexplode("prefix").alias("i", "key")).withColumn("i", F.col("i") + 1)
-    sizes = postings.groupBy(F.pmod("key", F.lit(BUCKETS)).alias("bucket")).count().where(F.col("count") > COMMON).collect()
-    flags = bytearray(b"0" * BUCKETS)
-    for r in sizes:
-        flags[r.bucket] = 49
-    is_common = _flag(bytes(flags), F.col("key")) == 49
-    rare, common = postings.where(~is_common), postings.where(is_common)
+    large = materialize(postings.groupBy("key").count().where(F.col("count") > COMMON).select("key"), "keys")
+    some = not large.isEmpty()
+    rare = postings.join(_checked(large), "key", "left_anti") if some else postings
+    common = postings.join(_checked(large), "key", "left_semi") if some else postings.limit(0)
 
     ends = [F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "xy" for c in "dl"]
     earlier = F.expr("x.d < y.d or x.d = y.d and x.l < y.l")
     same_key = F.expr("x.key = y.key")
     pairs = rare.alias("x").join(rare.alias("y"), same_key & earlier & _alike(percent)).select(*ends)
-    if sizes:
+    if some:
         heads = common.groupBy("key").agg(F.min(F.struct("d", "l", "n", "parity", "i")).alias("h")).select("key", "h.*")
         pairs = pairs.union(common.alias("y").join(heads.alias("x"), same_key & earlier & _alike(percent)).select(*ends))
     pairs = materialize(pairs.distinct(), "pairs")
     matched = materialize(_confirmed(docs, pairs, percent).select(F.col("yd").alias("d"), F.col("yl").alias("l")).distinct(), "matched")
-    if sizes:
+    if some:
         open_ = common.join(matched, ["d", "l"], "left_anti")
         rest = common.alias("x").join(open_.alias("y"), same_key & earlier & _alike(percent)).select(*ends).distinct()
         rest = materialize(rest.join(pairs, ["xd", "xl", "yd", "yl"], "left_anti"), "pairs")
