@@ -26,6 +26,19 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], seconds: i
     return a.join(b, on).drop("_b", "_c")
 
 
+def chains(pairs: DataFrame, by: str, shown: str, most: int, last: bool = False) -> DataFrame:
+    """One row per event ``by`` (prefix l or r) of interval-joined ``pairs``: first_id, computer, the number of all its
+    matches, and the ids of the ``most`` first (or ``last``) of them in time order.
+
+    Only the list is short; no chain and no match in the number is left out.
+    """
+    key, order = f"{by}_record_id", [F.col(f"{shown}_sec"), F.col(f"{shown}_record_id")]
+    ranked = pairs.withColumn("_p", F.row_number().over(W.partitionBy(key).orderBy(*[c.desc() if last else c.asc() for c in order])))
+    entry = F.when(F.col("_p") <= most, F.struct(order[0].alias("s"), order[1].alias("id")))
+    grouped = ranked.groupBy(F.col(key).alias("first_id"), F.col(f"{by}_computer").alias("computer"))
+    return grouped.agg(F.count("*").alias("matches"), F.sort_array(F.collect_list(entry))["id"].alias("shown"))
+
+
 def bursts(df: DataFrame, keys: list[str], seconds: int, least: int, s: str = "sec", tie: str = "record_id", distinct: str | None = None, least_distinct: int = 0, closes: Column | None = None) -> DataFrame:
     """Greedy bursts per key: from a row take all within ``seconds``; with ``least`` rows emit them and go on
     after the last, else go on at the next row.

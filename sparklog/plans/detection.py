@@ -115,7 +115,8 @@ def chain_brute_force(spark, sf_dir):
     return found.groupBy(F.col("l_computer").alias("computer"), F.col("l_user_name").alias("user_name"), F.col("l_record_id").alias("first_id")).agg(F.min("r_record_id").alias("success_id"))
 
 
-def _chain(name, first, then, keys, seconds, first_sql, then_sql, most=3):
+def _chain(name, first, then, keys, seconds, first_sql, then_sql, most=3, shown=2, clearing=False):
+    """Registers ``name``, the pairs with at most ``most`` first events per later one, and ``name_whole``, every chain."""
     on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
 
     def run(spark, sf_dir):
@@ -126,10 +127,21 @@ def _chain(name, first, then, keys, seconds, first_sql, then_sql, most=3):
     run.__doc__ = f"{then} within {seconds} s after {first} of the same {', '.join(keys)}; the {most} first per later event."
     query(f"SELECT * FROM (SELECT a.record_id AS first_id, b.record_id AS then_id, b.computer, row_number() OVER (PARTITION BY b.record_id ORDER BY a.sec, a.record_id) AS place FROM security_log a JOIN security_log b ON {on} AND b.sec BETWEEN a.sec AND a.sec + {seconds} WHERE {first_sql} AND {then_sql}) WHERE place <= {most}")(run)
 
+    by, other, way, before = ("b", "a", "DESC", " AND a.sec < b.sec") if clearing else ("a", "b", "ASC", "")
 
-_chain("chain_service_install", "event_code = 4624 and logon_type = '3' and ip_address <> '127.0.0.1'", "event_code = 4720 and process_name in ('svch0st.exe', 'rundll32.exe')", ["computer"], HOUR, "a.event_code = 4624 AND a.logon_type = '3' AND a.ip_address <> '127.0.0.1'", "b.event_code = 4720 AND b.process_name IN ('svch0st.exe', 'rundll32.exe')")
+    def whole(spark, sf_dir):
+        strictly = F.col("l_sec") < F.col("r_sec") if clearing else None
+        pairs = _pairs(spark, sf_dir, first, then, keys, seconds, strictly)
+        return Q.chains(pairs, "r", "l", shown, last=True) if clearing else Q.chains(pairs, "l", "r", shown)
+
+    whole.__name__ = f"{name}_whole"
+    whole.__doc__ = f"Every {'clearing' if clearing else 'first'} event of {name} with the number of all its matches; {shown} of them shown."
+    query(f"SELECT first_id, computer, count(*) AS matches, list(id ORDER BY sec, id) FILTER (place <= {shown}) AS shown FROM (SELECT {by}.record_id AS first_id, {by}.computer, {other}.sec, {other}.record_id AS id, row_number() OVER (PARTITION BY {by}.record_id ORDER BY {other}.sec {way}, {other}.record_id {way}) AS place FROM security_log a JOIN security_log b ON {on} AND b.sec BETWEEN a.sec AND a.sec + {seconds}{before} WHERE {first_sql} AND {then_sql}) GROUP BY ALL")(whole)
+
+
+_chain("chain_service_install", "event_code = 4624 and logon_type = '3' and ip_address <> '127.0.0.1'", "event_code = 4720 and process_name in ('svch0st.exe', 'rundll32.exe')", ["computer"], HOUR, "a.event_code = 4624 AND a.logon_type = '3' AND a.ip_address <> '127.0.0.1'", "b.event_code = 4720 AND b.process_name IN ('svch0st.exe', 'rundll32.exe')", shown=3)
 _chain("chain_privilege_after_logon", "event_code = 4624", "event_code = 4672", ["computer", "user_name"], HOUR, "a.event_code = 4624", "b.event_code = 4672")
-_chain("chain_log_clearing", "event_code = 4672", "event_code = 4720 and level = 4", ["computer"], 1800, "a.event_code = 4672", "b.event_code = 4720 AND b.level = 4", 5)
+_chain("chain_log_clearing", "event_code = 4672", "event_code = 4720 and level = 4", ["computer"], 1800, "a.event_code = 4672", "b.event_code = 4720 AND b.level = 4", 5, shown=5, clearing=True)
 _chain("chain_task_after_logon", "event_code = 4624 and logon_type not in ('4', '5')", "event_code = 4720", ["computer", "user_name"], 6 * HOUR, "a.event_code = 4624 AND a.logon_type NOT IN ('4', '5')", "b.event_code = 4720")
 _chain("chain_account_after_recon", "event_code = 4672", "event_code = 4720", ["computer", "user_name"], DAY, "a.event_code = 4672", "b.event_code = 4720")
 _chain("chain_shell_to_script", "event_code = 4688 and parent_name in ('winword.exe', 'wmiprvse.exe')", "event_code = 4720 and process_name = 'powershell.exe'", ["computer"], 2 * HOUR, "a.event_code = 4688 AND a.parent_name IN ('winword.exe', 'wmiprvse.exe')", "b.event_code = 4720 AND b.process_name = 'powershell.exe'")

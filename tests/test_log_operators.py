@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from sparklog import registry
 from sparklog.functions import scalars as S
 from sparklog.operators import baseline as B
 from sparklog.operators import predicates as P
@@ -76,6 +77,24 @@ def test_interval_edges_and_causality(spark):
     assert got == [100, 160]
 
 
+def test_every_chain_is_kept(spark):
+    a = rows(spark, [("h", 100 + i, i) for i in range(8)], "computer string, sec long, record_id long")
+    b = rows(spark, [("h", 110 + i, 20 + i) for i in range(4)], "computer string, sec long, record_id long")
+    pairs = sequences.interval_join(a, b, ["computer"], 60)
+    got = {r.first_id: (r.matches, r.shown) for r in sequences.chains(pairs, "l", "r", 2).collect()}
+    assert got == {i: (4, [20, 21]) for i in range(8)}
+    got = {r.first_id: (r.matches, r.shown) for r in sequences.chains(pairs, "r", "l", 5, last=True).collect()}
+    assert got == {20 + i: (8, [3, 4, 5, 6, 7]) for i in range(4)}
+
+
+@pytest.mark.parametrize("name", ["chain_service_install", "chain_privilege_after_logon", "chain_task_after_logon", "chain_account_after_recon", "chain_shell_to_script"])
+def test_whole_chains_cover_the_capped(name, spark):
+    queries, sf = registry.queries(), "/root/testdata/sf0.01"
+    whole = {r.first_id: r.matches for r in queries[f"{name}_whole"](spark, sf).collect()}
+    capped = queries[name](spark, sf).collect()
+    assert {r.first_id for r in capped} <= set(whole) and sum(whole.values()) >= len(capped)
+
+
 def test_as_of_is_strictly_before(spark):
     a = rows(spark, [("h", 5, 1), ("h", 9, 3), ("x", 9, 4)], "k string, sec long, record_id long")
     v = rows(spark, [("h", 5, 1, "same"), ("h", 6, 2, "found")], "k string, sec long, record_id long, val string")
