@@ -1,16 +1,18 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF vectors over an inverted index.
 
 ``fit`` takes a bounded sample of labelled texts.  Terms are lower-case words and word
-beginnings of 4 to 7 letters; kept are those that lean to label 1 beyond chance (chi-square).
-Each example is a vector of ``(1 + log tf) * idf`` over the kept terms, of length 1.  The index
-has the postings of each term by example, and the greatest weight in each block of
-``BLOCK`` examples.  A query adds the block maxima up, scores the most promising blocks for a
-threshold, then every block whose bound reaches it; so the ``k`` nearest are exact, ties going
-to the lower id.  Votes weigh ``1 / (distance + 0.1)``.  The share of votes is calibrated by
-isotonic regression on the examples themselves, each without its own vote.
-
-A text without any kept term (an empty or null one, too) has no neighbour: its score is the
-share of label 1 among such examples, and its evidence is empty.  Null labels teach nothing;
+beginnings of 4 to 7 letters.  Each example is a vector of ``(1 + log tf) * idf * evidence``
+over all of them, of length 1; no term is cut for its count, and there is no greatest number.
+The evidence of a term is the square of its chi-square (with half an example less of label 1)
+times what its share of label 1 exceeds the sample's by; so a term that doesn't lean to label 1
+weighs 0, and needs no place in the index.  A query adds up the postings of its terms, those of
+the greatest possible share first, until what is left can't change the ``k`` nearest; what may
+still be among them is scored in full.  So they are exact, ties going to the lower id.  Votes weigh
+``1 / (distance + 0.1)``.  The share of votes is calibrated by isotonic regression on the
+examples themselves, each without its own vote.
+
+A text without any term of weight (an empty or null one, too) has no neighbour: its score is the
+share of label 1 among such examples (and one more, of the sample's share), and its evidence is empty.  Null labels teach nothing;
 of repeated labels the highest counts.  Without examples every score is 0.
 """
 
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +34,9 @@ from sparklog.llm.common import by_bytes, crc_bucket, materialize
 BATCH_BYTES = 4 << 20
 #: Labelled rows that ``fit`` reads at most, the first by a hash of the id.
 SAMPLE = 12_000
-#: Terms kept at most, and the least chi-square and lean of one.
-TERMS, LEAST_CHI2, LEAST_LEAN = 1024, 30.0, 20.0
-BLOCK, NEIGHBOURS = 64, 15
+NEIGHBOURS = 15
+#: What the terms left may add to a cosine when a query looks whether it can stop; how many examples it then scores in full at most.
+_LEFT, _IN_FULL = (0.1, 0.01, 0.001), 100
 #: A document is toxic from this score.
 TOXIC = 0.3
 _BEGINNINGS = (4, 5, 6, 7)
@@ -57,11 +60,11 @@ class TermFinder:
         self.hits: dict[str, list[int]] = {}
 
     def find(self, text: str | None) -> dict[int, int]:
-        own = words(text)
+        own = Counter(words(text))
         if len(self.dull) > self.limit:
             self.dull.clear()
         out: dict[int, int] = {}
-        for word in set(own) - self.dull:
+        for word in own.keys() - self.dull:
             ids = self.hits.get(word)
             if ids is None:
                 ids = [self.kept[t] for t in terms_of(word) if t in self.kept]
@@ -71,7 +74,7 @@ class TermFinder:
                 if len(self.hits) > self.limit:
                     self.hits.clear()
                 self.hits[word] = ids
-            n = own.count(word)
+            n = own[word]
             for t in ids:
                 out[t] = out.get(t, 0) + n
         return out
@@ -96,52 +99,76 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Block-max inverted index of the examples; see the module."""
+    """Inverted index of the examples; see the module.  Pickled are term numbers and frequencies only; the rest is built again."""
 
-    def __init__(self, kept: list[str], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list[dict[int, int]], prior: float, k: int = NEIGHBOURS):
+    def __init__(self, kept: list[str], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list, prior: float, k: int = NEIGHBOURS):
+        """``vectors`` are dicts from term number to frequency, or pairs of arrays of these."""
         order = np.argsort(np.array(ids, np.int64), kind="stable")
         self.kept, self.idf, self.k, self.prior = kept, idf, k, prior
         self.ids = np.array(ids, np.int64)[order]
         self.labels = np.array(labels, np.float64)[order]
-        self.n_blocks = -(-len(ids) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in kept]
-        self.vectors = [self.weigh(vectors[i]) for i in order]
-        for i, (at, w) in enumerate(self.vectors):
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                postings[t].append((i, x))
-        self.docs = [np.array([p[0] for p in ps], np.int64) for ps in postings]
-        self.weights = [np.array([p[1] for p in ps], np.float64) for ps in postings]
-        self.most = np.zeros((len(kept), max(1, self.n_blocks)))
-        for t, (d, w) in enumerate(zip(self.docs, self.weights, strict=True)):
-            np.maximum.at(self.most[t], d // BLOCK, w)
+        pairs = [(list(v), list(v.values())) if isinstance(v, dict) else v for v in (vectors[i] for i in order)]
+        self.sizes = np.array([len(at) for at, _ in pairs], np.int64)
+        self.at, self.tf = (np.concatenate([np.zeros(0, np.int32), *[np.array(p[j], np.int32) for p in pairs]]) for j in (0, 1))
+        self._build()
         self.steps = (np.zeros(1), np.full(1, prior))
         if len(ids):
             votes = np.array([self.vote(at, w, skip=i) for i, (at, w) in enumerate(self.vectors)])
             self.steps = isotonic(votes, self.labels)
 
+    def _build(self) -> None:
+        cuts = np.append(0, np.cumsum(self.sizes))
+        owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        w = (1.0 + np.log(self.tf)) * self.idf[self.at]
+        w /= np.sqrt(np.bincount(owner, w * w, len(self.sizes)))[owner]
+        self.vectors = [(self.at[a:b], w[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        by_term = np.argsort(self.at, kind="stable")
+        self.docs, self.weights = owner[by_term], w[by_term]
+        self.start = np.append(0, np.cumsum(np.bincount(self.at, minlength=len(self.kept))))
+        self.most = np.zeros(len(self.kept))
+        np.maximum.at(self.most, self.at, w)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("vectors", "docs", "weights", "start", "most")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._build()
+
     def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), np.int64)
         w = (1.0 + np.log([counts[t] for t in at.tolist()])) * self.idf[at]
         return at, w / np.sqrt((w * w).sum())
 
-    def _add(self, scores: np.ndarray, at: np.ndarray, w: np.ndarray, wanted: np.ndarray) -> None:
-        for t, x in zip(at.tolist(), w.tolist(), strict=True):
-            d = self.docs[t]
-            use = wanted[d // BLOCK]
-            scores[d[use]] += x * self.weights[t][use]
+    def _add(self, scores: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+        spans = [slice(a, b) for a, b in zip(self.start[at].tolist(), self.start[at + 1].tolist(), strict=True)]
+        if spans:
+            docs = np.concatenate([self.docs[x] for x in spans])
+            weights = np.concatenate([self.weights[x] * y for x, y in zip(spans, w.tolist(), strict=True)])
+            scores += np.bincount(docs, weights, len(scores))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the ``k`` nearest examples, best first."""
-        bound = w @ self.most[at]
-        scores = np.zeros(len(self.ids))
-        first = np.zeros(self.n_blocks, bool)
-        first[np.argsort(-bound, kind="stable")[: 2 + k // BLOCK]] = True
-        self._add(scores, at, w, first)
-        held = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        later = (bound >= held - 1e-12) & (bound > 0) & ~first
-        if later.any():
-            self._add(scores, at, w, later)
-        found = np.flatnonzero(scores >= max(held - 1e-12, 1e-12))
+        most = w * self.most[at]
+        order = np.argsort(-most, kind="stable")
+        at, w, most = at[order], w[order], most[order]
+        tail = lambda x: np.append(np.cumsum(x[::-1])[::-1], 0.0)
+        # what the terms from a place on can add, at most: vectors have length 1
+        left = np.minimum(tail(most), np.sqrt(tail(w * w)))
+        scores, done = np.zeros(len(self.ids)), 0
+        for bound in (*_LEFT, 0.0):
+            stop = int(np.searchsorted(-left, -bound)) if bound else len(at)
+            self._add(scores, at[done:stop], w[done:stop])
+            done = stop
+            held = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+            found = np.flatnonzero(scores >= max(held - left[done] - 1e-12, 1e-12))
+            if done < len(at) and held > left[done] + 1e-9 and len(found) <= _IN_FULL:
+                query = np.zeros(len(self.kept))
+                query[at[done:]] = w[done:]
+                for i in found.tolist():
+                    own, x = self.vectors[i]
+                    scores[i] += query[own] @ x
+                break
         best = found[np.lexsort((found, -np.round(scores[found], 12)))[:k]]
         return best, scores[best]
 
@@ -149,18 +176,20 @@ class Index:
         near, cosine = self.nearest(at, w, self.k + (skip >= 0))
         if skip >= 0:
             keep = near != skip
-            near, cosine = near[keep][: self.k], cosine[keep][: self.k]
+            near, cosine = near[keep], cosine[keep]
+        return self._share(near[: self.k], cosine[: self.k])
+
+    def _share(self, near: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1.0 / (1.1 - np.minimum(cosine, 1.0))
         return float((weight @ self.labels[near] + self.prior) / (weight.sum() + 1.0))
 
     def score(self, counts: dict[int, int], evidence: int = 3) -> tuple[float, list[tuple[int, float, int]]]:
         if not counts or not len(self.ids):
             return self.prior, []
-        at, w = self.weigh(counts)
+        near, cosine = self.nearest(*self.weigh(counts), max(self.k, evidence))
         knots, values = self.steps
-        score = float(values[min(np.searchsorted(knots, self.vote(at, w)), len(values) - 1)])
-        near, cosine = self.nearest(at, w, evidence)
-        return score, [(int(self.ids[i]), float(c), int(self.labels[i])) for i, c in zip(near, cosine, strict=True)]
+        score = float(values[min(np.searchsorted(knots, self._share(near[: self.k], cosine[: self.k])), len(values) - 1)])
+        return score, [(int(self.ids[i]), float(c), int(self.labels[i])) for i, c in zip(near[:evidence], cosine[:evidence], strict=True)]
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,11 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     counts = rows.mapInArrow(_term_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     b, d = F.col("clean").cast("double"), F.col("toxic").cast("double")
     n = n0 + n1
-    chi2 = n * F.pow(d * (n0 - b) - b * (n1 - d), 2) / ((b + d) * (n - b - d + 1e-9) * float(n0) * float(n1))
-    lean = (d / n1) / ((b + 0.5) / n0)
-    top = counts.where(lean >= LEAST_LEAN).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-    kept = [r.term for r in top]
-    idf = np.array([np.log((1 + n) / (1 + r.clean + r.toxic)) + 1.0 for r in top])
+    less = F.greatest(d - 0.5, F.lit(0.0))
+    chi2 = n * F.pow(less * (n0 - b) - b * (n1 - less), 2) / ((b + less) * (n - b - less) * float(n0) * float(n1))
+    lift = (d + n1 / n) / (b + d + 1.0) - n1 / n
+    leans = (less / n1 > b / n0) & (lift > 0)
+    top = counts.where(leans).select("term", (F.pow(chi2 / n, 2) * lift * (F.log((1.0 + n) / (1.0 + b + d)) + 1.0)).alias("weight")).where("weight > 0").orderBy("term").toArrow()
+    kept, weight = top.column("term").to_pylist(), top.column("weight").to_numpy()
     number = {t: i for i, t in enumerate(kept)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +232,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
             found = [finder.find(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "label", "at", "tf"])
 
-    found = rows.mapInArrow(vectors, "doc_id long, label int, at array<int>, tf array<int>").collect()
-    bare = [r.label for r in found if not r["at"]]
-    prior = (sum(bare) + 0.5) / (len(bare) + 1.0)
-    held = [r for r in found if r["at"]]
-    return Index(kept, idf, [r.doc_id for r in held], [r.label for r in held], [dict(zip(r["at"], r.tf, strict=True)) for r in held], prior)
+    found = rows.mapInArrow(vectors, "doc_id long, label int, at array<int>, tf array<int>").toArrow().combine_chunks()
+    ids, label = found.column(0).to_numpy(), found.column(1).to_numpy()
+    sizes = pc.list_value_length(found.column(2)).to_numpy()
+    flat = [pc.list_flatten(found.column(j)).to_numpy() for j in (2, 3)]
+    cuts = np.append(0, np.cumsum(sizes))
+    held = np.flatnonzero(sizes)
+    prior = (label[sizes == 0].sum() + n1 / n) / ((sizes == 0).sum() + 1.0)
+    pairs = [(flat[0][cuts[i] : cuts[i + 1]], flat[1][cuts[i] : cuts[i + 1]]) for i in held]
+    return Index(kept, weight, ids[held].tolist(), label[held].tolist(), pairs, float(prior))
 
 
 _finders: dict[str, TermFinder] = {}

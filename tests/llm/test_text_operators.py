@@ -98,6 +98,17 @@ def test_block_max_is_exact():
         assert near.tolist() == best.tolist() and np.allclose(found, cosine[best])
 
 
+def test_small_sample_still_teaches(spark, sf_dir):
+    """Terms that few examples hold count, too: the smallest table's stage isn't a no-op."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = {r.doc_id: r.predicted for r in toxicity.op4(docs, labels).collect()}
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    gone = {d for d, p in got.items() if p}
+    assert gone and sum(truth.get(d, 1) for d in gone) > 0.8 * len(gone) and sum(p for d, p in got.items() if truth.get(d) == 1) >= 6
+    assert {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()} == set(got) - gone
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]))
     assert (np.diff(y) >= 0).all() and len(x) == 3
