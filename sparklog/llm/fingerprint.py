@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into lines, and lines at sentence and clause marks and every 64 characters or
-so, so that an edit touches few pieces; short texts are cut into words.  Each piece gives a 64-bit digest (of itself and how
+A text of any length is cut into words, and words after sentence and clause marks and 64
+characters, so that an edit touches few pieces.  Each piece gives a 64-bit digest (of itself and how
 often it came before in the text, so that repeated pieces count).  A sketch has three
 sub-tables of cells (count, xor of digests, xor of checks).  Subtracting the sketch of
 another version cancels what they share; peeling cells that hold one digest recovers the
@@ -34,19 +34,17 @@ from sparklog.llm.shingles import mix
 
 BATCH_BYTES = 2 << 20
 _NO_ID = -(1 << 63)
-_PIECE = re.compile(r"[^\n.,;:!?]{1,64}[^\s.,;:!?]{0,32}")
+_MARKS = ".,;:!?。、，；：！？"
+_PIECE = re.compile(rf"[^\s{_MARKS}]{{0,64}}[{_MARKS}]{{1,64}}|[^\s{_MARKS}]{{1,64}}")
 _SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 _CHECK = np.uint64(0x082EFA98EC4E6C89)
-_WORD = re.compile(r"\S+")
 FIRST_CELLS = 24
-#: Texts of fewer characters are cut at every word.
-SHORT = 300
 
 
 def piece_digests(text: str) -> list[int]:
     """Digests of the pieces of a text; all different."""
     digest = xxhash.xxh64_intdigest
-    found = [digest(p.encode()) for p in (_PIECE if len(text) >= SHORT else _WORD).findall(text)]
+    found = [digest(p.encode()) for p in _PIECE.findall(text)]
     if len(set(found)) == len(found):
         return found
     seen: Counter = Counter()

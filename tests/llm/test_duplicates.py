@@ -189,6 +189,15 @@ def test_fingerprints(spark):
         assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
 
 
+def test_likeness_across_lengths():
+    """Near copies of 295 and 305 characters, and of 200 and 400, are cut by one rule."""
+    rng = random.Random(8)
+    text = " ".join(str(rng.randrange(1000, 10_000)) for _ in range(80))
+    for short, long, least in ((295, 305, 0.95), (200, 400, 0.6)):
+        a, b = (fingerprint.piece_digests(text[:n]) for n in (short, long))
+        assert fingerprint.likeness([a], [b])[0] >= least
+
+
 def test_fingerprint_single_and_empty(spark):
     one = fingerprint.op3(spark.createDataFrame([(None, "a b c d")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].doc_id is None and one[0].near_next == 1.0
