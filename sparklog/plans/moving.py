@@ -64,12 +64,12 @@ def stream_dedupe(spark, sf_dir):
 
 @query()
 def stream_bursts(spark, sf_dir):
-    return J.run(spark, J.failure_counts(J.log_stream(spark, sf_dir)), "bursts")
+    return J.run_whole(spark, J.failure_counts(J.log_stream(spark, sf_dir)), "bursts")
 
 
 @query()
 def stream_sessions(spark, sf_dir):
-    return J.run(spark, J.activity_sessions(J.log_stream(spark, sf_dir)), "sessions")
+    return J.run_whole(spark, J.activity_sessions(J.log_stream(spark, sf_dir)), "sessions")
 
 
 @query("""SELECT c.computer, c.record_id, (SELECT max_by(p.record_id, (p.sec, p.record_id)) FROM security_log p WHERE p.event_code = 4688 AND p.computer = c.computer AND p.pid = c.ppid AND (p.sec < c.sec OR p.sec = c.sec AND p.record_id < c.record_id)) AS parent_record FROM security_log c WHERE c.event_code = 4688""")

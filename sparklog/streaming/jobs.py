@@ -1,7 +1,8 @@
 """Streaming twins of log operators.  Each takes a streaming (or batch) log and returns a DataFrame.
 
-Event time is ``ts``; what comes later than the watermark is left out.  ``run`` drives a
-query over all rows that are there and reads its sink back.
+Event time is ``ts``; in append mode (``run``) what comes later than the watermark is left out, and
+windows that the watermark hasn't passed stay open.  ``run`` drives a query over all rows that are
+there and reads its sink back; ``run_whole`` does so in complete mode, which gives open windows, too.
 """
 
 from __future__ import annotations
@@ -69,3 +70,16 @@ def run(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     started = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", shared_path(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def run_whole(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """As ``run`` for windows and sessions, with those still open at the end: each trigger writes all groups, the last one is read."""
+    path = shared_path(spark, name)
+    written: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        written.append(f"{path}/{number}")
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", shared_path(spark, f"{name}-state")).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(written[-1]) if written else spark.createDataFrame([], df.schema)

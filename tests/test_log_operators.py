@@ -12,7 +12,8 @@ from sparklog.operators import baseline as B
 from sparklog.operators import predicates as P
 from sparklog.operators import scripts, sequences
 from sparklog.sources import files
-from sparklog.sources.security_log import flat_fields, ingest_json
+from sparklog.sources.security_log import flat_fields, ingest_json, security_log
+from sparklog.streaming import jobs
 
 
 def rows(spark, data, schema):
@@ -109,6 +110,13 @@ def test_gaps_and_coverage(spark):
     assert sequences.merged_length(r, "k", "lo", "hi").first().expected == 9
 
 
+@pytest.mark.parametrize("name,twin", [("stream_sessions", jobs.activity_sessions), ("stream_bursts", jobs.failure_counts)])
+def test_streams_give_open_windows(spark, sf_dir, name, twin):
+    batch = twin(security_log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    whole = sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, registry.queries()[name](spark, sf_dir).collect())) == whole and whole
+
+
 def test_script_blocks(spark):
     zero = scripts.ZERO_ID
     df = rows(spark, [("b", 1, 1, 3, "ab"), ("b", 2, 1, 3, "abc"), ("b", 3, 3, 3, "x\0y"), (zero, 4, 1, 1, "p"), (zero, 5, 1, 1, "q")], "block_id string, record_id long, number int, total int, text string")
