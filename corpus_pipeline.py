@@ -22,8 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier line matches; n_chars follows the text."""
-    kept = line_dedup.without_repeated_lines(docs)
+    """Documents without the lines that an earlier line matches; n_chars follows the text.
+
+    Documents that lose all their words with those lines are repeated as a whole and go; those
+    that had none before stay.
+    """
+    kept = line_dedup.without_repeated_lines(docs, n_removed="lines gone")
+    kept = kept.where(F.col("lines gone").eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("lines gone")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

@@ -36,7 +36,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once what reads them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -49,10 +59,11 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
 
 
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each slice holds about ``limit`` bytes of ``column``, one row at least."""
+    """Cut Arrow batches so that each slice holds about ``limit`` bytes of ``column`` (text or lists of long), one row at least."""
     for batch in batches:
         start, held = 0, 0
-        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
+        values = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.multiply(values.value_lengths(), 8) if pa.types.is_list(values.type) else pc.binary_length(values)
         for i, size in enumerate(sizes.to_pylist()):
             held += size or 0
             if held >= limit:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.common import materialize
+from sparklog.llm.common import discard, materialize
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lower = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
         least = lower.groupBy("u").agg(F.min("v").alias("m"))
         small = lower.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "links")
+        before, edges = edges, materialize(small.where("u <> v").distinct(), "links")
+        discard(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

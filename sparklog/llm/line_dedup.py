@@ -11,29 +11,26 @@ classes are joined on those, and kept as candidates by length, by the words' pos
 by a 64-bit parity map (sets that differ in ``k`` words differ in at most ``k`` bits).  Then
 the full sets decide.
 
-Words that are among the first of more than ``COMMON`` classes would give a pair for any two.
-There each class is held against the first class of the word alone; those that find a match
-are settled, as one earlier match is enough, and only the others are held against all
-earlier ones.
-
-Null texts stay null.  Rows that repeat a doc_id are one document: a line isn't later than
-the line of the same number there.  Null doc_ids count as one id below all others.
+Many copies of a line would give a pair for any two.  So each class is held first against
+the first class of each of its words alone; those that find a match are settled, as one
+earlier match is enough, and only the others are held against all earlier ones.
+
+Null texts stay null.  Very long texts are cut into lines and words like any other.  Rows that
+repeat a doc_id are one document: a line isn't later than the line of the same number there.
+Null doc_ids count as one id below all others.  An empty table gives an empty result.  Other
+columns of the input stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.common import materialize
+from sparklog.llm.common import discard, materialize
 
 PERCENT = 85
-#: Buckets of the word sketch.
-BUCKETS = 1 << 16
-#: Classes that a word is among the first of, from which it counts as common.
-COMMON = 16
+#: Buckets of the word sketch, and how many of them are one row of it.
+BUCKETS, CHUNK = 1 << 17, 1 << 10
 #: Rows up to which a table of ids is broadcast.
 SMALL = 200_000
 _NO_ID = -(1 << 63)
@@ -52,24 +49,29 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(at, F.posexplode(F.split("text", "\n")).alias("l", "line"))
 
 
-def _levels(docs: DataFrame) -> list[int]:
-    """Per bucket of word hashes the logarithm of how often its words occur, counted over all documents."""
+def _levels(docs: DataFrame) -> bytearray:
+    """Per bucket of word hashes a byte: the logarithm of how often its words occur in all documents."""
+    spark = docs.sparkSession
     words = docs.select(F.explode(F.split(F.translate("text", _UPPER + "\n", _PLAIN + " "), " ")).alias("word")).where("word <> ''")
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect()
-    levels = [0] * BUCKETS
-    for r in counts:
-        levels[r.bucket] = int(math.log2(r["count"] + 1))
-    return levels
-
-
-def _sets(docs: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """d, l of each line with words; its class key k1, k2; n words, parity map and first words."""
-    table = F.split(F.lit(",".join(str(x << 57) for x in levels)), ",").cast("array<long>")  # folded to a constant
-    low = (1 << 57) - 1
-    ranked = F.transform(_hashes(F.col("line")), lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(low))))
-    # asked of the line itself: a filter on the codes would be pushed down and compute them twice
-    worded = _lines(docs).where(F.trim(F.translate("line", _UPPER, _PLAIN)) != "")
-    rows = worded.select("d", "l", F.sort_array(ranked).alias("codes"))
+    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    counts = words.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    level = F.chr(F.lit(1) + F.log2(F.sum("n") + 1).cast("int"))
+    rows = counts.union(every).groupBy("bucket").agg(level.alias("level"))
+    chunk = F.floor(F.col("bucket") / CHUNK).alias("chunk")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "level"))), lambda x: x.level), "")
+    chunks = rows.groupBy(chunk).agg(text.alias("text")).orderBy("chunk").collect()
+    return bytearray("".join(r.text for r in chunks), "ascii")
+
+
+def _sets(docs: DataFrame, percent: int) -> DataFrame:
+    """d, l of each line that isn't empty (n is 0 if it has no word); its class key k1, k2; n words, parity map and first words."""
+    table = F.lit(_levels(docs))
+    at = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
+    level = lambda h: F.ascii(F.substring(table, at(h), F.lit(1)).cast("string")).cast("long")
+    low = F.lit((1 << 57) - 1)
+    ranked = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(level(h), 57).bitwiseOR(h.bitwiseAND(low)))
+    rows = _lines(docs).where("line <> ''").select("d", "l", F.sort_array(ranked).alias("codes"))
     n = F.size("codes")
     first = n - F.floor((percent * n + 99) / 100).cast("int") + 1
     parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
@@ -77,12 +79,12 @@ def _sets(docs: DataFrame, levels: list[int], percent: int) -> DataFrame:
     return rows.select("d", "l", F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
 
 
-def _alike(percent: int) -> Column:
+def _alike(percent: int, x: str = "x.", y: str = "y.") -> Column:
     """Whether postings x and y can be of similar sets, if theirs is the first word that both have: by length, positions and parity maps."""
-    least = f"ceil({percent} * (x.n + y.n) / {100 + percent}.0 - 1e-9)"
+    least = f"ceil({percent} * ({x}n + {y}n) / {100 + percent}.0 - 1e-9)"
     return F.expr(
-        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and least(x.n - x.i, y.n - y.i) + 1 >= {least}"
-        f" and bit_count(x.parity ^ y.parity) <= x.n + y.n - 2 * {least}"
+        f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) and least({x}n - {x}i, {y}n - {y}i) + 1 >= {least}"
+        f" and bit_count({x}parity ^ {y}parity) <= {x}n + {y}n - 2 * {least}"
     )
 
 
@@ -92,7 +94,7 @@ def _checked(small: DataFrame, limit: int = SMALL) -> DataFrame:
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (of lines xd, xl and yd, yl) whose full word sets are similar enough."""
+    """d, l of lines yd, yl of those pairs (of lines xd, xl and yd, yl) whose full word sets are similar enough."""
     ends = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct()
     ends = materialize(ends, "ends")
     wanted = materialize(ends.select(F.col("d").alias("doc_id")).distinct(), "wanted")
@@ -103,64 +105,67 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     y = sets.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("words").alias("yw"))
     common = F.size(F.array_intersect("xw", "yw"))
     found = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
-    return found.where(100 * common >= percent * (F.size("xw") + F.size("yw") - common)).select("xd", "xl", "yd", "yl")
+    found = found.where(100 * common >= percent * (F.size("xw") + F.size("yw") - common))
+    found = materialize(found.select(F.col("yd").alias("d"), F.col("yl").alias("l")).distinct(), "matched")
+    discard(ends, wanted, sets)
+    return found
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """d, l of each line of ``docs`` (doc_id, text) that an earlier line matches."""
-    sets = materialize(_sets(docs, _levels(docs), percent), "lines")
+    # filtered when read: a filter on what the sets are made of would be pushed down and compute them twice
+    lines = materialize(_sets(docs, percent), "lines")
+    sets = lines.where("n > 0")
     pick = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
     classes = sets.groupBy("k1", "k2").agg(F.min(F.struct("d", "l")).alias("at"), *pick)
     classes = materialize(classes.select("k1", "k2", "at.d", "at.l", "n", "parity", "prefix"), "classes")
     postings = classes.select("d", "l", "n", "parity", F.posexplode("prefix").alias("i", "key")).withColumn("i", F.col("i") + 1)
-    large = materialize(postings.groupBy("key").count().where(F.col("count") > COMMON).select("key"), "keys")
-    some = not large.isEmpty()
-    rare = postings.join(_checked(large), "key", "left_anti") if some else postings
-    common = postings.join(_checked(large), "key", "left_semi") if some else postings.limit(0)
-
+    at = F.struct("d", "l", "n", "parity", "i")
+    heads = postings.groupBy("key").agg(F.min(at).alias("h"), F.count("*").alias("size")).where("size > 1")
+    heads = heads.select("key", *[F.col(f"h.{c}").alias(f"h{c}") for c in ("d", "l", "n", "parity", "i")])
+    shared = materialize(postings.join(heads, "key").where("d <> hd or l <> hl"), "postings")
+
+    ends = [F.col("hd").alias("xd"), F.col("hl").alias("xl"), F.col("d").alias("yd"), F.col("l").alias("yl")]
+    pairs = materialize(shared.where(_alike(percent, "h", "")).select(*ends).distinct(), "pairs")
+    settled = _confirmed(docs, pairs, percent)
+    open_ = shared.join(settled, ["d", "l"], "left_anti")
     ends = [F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "xy" for c in "dl"]
-    earlier = F.expr("x.d < y.d or x.d = y.d and x.l < y.l")
-    same_key = F.expr("x.key = y.key")
-    pairs = rare.alias("x").join(rare.alias("y"), same_key & earlier & _alike(percent)).select(*ends)
-    if some:
-        heads = common.groupBy("key").agg(F.min(F.struct("d", "l", "n", "parity", "i")).alias("h")).select("key", "h.*")
-        pairs = pairs.union(common.alias("y").join(heads.alias("x"), same_key & earlier & _alike(percent)).select(*ends))
-    pairs = materialize(pairs.distinct(), "pairs")
-    matched = materialize(_confirmed(docs, pairs, percent).select(F.col("yd").alias("d"), F.col("yl").alias("l")).distinct(), "matched")
-    if some:
-        open_ = common.join(matched, ["d", "l"], "left_anti")
-        rest = common.alias("x").join(open_.alias("y"), same_key & earlier & _alike(percent)).select(*ends).distinct()
-        rest = materialize(rest.join(pairs, ["xd", "xl", "yd", "yl"], "left_anti"), "pairs")
-        if not rest.isEmpty():
-            more = _confirmed(docs, rest, percent).select(F.col("yd").alias("d"), F.col("yl").alias("l"))
-            matched = materialize(matched.union(more).distinct(), "matched")
+    later = F.expr("x.key = y.key and (x.d < y.d or x.d = y.d and x.l < y.l)")
+    rest = materialize(shared.alias("x").join(open_.alias("y"), later & _alike(percent)).select(*ends).distinct(), "pairs")
+    more = _confirmed(docs, rest, percent)
     # classes whose first line goes lose all lines, others all but the first
+    matched = settled.union(more).distinct()
     named = classes.join(matched.withColumn("gone", F.lit(True)), ["d", "l"], "left")
     named = named.select("k1", "k2", F.col("d").alias("cd"), F.col("l").alias("cl"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    return sets.select("d", "l", "k1", "k2").join(named, ["k1", "k2"]).where("gone or d <> cd or l <> cl").select("d", "l")
+    gone = sets.select("d", "l", "k1", "k2").join(named, ["k1", "k2"]).where("gone or d <> cd or l <> cl")
+    gone = materialize(gone.select("d", "l"), "gone")
+    discard(lines, classes, shared, pairs, rest, settled, more)
+    return gone
 
 
-def without_repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with its columns, the text without the lines that an earlier line matches, and n_lines, n_removed."""
+def without_repeated_lines(docs: DataFrame, percent: int = PERCENT, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
+    """``docs`` with its columns, the text without the lines that an earlier line matches.
+
+    Where named, columns ``n_lines`` (before) and ``n_removed`` are added.
+    """
     gone = removed_lines(docs.select("doc_id", "text"), percent)
     gone = gone.groupBy("d").agg(F.collect_set("l").alias("gone"))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    joined = docs.withColumn("__d", own).join(gone.withColumnRenamed("d", "__d").withColumnRenamed("gone", "__gone"), "__d", "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("__gone", i))
-    n_removed = F.coalesce(F.size(lines) - F.size(kept), F.lit(0))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c == "text" or c in others],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"),
-    )
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.withColumn("d", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID))).join(gone, "d", "left")
+    lines = F.split("row.text", "\n")
+    rows = rows.withColumn("lines", lines).withColumn("kept", F.filter(lines, lambda line, i: ~F.array_contains("gone", i)))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
+    before = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    lost = F.when(F.col("gone").isNull(), 0).otherwise(F.coalesce(F.size("lines") - F.size("kept"), F.lit(0))).cast("long")
+    rows = rows.select("row", text.alias("new text"), before.alias("n before"), lost.alias("n lost"))
+    quoted = lambda c: "row.`" + c.replace("`", "``") + "`"
+    added = [F.col(c).alias(name) for c, name in (("n before", n_lines), ("n lost", n_removed)) if name]
+    return rows.select(*[F.col("new text").alias(c) if c == "text" else F.col(quoted(c)).alias(c) for c in docs.columns], *added)
 
 
 def op2(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_lines, n_removed of each document."""
-    return without_repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return without_repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), PERCENT, "n_lines", "n_removed")
 
 
 #: The same in DuckDB: an exact prefix-filtered join, by word counts.

@@ -57,9 +57,3 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
         key = mix(key ^ bits[:, :, j])
     return key
 
-
-def nibbles(sig: np.ndarray) -> np.ndarray:
-    """For each signature of ``m`` places ``m / 16`` numbers, of 4 bits per place; equal places have equal bits, others in one of 16 cases."""
-    n, m = sig.shape
-    bits = (mix(sig.view(np.uint64)) >> _U(60)).reshape(n, m // 16, 16) << (np.arange(16, dtype=np.uint64) * _U(4))
-    return np.bitwise_or.reduce(bits, axis=2)

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sparklog.llm import components, fingerprint, line_dedup, near_dedup, shingles, superminhash
 from sparklog.llm import registry
@@ -153,10 +154,13 @@ def test_line_dedup(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, l int")
     expected = line_brute(rows)
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.op2(df).collect()} == expected
-    monkeypatch.setattr(line_dedup, "COMMON", 1)  # all shared words are common
     monkeypatch.setattr(line_dedup, "SMALL", 1)  # no table is broadcast
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.op2(df).collect()} == expected
-    assert line_dedup.without_repeated_lines(df).columns == ["doc_id", "text", "l", "n_lines", "n_removed"]
+    assert line_dedup.without_repeated_lines(df).columns == ["doc_id", "text", "l"]
+    named = df.select("doc_id", "text", *[F.lit(77).alias(c) for c in ("n_lines", "n_removed", "d", "gone", "row", "a.b")])
+    kept = line_dedup.without_repeated_lines(named, n_removed="lines gone")
+    assert kept.columns == [*named.columns, "lines gone"] and {tuple(r)[2:8] for r in kept.collect()} == {(77,) * 6}
+    assert {r[0]: (r[1], r[8]) for r in kept.collect()} == {d: (t, m) for d, (t, _, m) in expected.items()}
     assert line_dedup.op2(df.limit(0)).count() == 0
 
 
