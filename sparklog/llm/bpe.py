@@ -1,11 +1,14 @@
 """Byte-level BPE, encoding and decoding, with a rank queue in a hierarchical bitmap.
 
-``merge`` keeps the parts of one pre-token in a linked list.  Each merge rank has a
-bucket of list positions where that merge was possible when it was entered.  A bitmap of
-two levels tells which buckets hold something: a root over leaves of ``1 << _SHIFT`` ranks
-each, and find-first-set (``x & -x``) in both gives the lowest rank.  An entry whose
-parts have changed meanwhile is stale and skipped.  Work is the number of merges times the
-depth of the bitmap, so very long pre-tokens cost no more per byte than short ones.
+``merge_all`` keeps the parts of pre-tokens in a linked list, all pre-tokens of a batch in one
+array.  Each merge rank has a bucket of list positions where that merge became possible.  A
+bitmap of two levels tells which buckets hold something: a root over leaves of ``1 << _SHIFT``
+ranks each, and find-first-set (``x & -x``) in both gives the lowest rank.  An entry whose parts
+have changed meanwhile is stale and skipped.  Pre-tokens don't touch each other, so the lowest
+rank of all is the lowest of its own; large buckets are merged by NumPy at once, small ones one
+by one.  Where a merge makes a lower rank possible, the rest of the bucket waits for it, as in
+the library.  Work is the number of merges times the depth of the bitmap, so very long
+pre-tokens cost no more per byte than short ones.
 
 Null texts count as empty: no ids.  Ids decode to the exact bytes of the text.
 """
@@ -28,6 +31,8 @@ from sparklog.llm.pieces import PieceCache
 BATCH_BYTES = 4 << 20
 _SHIFT = 8
 _LOW = (1 << _SHIFT) - 1
+#: Positions of one rank from which NumPy merges them.
+_MANY = 24
 #: Ids and ranks are below this many bits.
 _ID_BITS = 24
 
@@ -35,39 +40,58 @@ _ID_BITS = 24
 class Vocabulary:
     """Ranks of byte strings; the rank is the id."""
 
-    def __init__(self, ranks: dict[bytes, int], pair_limit: int = 1_000_000):
-        self.ranks, self.pair_limit = ranks, pair_limit
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        #: Rank of two parts joined, by ``left << _ID_BITS | right``: of all that can be joined.
         self.pairs: dict[int, int] = {}
-
-    def pair(self, key: int) -> int:
-        """Rank of two parts joined, -1 if the vocabulary hasn't it; kept in ``pairs``."""
-        found = self.ranks.get(self.bytes[key >> _ID_BITS] + self.bytes[key & (1 << _ID_BITS) - 1], -1)
-        if len(self.pairs) > self.pair_limit:
-            self.pairs.clear()
-        self.pairs[key] = found
-        return found
+        get = ranks.get
+        for whole, rank in ranks.items():
+            for cut in range(1, len(whole)):
+                left = get(whole[:cut])
+                if left is not None and (right := get(whole[cut:])) is not None:
+                    self.pairs[left << _ID_BITS | right] = rank
+        self.keys = np.array(sorted(self.pairs), np.int64)
+        self.key_ranks = np.array([self.pairs[k] for k in self.keys.tolist()] or [-1], np.int32)
+        self.of_bytes = np.array([get(bytes([x, y]), -1) for x in range(256) for y in range(256)], np.int32)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each two parts joined, -1 if the vocabulary hasn't it."""
+        if not len(self.keys):
+            return np.full(len(right), -1, np.int32)
+        key = (np.asarray(left, np.int64) << _ID_BITS) + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_ranks[at], -1)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token: the lowest rank first, of equal ranks the leftmost."""
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return (whole,)
-        n, known, pair = len(data), self.pairs, self.pair
-        part = [self.single[b] for b in data]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        """Ids of one pre-token."""
+        return tuple(np.frombuffer(self.merge_all([data])[0], np.int32).tolist())
+
+    def merge_all(self, tokens: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, as bytes of 32-bit numbers: the lowest rank first, of equal ranks the leftmost."""
+        out: list = [self.ranks.get(t) for t in tokens]
+        todo = [i for i, x in enumerate(out) if x is None and tokens[i]]
+        out = [b"" if x is None else x.to_bytes(4, "little") for x in out]
+        if not todo:
+            return out
+        data = np.frombuffer(b"".join([tokens[i] for i in todo]), np.uint8)
+        n, size = len(data), np.array([len(tokens[i]) for i in todo])
+        end = np.cumsum(size)
+        # position n stands for none
+        part = np.append(self.single[data], np.int32(-1))
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[end - 1], before[end - size], after[n], before[n] = n, n, n, n
+        rank_at = np.full(n + 1, -1, np.int32)
+        rank_at[: n - 1] = self.of_bytes[data[:-1].astype(np.int64) << 8 | data[1:]]
+        rank_at[end - 1] = -1
         buckets: dict[int, list[int]] = {}
         leaves: dict[int, int] = {}  # bits of the ranks that have a bucket, by the ranks' upper bits
         root = 0  # bits of the leaves that have a bit
-        fresh = []
-        for i in range(n - 1):
-            key = part[i] << _ID_BITS | part[i + 1]
-            rank = known.get(key)
-            if rank is None:
-                rank = pair(key)
-            if rank >= 0:
-                fresh.append((rank, i))
+        fresh_at = np.flatnonzero(rank_at >= 0)
+        fresh = zip(rank_at[fresh_at].tolist(), fresh_at.tolist(), strict=True)
+        one_part, one_after, one_before, one_rank = (memoryview(x) for x in (part, after, before, rank_at))
+        pairs = self.pairs
         while True:
             for rank, i in fresh:
                 if rank in buckets:
@@ -78,43 +102,91 @@ class Vocabulary:
                     leaves[a] = leaves.get(a, 0) | 1 << (rank & _LOW)
                     root |= 1 << a
             if not root:
-                return tuple([p for p in part if p >= 0])
-            a = (root & -root).bit_length() - 1
+                break
+            top = root & -root
+            a = top.bit_length() - 1
             bits = leaves[a]
             low = bits & -bits
             rank = a << _SHIFT | low.bit_length() - 1
             leaves[a] = bits ^ low
             if bits == low:
-                root ^= 1 << a
+                root ^= top
             bucket = buckets.pop(rank)
+            if len(bucket) >= _MANY:
+                fresh = self._merge_many(rank, np.unique(bucket), part, after, before, rank_at, end)
+                continue
             if len(bucket) > 1:
                 bucket.sort()
             fresh = []
-            for i in bucket:
-                j = after[i]
-                if j >= n or part[i] < 0:
-                    continue  # stale
-                key = part[i] << _ID_BITS | part[j]
-                if known.get(key, -2) != rank and pair(key) != rank:
+            for at, i in enumerate(bucket):
+                if one_rank[i] != rank:
                     continue  # stale
-                part[i], part[j] = rank, -1
-                k = after[i] = after[j]
-                h = before[i]
+                j = one_after[i]
+                k, h = one_after[j], one_before[i]
+                one_part[i], one_part[j], one_after[i], one_rank[j] = rank, -1, k, -1
+                least = rank
+                new = -1
                 if k < n:
-                    before[k] = i
-                    key = rank << _ID_BITS | part[k]
-                    new = known.get(key)
-                    if new is None:
-                        new = pair(key)
+                    one_before[k] = i
+                    new = pairs.get(rank << _ID_BITS | one_part[k], -1)
                     if new >= 0:
                         fresh.append((new, i))
-                if h >= 0:
-                    key = part[h] << _ID_BITS | rank
-                    new = known.get(key)
-                    if new is None:
-                        new = pair(key)
+                        if new < least:
+                            least = new
+                one_rank[i] = new
+                if h < n:
+                    one_rank[h] = new = pairs.get(one_part[h] << _ID_BITS | rank, -1)
                     if new >= 0:
                         fresh.append((new, h))
+                        if new < least:
+                            least = new
+                if least < rank:  # it goes before the rest of this one
+                    fresh += [(rank, x) for x in bucket[at + 1 :]]
+                    break
+        alive = part[:n] >= 0
+        ids = part[:n][alive].astype("<i4").tobytes()
+        stop = (4 * np.cumsum(alive)[end - 1]).tolist()
+        begin = 0
+        for i, e in zip(todo, stop, strict=True):
+            out[i] = ids[begin:e]
+            begin = e
+        return out
+
+    def _merge_many(self, rank: int, at: np.ndarray, part: np.ndarray, after: np.ndarray, before: np.ndarray, rank_at: np.ndarray, end: np.ndarray):
+        """Merge all of a bucket's positions that aren't stale; the (rank, position) that become possible."""
+        n = len(part) - 1
+        every = at = at[rank_at[at] == rank]
+        if not len(at):
+            return []
+        follows = np.append(False, after[at[:-1]] == at[1:])
+        if follows.any():  # of overlapping ones every second, from the left
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0]
+        second = after[at]
+        third, left = after[second], before[at]
+        # what becomes possible between two merges, if they went from left to right one by one
+        left_id = np.where(np.append(False, left[1:] == second[:-1]), rank, part[left])
+        waiting = []
+        for new in (self._joined(rank, part[third]), self._joined(left_id, rank)):
+            if ((new >= 0) & (new < rank)).any():
+                own = np.searchsorted(end, every, side="right")
+                first = np.append(True, own[1:] != own[:-1])
+                waiting = [(rank, i) for i in every[~first].tolist()]
+                at = every[first]
+                second = after[at]
+                third = after[second]
+                break
+        part[at], part[second], after[at], rank_at[second] = rank, -1, third, -1
+        before[third] = at
+        left = before[at]
+        right_new = np.where(third < n, self._joined(rank, part[third]), -1)
+        left_new = np.where(left < n, self._joined(part[left], rank), -1)
+        rank_at[at] = right_new
+        rank_at[left] = left_new
+        rank_at[n] = -1
+        r, l = right_new >= 0, left_new >= 0
+        made = zip(np.concatenate([right_new[r], left_new[l]]).tolist(), np.concatenate([at[r], left[l]]).tolist(), strict=True)
+        return [*made, *waiting]
 
 
 @functools.cache
@@ -149,7 +221,7 @@ def _tables(path: str) -> tuple[Table, Table]:
 @functools.cache
 def _id_cache(path: str) -> PieceCache:
     v = vocabulary(path)
-    return PieceCache(lambda words: [np.array(v.merge(w.encode()), np.int32).tobytes() for w in words], b"".join)
+    return PieceCache(lambda words: v.merge_all([w.encode() for w in words]), b"".join)
 
 
 def encode_texts(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:

@@ -6,16 +6,21 @@ language is written in.  A word scores, for every language, the log-likelihood o
 relative to the best language, cut at ``FLOOR``; languages of other scripts get ``FLOOR``.
 Viterbi takes the path of languages with the best total, where each switch costs
 ``SWITCH``; so a few odd words stay in the language around them, and a quoted paragraph
-becomes a span of its own.  The text's language is that of most of its letters, and the
-score their share.
+becomes a span of its own.  A text needs no path where no run of its words gains ``SWITCH`` in
+other languages over the best one (the greatest sum of a run, for all texts at once); it is one
+span then, as the path would be.  The text's language is that of most of its letters.  The score
+is their share, times the odds that this language and not the next best one wrote the words.
 
 Null texts and texts without a letter are ``und`` with score 0 and no spans.  Ties go to the
 language first in alphabetical order.  Rows without a language, or with null text, teach
-nothing; without any labelled row all texts are ``und``.
+nothing; without any labelled row all texts are ``und``.  Rows that repeat an id are labelled each;
+very long texts are taken whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 import uuid
 from bisect import bisect_right
@@ -32,8 +37,6 @@ from sparklog.llm.common import by_bytes, crc_bucket
 BATCH_BYTES = 16 << 20
 #: Labelled texts of each language that ``fit`` reads, about; chosen by a hash of the id.
 SAMPLE = 2000
-#: Grams that the model keeps, the most frequent of all languages together.
-GRAMS = 60_000
 SWITCH = 8.0
 FLOOR = -6.0
 _WORDS_KEPT = 400_000
@@ -51,15 +54,24 @@ SCRIPTS = [
 _FIRST = [a for a, _ in SCRIPTS]
 
 
+@functools.cache
 def script(char: str) -> str:
     return SCRIPTS[bisect_right(_FIRST, ord(char)) - 1][1]
 
 
+_LATIN = frozenset(["latin"])
+
+
+def scripts_of(word: str) -> frozenset[str]:
+    """The scripts of all characters of a word."""
+    return _LATIN if word.isascii() else frozenset(map(script, word))
+
+
 def grams(word: str) -> list[str]:
     """Character 3-grams of a lower-case word with its edges; a short word counts whole as well."""
     edged = f"<{word}>"
     found = [edged[i : i + 3] for i in range(len(edged) - 2)]
-    return [*found, edged] if 1 < len(word) <= 5 else found
+    return [*found, edged] if 3 < len(edged) <= 7 else found
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +82,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, counts in words.items():
         made: Counter = Counter()
         for word, n in counts.items():
-            made["\0" + script(word[0])] += n
+            for name in scripts_of(word):
+                made["\0" + name] += n
             for g in grams(word.lower()):
                 made[g] += n
         yield pa.RecordBatch.from_pydict({"lang": [lang] * len(made), "gram": list(made), "n": list(made.values())})
@@ -87,18 +100,33 @@ class Model:
         kept = {g: n for g, n in counts.items() if g[0] != "\0"}
         seen = np.sum(list(kept.values()), axis=0) if kept else np.ones(len(langs))
         size = len(kept) + 1
-        self.scores = {g: np.log((n + 0.5) / (seen + 0.5 * size)).astype(np.float32) for g, n in kept.items()}
-        self.unseen = np.log(0.5 / (seen + 0.5 * size)).astype(np.float32)
-
-    def score(self, word: str) -> np.ndarray:
-        total = np.sum([self.scores.get(g, self.unseen) for g in grams(word.lower())], axis=0)
-        fits = self.scripts.get(script(word[0]))
-        if fits is not None and fits.any():
-            total = np.where(fits, total, -np.inf)
-        return np.maximum(total - total.max(), FLOOR).astype(np.float32)
-
-
-def fit(labelled: DataFrame, sample: int = SAMPLE, most_grams: int = GRAMS) -> Model:
+        self.number = {g: i for i, g in enumerate(kept)}
+        n = np.array(list(kept.values())).reshape(len(kept), len(langs))
+        self.scores = np.log((np.vstack([n, np.zeros(len(langs))]) + 0.5) / (seen + 0.5 * size))  # the last is of unseen grams
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """One row per word: of each language, relative to the best."""
+        get, unseen = self.number.get, len(self.number)
+        numbers, at = [], []
+        for word in words:
+            at.append(len(numbers))
+            edged = f"<{word.lower()}>"
+            numbers += [get(edged[i : i + 3], unseen) for i in range(len(edged) - 2)]
+            if 3 < len(edged) <= 7:
+                numbers.append(get(edged, unseen))
+        total = np.add.reduceat(self.scores[numbers], at, axis=0)
+        barred: dict[frozenset[str], list[int]] = {}
+        for i, word in enumerate(words):
+            barred.setdefault(scripts_of(word), []).append(i)
+        for names, rows in barred.items():
+            known = [fits for name in names if (fits := self.scripts.get(name)) is not None]
+            fits = np.all(known, axis=0) if known else np.zeros(len(self.langs), bool)
+            if fits.any():
+                total[np.ix_(rows, ~fits)] = -np.inf
+        return np.maximum(total - total.max(1, keepdims=True), FLOOR).astype(np.float32)
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of ``labelled`` (doc_id, text, lang), from about ``sample`` texts of each language."""
     rows = labelled.where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -111,9 +139,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, most_grams: int = GRAMS) -> M
     chosen = rows.where(F.abs(chance) < share).select("lang", "text")
     counts = chosen.mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
-    wide = counts.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(langs)], F.sum("n").alias("total"))
-    top = wide.orderBy(F.desc(F.expr("startswith(gram, '\\0')")), F.desc("total"), "gram").limit(most_grams).collect()
-    return Model(langs, {r.gram: np.array([r[f"n{i}"] or 0 for i in range(len(langs))], np.float64) for r in top})
+    wide = counts.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(langs)])
+    return Model(langs, {r.gram: np.array([r[f"n{i}"] or 0 for i in range(len(langs))], np.float64) for r in wide.collect()})
 
 
 class _Words:
@@ -141,7 +168,7 @@ class _Words:
                         found[i] = x
             out.append(np.array(found, np.int32))
         if new:
-            made = np.array([model.score(w) for w in new], np.float32)
+            made = model.score(new)
             self.scores = np.concatenate([self.scores, made]) if len(self.scores) else made
         return out
 
@@ -180,6 +207,36 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
     return path
 
 
+def best_paths(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray]:
+    """``viterbi`` where a switch can pay; and the total of each text's words by language."""
+    n = np.diff(at)
+    full = np.flatnonzero(n)
+    total = np.zeros((len(n), scores.shape[1]))
+    path = np.zeros(len(scores), np.uint8)
+    if not len(full):
+        return path, total
+    total[full] = np.add.reduceat(scores, at[full], axis=0, dtype=np.float64)
+    own = total.argmax(1)
+    path = np.repeat(own, n).astype(np.uint8)
+    if scores.shape[1] == 1:
+        return path, total
+    rows = np.arange(len(scores))
+    mine = scores[rows, path].astype(np.float64)
+    others = scores.copy()
+    others[rows, path] = -np.inf
+    # the greatest sum of a run in each text; texts are set apart, so that a minimum is the text's own
+    gain = others.max(1) - mine
+    apart = (np.abs(gain).sum() + 1) * np.repeat(np.arange(len(n)), n)
+    summed = np.cumsum(gain)
+    low = np.minimum.accumulate(summed - gain - apart) + apart
+    most = np.maximum.reduceat(summed - low, at[full])
+    mixed = full[most >= switch - 1e-3]
+    if len(mixed):
+        words = np.concatenate([np.arange(at[i], at[i + 1]) for i in mixed])
+        path[words] = viterbi(scores[words], np.concatenate([[0], np.cumsum(n[mixed])]), switch)
+    return path, total
+
+
 _kept: dict = {}
 
 
@@ -194,24 +251,28 @@ def _predict(model: Model, key: str, texts: list[str], spans: bool) -> Iterator[
     numbers = words.look_up(model, texts)
     at = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
     flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-    path = viterbi(words.scores[flat], at) if len(flat) else np.zeros(0, np.uint8)
+    path, total = best_paths(words.scores[flat], at) if len(flat) else (np.zeros(0, np.uint8), None)
+    turned = np.flatnonzero(np.diff(path)) + 1
     for i, text in enumerate(texts):
-        own = path[at[i] : at[i + 1]]
-        if not len(own):
+        a, b = at[i], at[i + 1]
+        if a == b:
             yield "und", 0.0, []
             continue
-        turns = np.flatnonzero(np.diff(own)) + 1
+        turns = turned[np.searchsorted(turned, a, "right") : np.searchsorted(turned, b)] - a
         if not len(turns):
-            lang = model.langs[own[0]]
-            yield lang, 1.0, [(lang, 0, len(text))]
-            continue
-        where = [m.span() for m in _WORD.finditer(text)]
-        letters = np.bincount(own, [b - a for a, b in where], len(model.langs))
-        begins = [0, *turns.tolist()]
-        ends = [where[k][0] for k in begins[1:]] + [len(text)]
-        starts = [0, *ends[:-1]]
-        k = int(letters.argmax())
-        yield model.langs[k], float(letters[k] / letters.sum()), [(model.langs[own[b]], s, e) for b, s, e in zip(begins, starts, ends, strict=True)] if spans else []
+            k, share, found = int(path[a]), 1.0, [(model.langs[path[a]], 0, len(text))]
+        else:
+            own = path[a:b]
+            where = [m.span() for m in _WORD.finditer(text)]
+            letters = np.bincount(own, [e - s for s, e in where], len(model.langs))
+            begins = [0, *turns.tolist()]
+            ends = [where[j][0] for j in begins[1:]] + [len(text)]
+            k = int(letters.argmax())
+            share = float(letters[k] / letters.sum())
+            found = [(model.langs[own[j]], s, e) for j, s, e in zip(begins, [0, *ends[:-1]], ends, strict=True)]
+        rest = np.delete(total[i], k)
+        odds = 1 / (1 + math.exp(-max(-30.0, min(30.0, total[i, k] - rest.max())))) if len(rest) else 1.0
+        yield model.langs[k], share * odds, found if spans else []
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
