@@ -1,15 +1,19 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text of any length is cut into words, and words after sentence and clause marks and 64
-characters, so that an edit touches few pieces.  Each piece gives a 64-bit digest (of itself and how
-often it came before in the text, so that repeated pieces count).  A sketch has three
-sub-tables of cells (count, xor of digests, xor of checks).  Subtracting the sketch of
-another version cancels what they share; peeling cells that hold one digest recovers the
-digests on either side.  When peeling gets stuck, both versions are sketched again in four
-times as many cells, until it succeeds.
-
-Likeness is ``1 - differing / (pieces of one + pieces of the other)``; 1 if both have none.
-Null texts count as empty.  Sketches of a batch of documents are built and peeled together.
+A text's paragraphs are its lines that aren't blank.  Each gives a 64-bit digest (of itself and
+how often it came before in the text, so that repeated ones count).  A sketch has three
+sub-tables of cells (count, xor of digests, xor of checks).  Subtracting the sketch of another
+version cancels what they share; peeling cells that hold one digest recovers the digests of
+the paragraphs on either side that differ.  When peeling gets stuck, both versions are sketched
+again in four times as many cells, or in as many as the counts show to be needed, until it
+succeeds.  The clauses of the paragraphs so found are compared by sketches of their own, as large as their number asks for, so
+that an edited paragraph isn't wholly another one.
+
+The fingerprint is the number of paragraphs and the first sketch, of ``FIRST_CELLS`` cells, as
+text; ``differing`` subtracts two fingerprints and peels.  Likeness is the share of the two
+texts' characters that isn't in differing clauses; 1 if both have none.  A clause ends after a
+mark or with the word that is ``CLAUSE`` characters on; one rule holds for texts of all lengths.  Null texts count as empty, very long ones are taken whole.  Sketches of a batch of
+documents are built and peeled together.
 
 ``with_next`` pairs each row with the next in ascending doc_id (after the last: the first),
 null ids first; rows that repeat an id follow each other in order of their text.
@@ -17,6 +21,7 @@ null ids first; rows that repeat an id follow each other in order of their text.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import hashlib
 import re
@@ -34,45 +39,54 @@ from sparklog.llm.shingles import mix
 
 BATCH_BYTES = 2 << 20
 _NO_ID = -(1 << 63)
+CLAUSE = 40
 _MARKS = ".,;:!?。、，；：！？"
-_PIECE = re.compile(rf"[^\s{_MARKS}]{{0,64}}[{_MARKS}]{{1,64}}|[^\s{_MARKS}]{{1,64}}")
+_CLAUSE = re.compile(rf"[^\s{_MARKS}][^{_MARKS}]{{0,{CLAUSE - 1}}}[^\s{_MARKS}]{{0,24}}[{_MARKS}]*|[{_MARKS}]+")
 _SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 _CHECK = np.uint64(0x082EFA98EC4E6C89)
 FIRST_CELLS = 24
 
 
-def piece_digests(text: str) -> list[int]:
-    """Digests of the pieces of a text; all different."""
-    digest = xxhash.xxh64_intdigest
-    found = [digest(p.encode()) for p in _PIECE.findall(text)]
-    if len(set(found)) == len(found):
-        return found
+def numbered(digests: list[int]) -> list[int]:
+    """The digests, all different: of equal ones the second and later are digested with their number."""
+    if len(set(digests)) == len(digests):
+        return digests
     seen: Counter = Counter()
     out = []
-    for d in found:
+    for d in digests:
         n = seen[d]
         seen[d] = n + 1
-        out.append(digest(d.to_bytes(8, "little"), n) if n else d)
+        out.append(xxhash.xxh64_intdigest(d.to_bytes(8, "little"), n) if n else d)
     return out
 
 
+def paragraphs(text: str) -> tuple[list[int], list[str]]:
+    """Digests of the paragraphs of a text, all different, and the paragraphs."""
+    found = [line for line in text.split("\n") if line and not line.isspace()]
+    return numbered([xxhash.xxh64_intdigest(line.encode()) for line in found]), found
+
+
 class Sketches:
     """Sketches of several documents, one after the other in flat arrays."""
 
     def __init__(self, digests: np.ndarray, owner: np.ndarray, n_docs: int, cells: int):
         self.n_docs, self.cells = n_docs, cells
-        self.count = np.zeros(n_docs * cells, np.int64)
+        self.count = np.zeros(n_docs * cells, np.int32)
         self.key = np.zeros(n_docs * cells, np.uint64)
         self.check = np.zeros(n_docs * cells, np.uint64)
-        self._toggle(digests, owner, np.ones(len(digests), np.int64))
+        self._toggle(digests, owner, np.ones(len(digests), np.int32))
 
-    def _toggle(self, digests: np.ndarray, owner: np.ndarray, signs: np.ndarray) -> None:
+    def _toggle(self, digests: np.ndarray, owner: np.ndarray, signs: np.ndarray) -> np.ndarray:
+        """Add digests (sign 1) or take them out (-1); the cells that they are in."""
         checks, third = mix(digests ^ _CHECK), self.cells // 3
+        touched = []
         for j, salt in enumerate(_SALTS):
             at = owner * self.cells + j * third + (mix(digests ^ salt ^ np.uint64(self.cells)) % np.uint64(third)).astype(np.int64)
             np.add.at(self.count, at, signs)
             np.bitwise_xor.at(self.key, at, digests)
             np.bitwise_xor.at(self.check, at, checks)
+            touched.append(at)
+        return np.concatenate(touched)
 
     def subtract(self, other: Sketches) -> Sketches:
         out = object.__new__(Sketches)
@@ -80,11 +94,19 @@ class Sketches:
         out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
         return out
 
+    def part(self, begin: int, end: int) -> Sketches:
+        """The sketches of some of the documents."""
+        out = object.__new__(Sketches)
+        out.n_docs, out.cells = end - begin, self.cells
+        out.count, out.key, out.check = (x[begin * self.cells : end * self.cells] for x in (self.count, self.key, self.check))
+        return out
+
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Which documents succeeded; owner, digest and side (1 or -1) of what was recovered."""
         owners, digests, signs = [], [], []
+        open_ = np.flatnonzero(self.count)
         for _ in range(4 * self.cells):
-            at = np.flatnonzero((np.abs(self.count) == 1) & (self.check == mix(self.key ^ _CHECK)))
+            at = open_[(np.abs(self.count[open_]) == 1) & (self.check[open_] == mix(self.key[open_] ^ _CHECK))]
             if not len(at):
                 break
             o, d, s = at // self.cells, self.key[at], self.count[at]
@@ -93,7 +115,7 @@ class Sketches:
             new = np.ones(len(o), bool)
             new[1:] = (o[1:] != o[:-1]) | (d[1:] != d[:-1])
             o, d, s = o[new], d[new], s[new]
-            self._toggle(d, o, -s)
+            open_ = np.unique(self._toggle(d, o, -s))
             owners.append(o)
             digests.append(d)
             signs.append(s)
@@ -101,12 +123,11 @@ class Sketches:
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         return empty.reshape(self.n_docs, self.cells).all(1), join(owners, np.int64), join(digests, np.uint64), join(signs, np.int64)
 
-    def digest(self, doc: int, size: int) -> str:
+    def text(self, doc: int, size: int) -> str:
+        """The sketch of one document, and how many digests it holds."""
         part = slice(doc * self.cells, (doc + 1) * self.cells)
-        made = hashlib.blake2b(size.to_bytes(8, "little"), digest_size=16)
-        for x in (self.count, self.key, self.check):
-            made.update(x[part].tobytes())
-        return made.hexdigest()
+        raw = b"".join([size.to_bytes(8, "little"), *[x[part].tobytes() for x in (self.count.astype("<i4"), self.key, self.check)]])
+        return base64.b64encode(raw).decode()
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,28 +135,75 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([d for x in lists for d in x], np.uint64), np.repeat(np.arange(len(lists)), sizes)
 
 
-def differences(one: list[list[int]], other: list[list[int]]) -> list[tuple[list[int], list[int]]]:
-    """For each pair of versions the digests only in the one and only in the other, by sketches alone."""
+def _read(fingerprint: str) -> tuple[int, Sketches]:
+    raw = base64.b64decode(fingerprint)
+    out = object.__new__(Sketches)
+    out.n_docs, out.cells = 1, (len(raw) - 8) // 20
+    out.count = np.frombuffer(raw, "<i4", out.cells, 8).astype(np.int32)
+    out.key, out.check = (np.frombuffer(raw, np.uint64, out.cells, 8 + k * out.cells) for k in (4, 12))
+    return int.from_bytes(raw[:8], "little"), out
+
+
+def differing(one: str, other: str) -> tuple[list[int], list[int]] | None:
+    """Digests of paragraphs only in the one and only in the other fingerprint's text; None if too many differ for their sketches."""
+    (_, a), (_, b) = _read(one), _read(other)
+    whole, _, digest, sign = a.subtract(b).peel()
+    return ([d for d, s in zip(digest.tolist(), sign.tolist(), strict=True) if s == side] for side in (1, -1)) if whole[0] else None
+
+
+def _cells(n: int) -> int:
+    """Cells in which ``n`` digests can be peeled."""
+    cells = FIRST_CELLS
+    while 2 * cells < 3 * n:
+        cells *= 2
+    return cells
+
+
+def differences(one: list[list[int]], other: list[list[int]], first: tuple[Sketches, Sketches] | None = None) -> list[tuple[list[int], list[int]]]:
+    """For each pair of versions the digests only in the one and only in the other, by sketches alone; ``first`` are those of ``FIRST_CELLS``, if there already."""
     out: list = [None] * len(one)
-    left, cells = list(range(len(one))), FIRST_CELLS
-    while left:
-        a = Sketches(*_flat([one[i] for i in left]), len(left), cells)
-        b = Sketches(*_flat([other[i] for i in left]), len(left), cells)
-        whole, owner, digest, sign = a.subtract(b).peel()
+    todo: dict[int, list[int]] = {}  # those to be sketched next, by the number of cells
+    for i, (x, y) in enumerate(zip(one, other, strict=True)):
+        todo.setdefault(FIRST_CELLS if first else _cells(len(x) + len(y)), []).append(i)
+    while todo:
+        cells = min(todo)
+        left = todo.pop(cells)
+        a, b = first or (Sketches(*_flat([x[i] for i in left]), len(left), cells) for x in (one, other))
+        first = None
+        apart = a.subtract(b)
+        # squares of counts add up to about how many differ, in each sub-table
+        guess = (apart.count.reshape(len(left), cells).astype(np.int64) ** 2).sum(1) // 3
+        whole, owner, digest, sign = apart.peel()
         for i, ok in zip(left, whole.tolist(), strict=True):
             if ok:
                 out[i] = ([], [])
         for o, d, s in zip(owner.tolist(), digest.tolist(), sign.tolist(), strict=True):
             if whole[o]:
                 out[left[o]][s < 0].append(d)
-        left = [i for i, ok in zip(left, whole.tolist(), strict=True) if not ok]
-        cells *= 4
+        for i, ok, n in zip(left, whole.tolist(), guess.tolist(), strict=True):
+            if not ok:
+                todo.setdefault(max(4 * cells, _cells(n)), []).append(i)
     return out
 
 
-def likeness(one: list[list[int]], other: list[list[int]]) -> list[float]:
-    differ = differences(one, other)
-    return [1.0 - (len(x) + len(y)) / (len(a) + len(b)) if a or b else 1.0 for a, b, (x, y) in zip(one, other, differ, strict=True)]
+def likeness(one: list[tuple[list[int], list[str]]], other: list[tuple[list[int], list[str]]], first: tuple[Sketches, Sketches] | None = None) -> list[float]:
+    """Of each pair of texts, given as their ``paragraphs``."""
+    apart = differences([d for d, _ in one], [d for d, _ in other], first)
+    sides: tuple[list, list] = ([], [])
+    sizes: list[dict[int, int]] = []
+    for (da, ta), (db, tb), (only_a, only_b) in zip(one, other, apart, strict=True):
+        size: dict[int, int] = {}
+        for side, digests, texts, only in zip(sides, (da, db), (ta, tb), (set(only_a), set(only_b)), strict=True):
+            found = [c for d, t in zip(digests, texts, strict=True) if d in only for c in _CLAUSE.findall(t)]
+            own = numbered([xxhash.xxh64_intdigest(c.encode()) for c in found])
+            size.update(zip(own, map(len, found), strict=True))
+            side.append(own)
+        sizes.append(size)
+    out = []
+    for (_, ta), (_, tb), size, (x, y) in zip(one, other, sizes, differences(*sides), strict=True):
+        n = sum(map(len, ta)) + sum(map(len, tb))
+        out.append(max(0.0, 1.0 - sum(size[d] for d in [*x, *y]) / n) if n else 1.0)
+    return out
 
 
 def _search(bounds: list[int], x) -> F.Column:
@@ -189,19 +257,17 @@ def op3(docs: DataFrame) -> DataFrame:
         for own, following in zip(texts[:-1], texts[1:], strict=True):
             q = len(own) // 4
             edited.append(own[: len(own) - q] + following[:q])
-        pieces = [piece_digests(t) for t in texts]
-        changed = [piece_digests(t) for t in edited]
-        a = Sketches(*_flat(pieces[:-1]), len(ids), FIRST_CELLS)
-        b = Sketches(*_flat(changed), len(ids), FIRST_CELLS)
+        own, changed = [paragraphs(t) for t in texts], [paragraphs(t) for t in edited]
+        a, b = (Sketches(*_flat([d for d, _ in x]), len(x), FIRST_CELLS) for x in (own, changed))
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": pa.array([None if i == _NO_ID else i for i in ids], pa.int64()),
                 "n_chars": pa.array([len(t) for t in texts[:-1]], pa.int64()),
                 "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
-                "fingerprint": [a.digest(i, len(p)) for i, p in enumerate(pieces[:-1])],
-                "edited_fingerprint": [b.digest(i, len(p)) for i, p in enumerate(changed)],
-                "near_edited": pa.array(likeness(pieces[:-1], changed), pa.float64()),
-                "near_next": pa.array(likeness(pieces[:-1], pieces[1:]), pa.float64()),
+                "fingerprint": [a.text(i, len(d)) for i, (d, _) in enumerate(own[:-1])],
+                "edited_fingerprint": [b.text(i, len(d)) for i, (d, _) in enumerate(changed)],
+                "near_edited": pa.array(likeness(own[:-1], changed, (a.part(0, len(ids)), b)), pa.float64()),
+                "near_next": pa.array(likeness(own[:-1], own[1:], (a.part(0, len(ids)), a.part(1, len(ids) + 1))), pa.float64()),
             }
         )
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,15 @@ def test_line_dedup_sql(spark, sf_dir, same_rows):
     same_rows(registry.queries()["op2_line_dedup"](spark, sf_dir), registry.oracle_sql()["op2_line_dedup"])
 
 
+def plain_likeness(a, b):
+    """By multisets: characters of clauses of paragraphs that only one of the texts has."""
+    lines = [Counter(x for x in t.split("\n") if x.strip()) for t in (a, b)]
+    clauses = lambda c: Counter(w for line, n in c.items() for w in fingerprint._CLAUSE.findall(line) * n)
+    x, y = clauses(lines[0] - lines[1]), clauses(lines[1] - lines[0])
+    n = sum(len(w) * m for c in lines for w, m in c.items())
+    return max(0, 1 - sum(len(w) * m for w, m in ((x - y) + (y - x)).items()) / n) if n else 1.0
+
+
 def test_fingerprints(spark):
     rng = random.Random(4)
     words = ["alpha", "beta", "gamma,", "delta.", "eps\n"]
@@ -181,15 +191,13 @@ def test_fingerprints(spark):
     got = {r.doc_id: r for r in fingerprint.op3(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, part int")).collect()}
     ordered = sorted((i, t or "") for i, t in rows)
     by_text = {}
-    like = lambda a, b: 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
     for k, (i, t) in enumerate(ordered):
         following = ordered[(k + 1) % len(ordered)][1]
         q = len(t) // 4
         edited = t[: len(t) - q] + following[:q]
-        a, b, c = (set(fingerprint.piece_digests(x)) for x in (t, edited, following))
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert abs(r.near_edited - like(a, b)) < 1e-9 and abs(r.near_next - like(a, c)) < 1e-9
+        assert abs(r.near_edited - plain_likeness(t, edited)) < 1e-9 and abs(r.near_next - plain_likeness(t, following)) < 1e-9
         assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
 
 
@@ -197,9 +205,18 @@ def test_likeness_across_lengths():
     """Near copies of 295 and 305 characters, and of 200 and 400, are cut by one rule."""
     rng = random.Random(8)
     text = " ".join(str(rng.randrange(1000, 10_000)) for _ in range(80))
-    for short, long, least in ((295, 305, 0.95), (200, 400, 0.6)):
-        a, b = (fingerprint.piece_digests(text[:n]) for n in (short, long))
-        assert fingerprint.likeness([a], [b])[0] >= least
+    for short, long, least in ((295, 305, 0.8), (200, 400, 0.5)):
+        a, b = ([fingerprint.paragraphs(text[:n])] for n in (short, long))
+        assert fingerprint.likeness(a, b)[0] >= least
+
+
+def test_fingerprints_subtract(spark):
+    one = "\n".join(f"paragraph {i}" for i in range(300))
+    rows = [(1, one), (2, one.replace("paragraph 7\n", "another\n")), (3, "\n".join(f"other {i}" for i in range(90)))]
+    got = {r.doc_id: r.fingerprint for r in fingerprint.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    digest = lambda t: fingerprint.paragraphs(t)[0]
+    assert [list(x) for x in fingerprint.differing(got[1], got[2])] == [digest("paragraph 7"), digest("another")]
+    assert fingerprint.differing(got[1], got[3]) is None and [list(x) for x in fingerprint.differing(got[1], got[1])] == [[], []]
 
 
 def test_fingerprint_single_and_empty(spark):

@@ -15,8 +15,9 @@ from test_duplicates import brute, line_brute  # noqa: E402
 
 def brute_leaks(text, index, percent=75):
     own = decontaminate.words(text)
-    grams = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
-    return any(len(q & grams) >= percent / 100 * len(q) for q, _ in index.shingles)
+    grams = {tuple(own[i : i + n]) for n in range(1, 6) for i in range(len(own) - n + 1)}
+    enough = lambda x, least: 100 * len(x & grams) >= least * len(x)
+    return any(enough(q, percent) and enough(a, 50) or enough(whole, percent) for q, a, whole in index.shingles)
 
 
 def test_stages(spark, sf_dir):

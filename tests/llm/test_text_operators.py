@@ -148,16 +148,18 @@ def leak_corpus():
     return items, docs, leaks
 
 
-def test_decontamination(spark, monkeypatch):
+def test_decontamination(spark):
     items, docs, leaks = leak_corpus()
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame([(d, t, 1) for d, t in docs] + [(900, None, 1), (901, "", 1)], "doc_id long, text string, item_id int")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaked(df, bench).collect()} == leaks
     kept = decontaminate.without_leaks(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, *_ in docs} - {d for d, _ in leaks} | {900, 901}
-    real = decontaminate.indexes
-    monkeypatch.setattr(decontaminate, "indexes", lambda items: real(items, 20))
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaked(df, bench).collect()} == leaks
+    whole, parts = ({(r.doc_id, r.item_id, round(r.score, 6)) for r in decontaminate.leaked(df, bench, shard=n).collect()} for n in (2000, 20))
+    assert whole == parts and {x[:2] for x in parts} == leaks
+    changed = bench.limit(0).union(spark.createDataFrame([(1, "what is the name of the tall bird in the old grey tower of the town? it is the heron")], bench.schema))
+    altered = spark.createDataFrame([(1, "so what is the name of the tall bird in the old grey tower of the town? it is the crane and more")], "doc_id long, text string")
+    assert decontaminate.leaked(altered, changed).count() == 1
     assert decontaminate.leaked(df, bench.limit(0)).count() == 0 and decontaminate.leaked(df.limit(0), bench).count() == 0
 
 

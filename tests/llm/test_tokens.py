@@ -89,3 +89,23 @@ def test_very_long_pre_token():
     word = "".join(random.choice("etaoinshrd") for _ in range(50_000))
     lib = tiktoken.Encoding("own", pat_str=pieces.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
     assert list(v.merge(word.encode())) == lib.encode_ordinary(word)
+
+
+def test_merges_of_any_vocabulary():
+    """Ranks that come up while a bucket is worked on go first, as in the library."""
+    tiktoken = pytest.importorskip("tiktoken")
+    rng = random.Random(2)
+    cases = [([b"bcbc", b"abc", b"bc"], [b"abcbc", b"", b"a"])]
+    for _ in range(60):
+        letters = b"abc"[: rng.choice([1, 2, 3])]
+        word = lambda most: bytes(rng.choice(letters) for _ in range(rng.randint(1, most)))
+        cases.append((list({word(5) for _ in range(rng.randint(1, 25))} - {bytes([b]) for b in letters}), [word(60) for _ in range(40)]))
+    for tokens, words in cases:
+        ranks = {bytes([i]): i for i in range(256)} | {t: 300 + i for i, t in enumerate(tokens)}
+        lib = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+        v = bpe.Vocabulary(ranks)
+        expected = [lib._encode_single_piece(w) if w else [] for w in words]
+        for many in (1, 3, bpe._MANY):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(bpe, "_MANY", many)
+                assert [np.frombuffer(x, np.int32).tolist() for x in v.merge_all(words)] == expected
