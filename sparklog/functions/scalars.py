@@ -49,7 +49,7 @@ def digit_ratio(c: Column) -> Column:
 def number(c: Column) -> Column:
     """Decimal, or hexadecimal with its prefix; null if neither."""
     c = F.trim(c)
-    hexadecimal = F.when(c.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(c, 3, 15), 16, 10).cast("long"))
+    hexadecimal = F.when(c.rlike("^0[xX][0-9a-fA-F]{1,16}$"), F.conv(F.substring(c, 3, 16), 16, 10).try_cast("decimal(20,0)").try_cast("long"))
     return F.coalesce(hexadecimal, c.try_cast("long"))
 
 
@@ -125,6 +125,30 @@ def system_account(user: Column) -> Column:
     return u.isin("", "-", "SYSTEM", "LOCAL SERVICE", "NETWORK SERVICE", "ANONYMOUS LOGON") | u.endswith("$") | u.startswith("DWM-") | u.startswith("UMFD-")
 
 
+#: Accounts of the system and its services.
+BUILTIN = ["system", "local service", "network service", "anonymous logon", "iusr", "network", "local system", "defaultaccount", "wdagutilityaccount"]
+
+
+def builtin_account(user: Column) -> Column:
+    """Accounts of the system, its services and of machines; a blank isn't one."""
+    u = F.lower(F.trim(F.coalesce(user, F.lit(""))))
+    return u.isin(BUILTIN) | u.startswith("nt authority\\") | u.startswith("nt service\\") | u.endswith("$")
+
+
+#: Folders that programs of services are in, and parts of folders that they shouldn't be in.
+SERVICE_FOLDERS = ["c:/windows/", "c:/program files/", "c:/program files (x86)/"]
+ODD_SERVICE_FOLDERS = ["/temp/", "/tmp/", "/appdata/", "/programdata/", "/users/", "/desktop/", "/downloads/", "/recycle"]
+
+
+def service_path_is_odd(path: Column) -> Column:
+    """Whether a service's program lies in a folder that users can write to; false for a blank."""
+    p = F.lower(F.coalesce(path, F.lit("")))
+    p = F.regexp_replace(F.regexp_replace(p, r"\\", "/"), r'^"+|"+$', "")
+    for name, value in (("%systemroot%", "c:/windows"), ("%windir%", "c:/windows"), ("%programfiles%", "c:/program files")):
+        p = F.replace(p, F.lit(name), F.lit(value))
+    return ~any_of([p.startswith(x) for x in SERVICE_FOLDERS]) & any_of([F.contains(p, F.lit(x)) for x in ODD_SERVICE_FOLDERS])
+
+
 def picked_user(*candidates: Column) -> Column:
     """The first that isn't blank or a dash, lower-cased."""
     return F.lower(F.coalesce(*[F.when(~F.trim(c).isin("", "-"), F.trim(c)) for c in candidates], F.lit("")))

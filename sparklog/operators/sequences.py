@@ -45,8 +45,13 @@ def bursts(df: DataFrame, keys: list[str], seconds: int, least: int, s: str = "s
 
     A start must also reach ``least_distinct`` values of ``distinct``, and ``closes`` (a boolean
     column of the window's last row) where given.  Result: keys, start_s, end_s, n, first and last ``tie``.
-    The fold of a key holds its qualifying starts only.
+    Keys are cut where a gap is longer than ``seconds``; no window crosses it, so each island is folded by
+    itself, and the fold holds an island's qualifying starts only.
     """
+    gap = F.col(s) - F.lag(s).over(W.partitionBy(*keys).orderBy(s, tie)) > seconds
+    df = df.withColumn("_g", F.coalesce(gap, F.lit(False)).cast("int"))
+    df = df.withColumn("_g", F.sum("_g").over(W.partitionBy(*keys).orderBy(s, tie)))
+    keys, shown = [*keys, "_g"], keys
     order = W.partitionBy(*keys).orderBy(s, tie)
     ahead = W.partitionBy(*keys).orderBy(s).rangeBetween(0, seconds)
     numbered = df.withColumn("_i", F.row_number().over(order))
@@ -69,7 +74,7 @@ def bursts(df: DataFrame, keys: list[str], seconds: int, least: int, s: str = "s
     )
     chosen = listed.select(*keys, F.explode(kept).alias("w")).select(*keys, "w.i", F.explode(F.sequence("w.i", "w.hi")).alias("_i"))
     joined = chosen.join(numbered.select(*keys, "_i", s, tie), [*keys, "_i"])
-    return joined.groupBy(*keys, "i").agg(F.min(s).alias("start_s"), F.max(s).alias("end_s"), F.count("*").alias("n"), F.min_by(tie, "_i").alias("first_id"), F.max_by(tie, "_i").alias("last_id")).drop("i")
+    return joined.groupBy(*keys, "i").agg(F.min(s).alias("start_s"), F.max(s).alias("end_s"), F.count("*").alias("n"), F.min_by(tie, "_i").alias("first_id"), F.max_by(tie, "_i").alias("last_id")).select(*shown, "start_s", "end_s", "n", "first_id", "last_id")
 
 
 def as_of(df: DataFrame, versions: DataFrame, keys: list[str], values: list[str], s: str = "sec", tie: str = "record_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparklog.operators import aggregates as A
 from sparklog.operators import ioc as I
 from sparklog.plans.base import query
+from sparklog.sources.audit_log import AUDIT_SQL, audit_log
 from sparklog.sources.security_log import security_log as log
 from sparklog.sources.security_log import table
 
@@ -111,3 +112,67 @@ def misp_rows(spark, sf_dir):
 @query(f"WITH {IOC_SQL} SELECT DISTINCT concat(ioc_type, ':', val) AS line FROM kept", log=False)
 def bulk_list(spark, sf_dir):
     return I.bulk_list(_occurrences(spark, sf_dir).select("ioc_type", "val").distinct())
+
+
+def _branch(kind: str, value: str, where: str) -> str:
+    return f"SELECT '{kind}' AS ioc_type, {value} AS val, * EXCLUDE (k) FROM audit WHERE {where}"
+
+
+def _found(kind: str, text: str, pattern: str, where: str = "true") -> str:
+    return f"SELECT '{kind}' AS ioc_type, unnest(regexp_extract_all({text}, '{pattern}')) AS val, * EXCLUDE (k) FROM audit WHERE {where}"
+
+
+_NOISE_USER = "('-', '', 'n/a', 'anonymous logon', 'local service', 'network service', 'system', 'window manager', 'font driver host', 'dwm-1', 'dwm-2', 'umfd-0', 'umfd-1')"
+_FREE = "left(concat_ws(' ', nullif(subject_user, ''), nullif(target_user, ''), nullif(ip_address, ''), nullif(command_line, ''), nullif(image, ''), nullif(parent_image, ''), nullif(share_name, '')), 4000)"
+_DOTTED = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
+_NET = "event_code IN (1, 3, 4624, 4625, 4648, 4688, 4776, 5140, 5145)"
+_URL = "https?://[^\\s\"''<>{}\\[\\]\\\\]{6,}"
+LOG_IOC_SQL = f"""WITH {AUDIT_SQL}, raw AS (
+  {_branch("computers", "computer", "lower(computer) NOT IN ('-', '', 'n/a')")}
+  UNION ALL {_branch("users", "subject_user", f"lower(subject_user) NOT IN {_NOISE_USER} AND subject_user NOT LIKE '%$'")}
+  UNION ALL {_branch("users", "target_user", f"lower(target_user) NOT IN {_NOISE_USER} AND target_user NOT LIKE '%$'")}
+  UNION ALL {_found("ipv4", "ip_address", _DOTTED, "ip_address IS NOT NULL")}
+  UNION ALL {_found("ipv4", _FREE, _DOTTED, _NET)}
+  UNION ALL {_branch("ipv6", "ip_address", "ip_address LIKE '%::%'")}
+  UNION ALL {_branch("commandlines", "command_line", "event_code IN (1, 4688)")}
+  UNION ALL {_branch("processes", "image", "event_code IN (1, 4688)")}
+  UNION ALL {_branch("processes", "service_path", "event_code = 7045 AND service_path <> ''")}
+  UNION ALL {_branch("filepaths", "target_file", "event_code IN (11, 4663) AND target_file LIKE '%/%'")}
+  UNION ALL {_branch("filepaths", "target_object", "event_code = 4663 AND target_object LIKE '%/%'")}
+  UNION ALL {_branch("registry", "target_object", "event_code IN (13, 4657, 4663) AND (upper(target_object) LIKE '%HKEY%' OR upper(target_object) LIKE '%/SOFTWARE/%' OR upper(target_object) LIKE '%/SYSTEM/%')")}
+  UNION ALL {_branch("md5", "lower(hashes[5:36])", "hashes IS NOT NULL")}
+  UNION ALL SELECT 'domains', lower(unnest(regexp_extract_all({_FREE}, '(?i)\\b(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+(?:com|net|org|io|info|in|top|date)\\b'))), * EXCLUDE (k) FROM audit WHERE {_NET}
+  UNION ALL SELECT 'urls', rtrim(unnest(regexp_extract_all(concat_ws(' ', command_line, script_text), '{_URL}')), '.,;:)''"'), * EXCLUDE (k) FROM audit WHERE event_code IN (1, 4688, 4104)
+  UNION ALL {_branch("named_pipes", "pipe_name", "event_code = 17 AND pipe_name NOT IN ('/lsass', '/wkssvc')")}
+  UNION ALL {_branch("services", "service_name", "event_code = 7045")}
+  UNION ALL {_branch("tasks", "task_name", "event_code IN (4698, 4702)")}
+  UNION ALL {_branch("shares", "share_name", "event_code = 5140 AND lower(share_name) NOT IN ('ipc$', 'admin$', 'sysvol', 'netlogon', 'print$', 'c$', 'd$')")}
+  UNION ALL {_branch("dlls", "loaded_image", "event_code = 7 AND lower(loaded_image) LIKE '%.dll' AND lower(loaded_image) NOT LIKE '%/system32/%'")}
+), occurrences AS (
+  SELECT *, CASE WHEN lower(trim(subject_user)) NOT IN {_NOISE_USER} AND subject_user NOT LIKE '%$' THEN subject_user WHEN lower(trim(target_user)) NOT IN {_NOISE_USER} AND target_user NOT LIKE '%$' THEN target_user ELSE '' END AS user_name,
+    regexp_extract(source_file, '[^/]*$') AS source FROM raw WHERE ioc_type <> 'ipv4' OR val NOT IN ('0.0.0.0', '127.0.0.1', '255.255.255.255', '169.254.169.254') AND val NOT LIKE '0.%'
+)"""
+
+
+def _set(column: str, limit: int) -> str:
+    return f"array_to_string(list_sort(list(DISTINCT {column}) FILTER (CAST({column} AS VARCHAR) <> ''))[1:{limit}], ',') AS {column}s"
+
+
+@query(f"{LOG_IOC_SQL} SELECT ioc_type, val, count(*) AS n, min(sec) AS first_s, max(sec) AS last_s, {_set('event_code', 20)}, {_set('record_id', 50000)}, coalesce({_set('user_name', 10).removesuffix(' AS user_names')}, '') AS user_names, {_set('computer', 10)}, {_set('source', 5)} FROM occurrences GROUP BY 1, 2", log=False)
+def log_ioc_table(spark, sf_dir):
+    """All 18 types of indicators of the audit log, with counts, times and sets."""
+    out = I.log_ioc_table(I.log_indicators(audit_log(spark, sf_dir)))
+    return out.select(*[F.array_join(c, ",").alias(c) if c.endswith("s") and c[:-1] in I.SET_LIMITS else F.col(c) for c in out.columns])
+
+
+@query(f"{LOG_IOC_SQL} SELECT ioc_type, count(DISTINCT val) AS vals, count(*) AS n FROM occurrences GROUP BY 1", log=False)
+def log_ioc_summary(spark, sf_dir):
+    return I.log_indicators(audit_log(spark, sf_dir)).groupBy("ioc_type").agg(F.countDistinct("val").alias("vals"), F.count("*").alias("n"))
+
+
+@query(f"""{LOG_IOC_SQL}, scored AS (SELECT DISTINCT ioc_type, val, CASE WHEN ioc_type = 'ipv4' THEN CASE WHEN val LIKE '10.%' THEN 0 ELSE 30 END END AS score FROM occurrences WHERE ioc_type IN ('ipv4', 'tasks'))
+SELECT ioc_type, val, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY ioc_type ORDER BY coalesce(score, 0) DESC, val) AS place FROM scored""", log=False)
+def log_ioc_by_score(spark, sf_dir):
+    """Addresses and tasks of the log in order of their score within the type."""
+    rows = I.log_indicators(audit_log(spark, sf_dir)).where("ioc_type in ('ipv4', 'tasks')").select("ioc_type", "val").distinct()
+    return I.best_per_type(I.scored_indicators(rows)).select("ioc_type", "val", "score", F.col("place").cast("long").alias("place"))
