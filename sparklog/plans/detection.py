@@ -9,6 +9,7 @@ from sparklog.operators import sequences as Q
 from sparklog.operators import tags as T
 from sparklog.plans.base import query
 from sparklog.plans.joining import burst_sql
+from sparklog.sources.audit_log import AUDIT_SQL, audit_log
 from sparklog.sources.security_log import security_log as log
 
 HOUR, DAY = 3600, 86_400
@@ -32,11 +33,12 @@ RULE_SQL = """ruled AS (
     WHEN event_code = 4688 AND process_name = 'powershell.exe' THEN [{'a': 'Execution', 'b': 'T1059.001', 'c': 'medium'}]
     WHEN event_code = 4688 AND process_name = 'cmd.exe' AND parent_name = 'explorer.exe' THEN [{'a': 'Execution', 'b': 'T1059.003', 'c': 'low'}]
     WHEN event_code = 4688 AND process_name = 'cmd.exe' THEN [{'a': 'Execution', 'b': 'T1059.003', 'c': 'medium'}]
+    WHEN event_code = 4688 AND process_name NOT IN ('conhost.exe', 'svchost.exe') THEN [{'a': 'Execution', 'b': 'T1059', 'c': 'low'}]
     ELSE [] END) AS t FROM security_log)"""
 TAGGED_SQL = f"""{STATIC_SQL}, {LINEAGE_SQL}, {BENIGN_SQL}, {RULE_SQL}, own AS (
   SELECT record_id, event_code, process_name, parent_name, t.a AS tactic, t.b AS tid, t.c AS confidence FROM ruled
-  UNION ALL SELECT record_id, event_code, process_name, parent_name, tactic, tid, CASE WHEN event_code IN (4624, 4634, 4672, 4688, 4663, 7036) THEN 'low' ELSE 'medium' END FROM security_log JOIN static_map ON code = event_code
-    WHERE event_code NOT IN (4624, 4625, 4672) AND NOT (event_code = 4688 AND process_name IN ('powershell.exe', 'cmd.exe', 'conhost.exe'))
+  UNION ALL SELECT record_id, event_code, process_name, parent_name, tactic, tid, CASE WHEN event_code IN (4624, 4672, 4663, 4656, 5140, 7036) THEN 'low' ELSE 'medium' END FROM security_log JOIN static_map ON code = event_code
+    WHERE event_code NOT IN (4624, 4625, 4672, 4688)
 ), every AS (
   SELECT record_id, tactic, tid, confidence FROM own o WHERE NOT (event_code = 4688 AND tactic = 'Execution' AND EXISTS (SELECT 1 FROM benign WHERE parent = parent_name AND child = process_name))
   UNION ALL SELECT record_id, tactic, tid, confidence FROM security_log JOIN lineage ON parent = parent_name AND child = process_name WHERE event_code = 4688
@@ -48,7 +50,7 @@ def _exploded(df, column):
     return df.select("record_id", F.explode(column).alias("t")).select("record_id", "t.tactic", "t.tid", "t.confidence")
 
 
-@query(f", {STATIC_SQL} SELECT record_id, tactic, tid, CASE WHEN event_code IN (4624, 4634, 4672, 4688, 4663, 7036) THEN 'low' ELSE 'medium' END AS confidence FROM security_log JOIN static_map ON code = event_code")
+@query(f", {STATIC_SQL} SELECT record_id, tactic, tid, CASE WHEN event_code IN (4624, 4672, 4663, 4656, 5140, 7036) THEN 'low' ELSE 'medium' END AS confidence FROM security_log JOIN static_map ON code = event_code")
 def tags_static(spark, sf_dir):
     return _exploded(T.static_tags(log(spark, sf_dir).select("record_id", "event_code")), "static")
 
@@ -56,7 +58,7 @@ def tags_static(spark, sf_dir):
 @query(f", {RULE_SQL} SELECT record_id, t.a AS tactic, t.b AS tid, t.c AS confidence FROM ruled")
 def tags_rules(spark, sf_dir):
     tags, _ = T.rule_tags()
-    return _exploded(log(spark, sf_dir).select("record_id", T.best_of(tags).alias("tags")), "tags")
+    return _exploded(T.with_rule_columns(log(spark, sf_dir)).select("record_id", T.best_of(tags).alias("tags")), "tags")
 
 
 @query(f", {TAGGED_SQL} SELECT * FROM tagged")
@@ -233,3 +235,39 @@ def chains_all(spark, sf_dir):
     spray = rows.where("event_code = 4625").select(F.lit("spray").alias("rule"), F.lit("high").alias("severity"), "computer")
     hashes = rows.where("event_code = 4624 and logon_type = '3'").select(F.lit("hash").alias("rule"), F.lit("critical").alias("severity"), "computer")
     return spray.unionByName(hashes).groupBy("rule", "severity").agg(F.count("*").alias("chains"), F.countDistinct("computer").alias("hosts"))
+
+
+_AUDIT_RULES = """ruled AS (SELECT *, CASE
+  WHEN event_code = 4624 AND logon_type = '5' THEN []
+  WHEN event_code = 4624 AND logon_type IN ('3', '10') THEN [('Initial Access', 'T1078', 'medium'), ('Lateral Movement', CASE logon_type WHEN '3' THEN 'T1021' ELSE 'T1021.001' END, 'medium')]
+  WHEN event_code = 4624 AND logon_type = '4' THEN [('Persistence', 'T1053.005', 'low')]
+  WHEN event_code = 4624 THEN [('Initial Access', 'T1078', 'low')]
+  WHEN event_code = 4625 THEN [('Credential Access', 'T1110', CASE WHEN lower(sub_status) IN ('0xc000006a', '0xc000006d') THEN 'medium' ELSE 'low' END)]
+  WHEN event_code = 4672 THEN CASE WHEN lower(subject_user) = 'system' OR subject_user LIKE '%$' THEN [] ELSE [('Privilege Escalation', 'T1134', 'medium')] END
+  WHEN event_code = 4688 THEN CASE WHEN child IN ('conhost.exe', 'svchost.exe') THEN [] WHEN child = 'powershell.exe' THEN [('Execution', 'T1059.001', 'medium')]
+    WHEN child = 'cmd.exe' THEN [('Execution', 'T1059.003', CASE WHEN parent = 'explorer.exe' THEN 'low' ELSE 'medium' END)] ELSE [('Execution', 'T1059', 'low')] END
+  WHEN event_code = 1 AND child = 'powershell.exe' THEN list_concat(
+    CASE WHEN lower(command_line) LIKE '%-enc %' THEN [('Execution', 'T1059.001', 'high')] ELSE [] END,
+    list_concat(CASE WHEN lower(command_line) LIKE '%-nop %' THEN [('Defense Evasion', 'T1059.001', 'medium')] ELSE [] END,
+    CASE WHEN lower(command_line) NOT LIKE '%-enc %' AND lower(command_line) NOT LIKE '%-nop %' THEN [('Execution', 'T1059.001', 'medium')] ELSE [] END))
+  WHEN event_code = 1 AND child = 'cmd.exe' THEN [('Execution', 'T1059.003', 'medium')]
+  WHEN event_code = 1 AND child IN ('conhost.exe', 'svchost.exe') THEN []
+  WHEN event_code = 1 THEN [('Execution', 'T1059', 'low')]
+  WHEN event_code = 4663 THEN []
+  WHEN event_code = 7045 THEN [('Persistence', 'T1543.003', CASE WHEN regexp_matches(lower(service_path), '^(c:/windows/|%systemroot%/)') THEN 'low' ELSE 'high' END)]
+  WHEN event_code = 5140 THEN CASE WHEN lower(share_name) LIKE '%/admin$' THEN [('Lateral Movement', 'T1021.002', 'medium')] ELSE [('Lateral Movement', 'T1039', 'low')] END
+  WHEN event_code = 4769 THEN CASE WHEN ticket_service LIKE '%$' THEN [] WHEN ticket_cipher IN ('0x17', '23') THEN [('Credential Access', 'T1558.003', 'high')] ELSE [('Credential Access', 'T1558.003', 'medium')] END
+  END AS own FROM (SELECT *, CASE WHEN image LIKE '%/%' THEN regexp_extract(lower(image), '[^/]*$') ELSE concat('no path ', image) END AS child, regexp_extract(lower(image), '[^/]*$') AS short, regexp_extract(lower(parent_image), '[^/]*$') AS parent FROM audit))"""
+AUDIT_TAGS_SQL = f"""WITH {AUDIT_SQL}, {_AUDIT_RULES}, {STATIC_SQL}, {LINEAGE_SQL}, {BENIGN_SQL}, first AS (
+  SELECT record_id, event_code, short, parent, unnest(own) AS t FROM ruled WHERE own IS NOT NULL
+  UNION ALL SELECT record_id, event_code, short, parent, (tactic, tid, CASE WHEN event_code IN (4624, 4672, 4663, 4656, 5140, 7036) THEN 'low' ELSE 'medium' END) FROM ruled JOIN static_map ON code = event_code WHERE own IS NULL AND (code > 25 OR lower(provider) LIKE '%sysmon%')
+), every AS (
+  SELECT record_id, t[1] AS tactic, t[2] AS tid, t[3] AS confidence FROM first WHERE NOT (event_code IN (1, 4688) AND t[1] = 'Execution' AND EXISTS (SELECT 1 FROM benign b WHERE b.parent = first.parent AND child = short))
+  UNION ALL SELECT record_id, tactic, tid, confidence FROM ruled r JOIN lineage l ON l.parent = r.parent AND l.child = r.short WHERE event_code IN (1, 4688)
+) SELECT record_id, tactic, tid, min_by(confidence, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS confidence FROM every GROUP BY 1, 2, 3"""
+
+
+@query(AUDIT_TAGS_SQL, log=False)
+def audit_tags(spark, sf_dir):
+    """Tags of the audit log by all conditional rules, the static map and the context (no command there is random enough for a tag)."""
+    return _exploded(T.tagged(audit_log(spark, sf_dir)), "tags")
