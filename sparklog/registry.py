@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparklog.plans import chains, detection, filtering, indicators, joining, moving, profiling, reporting  # noqa: F401
+from sparklog.plans import chains, detection, filtering, indicators, joining, moving, processes, profiling, reporting  # noqa: F401
 from sparklog.plans.base import ORACLES, QUERIES
 
 
