@@ -26,12 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklog.llm.common import by_bytes, crc_bucket, materialize
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Labelled rows that ``fit`` reads at most, the first by a hash of the id.
 SAMPLE = 12_000
 NEIGHBOURS = 15
@@ -51,32 +52,55 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in _BEGINNINGS if len(word) > n)]
 
 
+def term_code(term: str) -> int:
+    """Terms are held as 64-bit hashes: a number each, where text would fill the workers."""
+    return xxhash.xxh64_intdigest(term.encode())
+
+
 class TermFinder:
-    """Kept terms of a text with their frequency; words met before aren't looked at again."""
+    """Kept terms of texts with their frequency; words met before aren't looked at again."""
 
-    def __init__(self, kept: dict[str, int], limit: int = 500_000):
+    def __init__(self, kept: np.ndarray, limit: int = 150_000):
+        """``kept`` has the sorted codes of the terms."""
         self.kept, self.limit = kept, limit
-        self.dull: set[str] = set()
-        self.hits: dict[str, list[int]] = {}
-
-    def find(self, text: str | None) -> dict[int, int]:
-        own = Counter(words(text))
-        if len(self.dull) > self.limit:
-            self.dull.clear()
-        out: dict[int, int] = {}
-        for word in own.keys() - self.dull:
-            ids = self.hits.get(word)
-            if ids is None:
-                ids = [self.kept[t] for t in terms_of(word) if t in self.kept]
-                if not ids:
-                    self.dull.add(word)
-                    continue
-                if len(self.hits) > self.limit:
-                    self.hits.clear()
-                self.hits[word] = ids
-            n = own[word]
-            for t in ids:
-                out[t] = out.get(t, 0) + n
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        codes, owner, code = [], [], xxhash.xxh64_intdigest
+        for i, word in enumerate(new):
+            raw, n = word.encode(), len(word)
+            codes.append(code(raw))
+            owner.append(i)
+            plain = word.isascii()
+            for m in _BEGINNINGS:
+                if n <= m:
+                    break
+                codes.append(code((raw[:m] if plain else word[:m].encode()) + b"*"))
+                owner.append(i)
+        codes = np.array(codes, np.uint64)
+        at = np.minimum(np.searchsorted(self.kept, codes), max(0, len(self.kept) - 1))
+        hit = np.flatnonzero(self.kept[at] == codes) if len(self.kept) else []
+        found: dict[int, list[int]] = {}
+        for j in hit:
+            found.setdefault(owner[j], []).append(int(at[j]))
+        self.known.update(dict.fromkeys(new, ()))
+        self.known.update({new[i]: tuple(ids) for i, ids in found.items()})
+
+    def find(self, texts: list[str | None]) -> list[dict[int, int]]:
+        """Of each text the numbers of its kept terms, and how often they occur."""
+        counts = [Counter(words(t)) for t in texts]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        new = set().union(*counts).difference(self.known)
+        if new:
+            self._learn(list(new))
+        out = []
+        for own in counts:
+            total: dict[int, int] = {}
+            for word, n in own.items():
+                for t in self.known[word]:
+                    total[t] = total.get(t, 0) + n
+            out.append(total)
         return out
 
 
@@ -101,7 +125,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Inverted index of the examples; see the module.  Pickled are term numbers and frequencies only; the rest is built again."""
 
-    def __init__(self, kept: list[str], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list, prior: float, k: int = NEIGHBOURS):
+    def __init__(self, kept: np.ndarray, idf: np.ndarray, ids: list[int], labels: list[int], vectors: list, prior: float, k: int = NEIGHBOURS):
         """``vectors`` are dicts from term number to frequency, or pairs of arrays of these."""
         order = np.argsort(np.array(ids, np.int64), kind="stable")
         self.kept, self.idf, self.k, self.prior = kept, idf, k, prior
@@ -113,27 +137,32 @@ class Index:
         self._build()
         self.steps = (np.zeros(1), np.full(1, prior))
         if len(ids):
-            votes = np.array([self.vote(at, w, skip=i) for i, (at, w) in enumerate(self.vectors)])
+            votes = np.array([self.vote(*self.vector(i), skip=i) for i in range(len(ids))])
             self.steps = isotonic(votes, self.labels)
 
     def _build(self) -> None:
-        cuts = np.append(0, np.cumsum(self.sizes))
+        self.cuts = np.append(0, np.cumsum(self.sizes))
         owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         w = (1.0 + np.log(self.tf)) * self.idf[self.at]
         w /= np.sqrt(np.bincount(owner, w * w, len(self.sizes)))[owner]
-        self.vectors = [(self.at[a:b], w[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        by_term = np.argsort(self.at, kind="stable")
-        self.docs, self.weights = owner[by_term], w[by_term]
+        self.weights = w
+        self.by_term = np.argsort(self.at, kind="stable").astype(np.int32)
+        self.docs = owner[self.by_term]
         self.start = np.append(0, np.cumsum(np.bincount(self.at, minlength=len(self.kept))))
         self.most = np.zeros(len(self.kept))
         np.maximum.at(self.most, self.at, w)
 
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.cuts[i], self.cuts[i + 1]
+        return self.at[a:b], self.weights[a:b]
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("vectors", "docs", "weights", "start", "most")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cuts", "docs", "weights", "by_term", "start", "most")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._build()
+        del self.tf  # a worker that only asks needs it no more
 
     def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), np.int64)
@@ -141,11 +170,10 @@ class Index:
         return at, w / np.sqrt((w * w).sum())
 
     def _add(self, scores: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
-        spans = [slice(a, b) for a, b in zip(self.start[at].tolist(), self.start[at + 1].tolist(), strict=True)]
-        if spans:
-            docs = np.concatenate([self.docs[x] for x in spans])
-            weights = np.concatenate([self.weights[x] * y for x, y in zip(spans, w.tolist(), strict=True)])
-            scores += np.bincount(docs, weights, len(scores))
+        n = self.start[at + 1] - self.start[at]
+        if len(n):
+            place = np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            scores += np.bincount(self.docs[place], self.weights[self.by_term[place]] * np.repeat(w, n), len(scores))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the ``k`` nearest examples, best first."""
@@ -166,7 +194,7 @@ class Index:
                 query = np.zeros(len(self.kept))
                 query[at[done:]] = w[done:]
                 for i in found.tolist():
-                    own, x = self.vectors[i]
+                    own, x = self.vector(i)
                     scores[i] += query[own] @ x
                 break
         best = found[np.lexsort((found, -np.round(scores[found], 12)))[:k]]
@@ -197,12 +225,12 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = (Counter(), Counter())
     for batch in batches:
         for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            count[label].update({t for w in set(words(text)) for t in terms_of(w)})
+            count[label].update({t for w in set(words(text)) for t in map(term_code, terms_of(w))})
     for label in (0, 1):
         made = list(count[label].items())
         for k in range(0, len(made), 50_000):
             some = made[k : k + 50_000]
-            yield pa.RecordBatch.from_pydict({"term": [t for t, _ in some], "clean": pa.array([n * (1 - label) for _, n in some], pa.int64()), "toxic": pa.array([n * label for _, n in some], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"term": np.array([t for t, _ in some], np.uint64).view(np.int64), "clean": pa.array([n * (1 - label) for _, n in some], pa.int64()), "toxic": pa.array([n * label for _, n in some], pa.int64())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
@@ -214,22 +242,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     size = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n1 or not n0:
-        return Index([], np.zeros(0), [], [], [], float(n1 > 0))
-    counts = rows.mapInArrow(_term_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        return Index(np.zeros(0, np.uint64), np.zeros(0), [], [], [], float(n1 > 0))
+    counts = rows.mapInArrow(_term_counts, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     b, d = F.col("clean").cast("double"), F.col("toxic").cast("double")
     n = n0 + n1
     less = F.greatest(d - 0.5, F.lit(0.0))
     chi2 = n * F.pow(less * (n0 - b) - b * (n1 - less), 2) / ((b + less) * (n - b - less) * float(n0) * float(n1))
     lift = (d + n1 / n) / (b + d + 1.0) - n1 / n
     leans = (less / n1 > b / n0) & (lift > 0)
-    top = counts.where(leans).select("term", (F.pow(chi2 / n, 2) * lift * (F.log((1.0 + n) / (1.0 + b + d)) + 1.0)).alias("weight")).where("weight > 0").orderBy("term").toArrow()
-    kept, weight = top.column("term").to_pylist(), top.column("weight").to_numpy()
-    number = {t: i for i, t in enumerate(kept)}
+    top = counts.where(leans).select("term", (F.pow(chi2 / n, 2) * lift * (F.log((1.0 + n) / (1.0 + b + d)) + 1.0)).alias("weight")).where("weight > 0").toArrow()
+    kept, weight = top.column("term").to_numpy().view(np.uint64), top.column("weight").to_numpy()
+    order = np.argsort(kept)
+    kept, weight = kept[order], weight[order]
+    terms = docs.sparkSession.sparkContext.broadcast(kept)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermFinder(number)
-        for batch in batches:
-            found = [finder.find(t) for t in batch.column(2).to_pylist()]
+        finder = TermFinder(terms.value)
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            found = finder.find(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "label", "at", "tf"])
 
     found = rows.mapInArrow(vectors, "doc_id long, label int, at array<int>, tf array<int>").toArrow().combine_chunks()
@@ -256,10 +286,10 @@ def toxicity(docs: DataFrame, index: Index) -> DataFrame:
         index = shared.value
         if key not in _finders:
             _finders.clear()
-            _finders[key] = TermFinder({t: i for i, t in enumerate(index.kept)})
+            _finders[key] = TermFinder(index.kept)
         find = _finders[key].find
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            made = [index.score(find(t)) for t in batch.column(1).to_pylist()]
+            made = list(map(index.score, find(batch.column(1).to_pylist())))
             evidence = pa.array([[{"doc_id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in made], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in made], pa.float64()), evidence], names=["doc_id", "score", "evidence"])
 
@@ -285,10 +315,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _finders:
             _finders.clear()
-            _finders[key] = TermFinder({t: i for i, t in enumerate(shared.value.kept)})
+            _finders[key] = TermFinder(shared.value.kept)
         find = _finders[key].find
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            clean = [shared.value.score(find(t), 1)[0] < TOXIC for t in batch.column(at).to_pylist()]
+            clean = [shared.value.score(found, 1)[0] < TOXIC for found in find(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

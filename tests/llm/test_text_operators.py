@@ -87,7 +87,7 @@ def test_block_max_is_exact():
     vectors = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(40, rng.integers(1, 9), replace=False)} for _ in range(700)]
     index = toxicity.Index([f"t{i}" for i in range(40)], rng.random(40) + 0.5, list(range(700)), rng.integers(0, 2, 700).tolist(), vectors, 0.1)
     dense = np.zeros((700, 40))
-    for i, (at, w) in enumerate(index.vectors):
+    for i, (at, w) in enumerate(map(index.vector, range(len(index.sizes)))):
         dense[i, at] = w
     for _ in range(100):
         at, w = index.weigh({int(t): 1 for t in rng.choice(40, 5, replace=False)})
