@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sparklog.llm.common import by_bytes, crc_bucket, materialize
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Labelled rows that ``fit`` reads at most, the first by a hash of the id.
 SAMPLE = 12_000
 NEIGHBOURS = 15
@@ -60,7 +60,7 @@ def term_code(term: str) -> int:
 class TermFinder:
     """Kept terms of texts with their frequency; words met before aren't looked at again."""
 
-    def __init__(self, kept: np.ndarray, limit: int = 150_000):
+    def __init__(self, kept: np.ndarray, limit: int = 100_000):
         """``kept`` has the sorted codes of the terms."""
         self.kept, self.limit = kept, limit
         self.known: dict[str, tuple[int, ...]] = {}
@@ -141,16 +141,22 @@ class Index:
             self.steps = isotonic(votes, self.labels)
 
     def _build(self) -> None:
+        """Four bytes a weight, and some examples at a time, as each worker holds an index of its own."""
+        n = len(self.sizes)
         self.cuts = np.append(0, np.cumsum(self.sizes))
-        owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        w = (1.0 + np.log(self.tf)) * self.idf[self.at]
-        w /= np.sqrt(np.bincount(owner, w * w, len(self.sizes)))[owner]
-        self.weights = w
+        self.weights = np.zeros(len(self.at), np.float32)
+        self.most = np.zeros(len(self.kept))
+        for i in range(0, n, 500):
+            part = slice(self.cuts[i], self.cuts[min(n, i + 500)])
+            at, size = self.at[part], self.sizes[i : i + 500]
+            owner = np.repeat(np.arange(len(size)), size)
+            w = (1.0 + np.log(self.tf[part])) * self.idf[at]
+            w /= np.sqrt(np.bincount(owner, w * w, len(size)))[owner]
+            self.weights[part] = w
+            np.maximum.at(self.most, at, self.weights[part])
         self.by_term = np.argsort(self.at, kind="stable").astype(np.int32)
-        self.docs = owner[self.by_term]
+        self.docs = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.int32), self.sizes)[self.by_term]
         self.start = np.append(0, np.cumsum(np.bincount(self.at, minlength=len(self.kept))))
-        self.most = np.zeros(len(self.kept))
-        np.maximum.at(self.most, self.at, w)
 
     def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.cuts[i], self.cuts[i + 1]
