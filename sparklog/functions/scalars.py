@@ -87,9 +87,10 @@ def duration(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
 
 
-def squeeze(c: Column, most: int = 500) -> Column:
-    """Control characters and runs of white space become one blank, cut at ``most`` characters."""
-    return F.left(F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f]", " "), " +", " ")), F.lit(most))
+def squeeze(c: Column, most: int | None = 500) -> Column:
+    """Control characters and runs of white space become one blank, cut at ``most`` characters where given."""
+    out = F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f]", " "), " +", " "))
+    return out if most is None else F.left(out, F.lit(most))
 
 
 def xml_text(c: Column) -> Column:

@@ -49,11 +49,10 @@ def script_summary(spark, sf_dir):
     return blocks.agg(F.count("*").alias("blocks"), F.count_if(~F.col("complete")).alias("partial_blocks"), F.count_if("download").alias("downloads"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query(SCORE_SQL + "SELECT row_number() OVER (ORDER BY tier, score DESC, record_id) AS place, record_id, tier, score FROM tiers WHERE tier >= 3 ORDER BY place LIMIT 500")
+@query(SCORE_SQL + "SELECT record_id, tier, score FROM tiers WHERE tier >= 3")
 def anomaly_report(spark, sf_dir):
-    """The report's rows of tier 3 and 4, by tier and falling score; the limit is the report's."""
-    top = scored(spark, sf_dir).where("tier >= 3").select("record_id", "tier", "score").orderBy("tier", F.desc("score"), "record_id").limit(500)
-    return top.select(F.row_number().over(W.orderBy("tier", F.desc("score"), "record_id")).cast("long").alias("place"), "record_id", "tier", "score")
+    """All rows of tier 3 and 4, by tier and falling score."""
+    return scored(spark, sf_dir).where("tier >= 3").select("record_id", "tier", "score").orderBy("tier", F.desc("score"), "record_id")
 
 
 @query("SELECT concat('$', process_name, ' = \"', process_name, '\" nocase') AS line, CASE WHEN process_name = 'svch0st.exe' THEN 75 ELSE 15 END AS score FROM (SELECT DISTINCT process_name FROM security_log) WHERE process_name = 'svch0st.exe'")

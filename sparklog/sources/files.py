@@ -47,7 +47,7 @@ def write_csv(df: DataFrame, path: str, fields: str = "fields", tags: str | None
     wide = with_field_columns(df, field_names(df, fields), fields)
     if tags:
         wide = wide.withColumn(tags, F.array_join(F.transform(tags, lambda t: F.concat_ws(":", t["tid"], t["tactic"])), "; "))
-    clean = [squeeze(F.col(c), 32_000).alias(c) if kind == "string" else F.col(c) for c, kind in wide.dtypes]
+    clean = [squeeze(F.col(c), None).alias(c) if kind == "string" else F.col(c) for c, kind in wide.dtypes]
     wide.select(*clean).write.option("header", True).option("escape", '"').csv(path)
 
 
