@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklog.llm import bpe, decontaminate, fingerprint, html_text, language, line_dedup, near_dedup, periodic, token_counts, token_files, toxicity, url_filter
+from sparklog.llm import align, bpe, decontaminate, fingerprint, html_text, language, line_dedup, near_dedup, periodic, token_counts, token_files, toxicity, url_filter
 from sparklog.llm.common import table, tokenizer_path
 
 
@@ -50,6 +50,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.op12(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_fingerprints, op4_toxicity, op5_html_extraction, op6_decontamination, op7_token_files, op8_token_counts, op9_byte_bpe, op10_minhash_dedup, op12_periodic_runs, op13_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_fingerprints, op4_toxicity, op5_html_extraction, op6_decontamination, op7_token_files, op8_token_counts, op9_byte_bpe, op10_minhash_dedup, op11_token_alignment, op12_periodic_runs, op13_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
