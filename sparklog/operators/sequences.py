@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparklog.sources.files import stored
+
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], seconds: int, left_s: str = "sec", right_s: str = "sec", condition: Column | None = None) -> DataFrame:
     """Rows l and r of equal ``keys`` with ``0 <= r - l <= seconds``; columns get prefixes l_ and r_.
@@ -39,42 +44,84 @@ def chains(pairs: DataFrame, by: str, shown: str, most: int, last: bool = False)
     return grouped.agg(F.count("*").alias("matches"), F.sort_array(F.collect_list(entry))["id"].alias("shown"))
 
 
-def bursts(df: DataFrame, keys: list[str], seconds: int, least: int, s: str = "sec", tie: str = "record_id", distinct: str | None = None, least_distinct: int = 0, closes: Column | None = None) -> DataFrame:
+#: Width of a time chunk, in windows (two at least); starts of an island that are folded in one array.
+SPREAD, FOLD = 64, 4096
+
+
+def _chunked(df: DataFrame, s: str, width: int, ahead: int) -> tuple[DataFrame, Column]:
+    """Rows in their chunk of time, and those up to ``ahead`` after a chunk in that one, too; and which are in their own."""
+    chunk = lambda c: F.floor(c / width)
+    both = F.array_distinct(F.array(chunk(F.col(s)), chunk(F.col(s) - ahead)))
+    return df.withColumn("_chunk", F.explode(both)), F.col("_chunk") == chunk(F.col(s))
+
+
+def bursts(df: DataFrame, keys: list[str], seconds: int, least: int, s: str = "sec", tie: str = "record_id", distinct: str | None = None, least_distinct: int = 0, refine: Callable[[DataFrame], DataFrame] | None = None, fold: int = FOLD) -> DataFrame:
     """Greedy bursts per key: from a row take all within ``seconds``; with ``least`` rows emit them and go on
     after the last, else go on at the next row.
 
-    A start must also reach ``least_distinct`` values of ``distinct``, and ``closes`` (a boolean
-    column of the window's last row) where given.  Result: keys, start_s, end_s, n, first and last ``tie``.
-    Keys are cut where a gap is longer than ``seconds``; no window crosses it, so each island is folded by
-    itself, and the fold holds an island's qualifying starts only.
+    A start must also reach ``least_distinct`` values of ``distinct``, and stay in what ``refine`` makes of the
+    starts (columns of the result; it may add some).  Result: keys, start_s, end_s, n, first_id, last_id (``tie``).
+    Rows without a key or time belong to no burst; times are whole seconds.
+
+    Rows of one second are counted first: they end in the same windows, so only the first of a second can begin
+    one.  Windows look ahead within chunks of time, no task holds a key.  Starts that overlap form islands; in an
+    island of up to ``fold`` starts the chosen ones are folded from one array, in a longer one each start points
+    to the first beyond its window, and what the island's first reaches is found by doubling the pointers.
     """
-    gap = F.col(s) - F.lag(s).over(W.partitionBy(*keys).orderBy(s, tie)) > seconds
-    df = df.withColumn("_g", F.coalesce(gap, F.lit(False)).cast("int"))
-    df = df.withColumn("_g", F.sum("_g").over(W.partitionBy(*keys).orderBy(s, tie)))
-    keys, shown = [*keys, "_g"], keys
-    order = W.partitionBy(*keys).orderBy(s, tie)
-    ahead = W.partitionBy(*keys).orderBy(s).rangeBetween(0, seconds)
-    numbered = df.withColumn("_i", F.row_number().over(order))
-    # rows of one second share a frame, but a start counts from its own row on
-    seen = numbered.withColumn("_hi", F.max("_i").over(ahead))
-    seen = seen.withColumn("_n", F.col("_hi") - F.col("_i") + 1)
-    if distinct:
-        seen = seen.withColumn("_d", F.size(F.collect_set(distinct).over(ahead)))
-    starts = seen.where(F.col("_n") >= least)
+    rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, s)]))
+    values = [F.collect_set(distinct).alias("_set")] if distinct else []
+    by_second = rows.groupBy(*keys, s).agg(F.count("*").alias("_c"), F.min(tie).alias("first_id"), F.max(tie).alias("_hi"), *values)
+    chunked, own = _chunked(by_second, s, seconds * SPREAD, seconds)
+    ahead = W.partitionBy(*keys, "_chunk").orderBy(s).rangeBetween(0, seconds)
+    seen = chunked.withColumn("n", F.sum("_c").over(ahead)).withColumn("_end", F.max(F.struct(F.col(s).alias("s"), F.col("_hi").alias("hi"))).over(ahead))
     if distinct:
-        starts = starts.where(F.col("_d") >= least_distinct)
-    if closes is not None:
-        starts = starts.where(closes)
-    entry = F.struct(F.col("_i").alias("i"), F.col("_hi").alias("hi"))
-    listed = starts.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("starts"))
+        seen = seen.withColumn("_d", F.size(F.array_distinct(F.flatten(F.collect_list("_set").over(ahead)))))
+    starts = seen.where(own & (F.col("n") >= least) & (F.col("_d") >= least_distinct if distinct else F.lit(True)))
+    starts = starts.select(*keys, F.col(s).alias("start_s"), F.col("_end.s").alias("end_s"), "n", "first_id", F.col("_end.hi").alias("last_id"))
+    if refine is not None:
+        starts = refine(starts)
+    order = W.partitionBy(*keys).orderBy("start_s")
+    starts = starts.withColumn("_head", F.coalesce(F.col("start_s") - F.lag("start_s").over(order) > seconds, F.lit(True)).cast("long"))
+    starts = stored(starts.withColumn("_island", F.sum("_head").over(order)).drop("_head"), "burst-starts")
+    island = [*keys, "_island"]
+    sizes = starts.groupBy(*island).agg(F.count("*").alias("_size"))
+    listed = starts.groupBy(*island).agg(F.count("*").alias("_size"), F.min("start_s").alias("_least"))
+    short = starts.join(sizes.where(F.col("_size") <= fold), island).groupBy(*island).agg(F.sort_array(F.collect_list("start_s")).alias("_all"))
     kept = F.aggregate(
-        "starts",
-        F.expr("cast(array() as array<struct<i:int,hi:int>>)"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x["i"] > F.element_at(acc, -1)["hi"]), F.concat(acc, F.array(x))).otherwise(acc),
+        "_all",
+        F.expr("cast(array() as array<bigint>)"),
+        lambda acc, x: F.when((F.size(acc) == 0) | (x > F.element_at(acc, -1) + seconds), F.concat(acc, F.array(x))).otherwise(acc),
     )
-    chosen = listed.select(*keys, F.explode(kept).alias("w")).select(*keys, "w.i", F.explode(F.sequence("w.i", "w.hi")).alias("_i"))
-    joined = chosen.join(numbered.select(*keys, "_i", s, tie), [*keys, "_i"])
-    return joined.groupBy(*keys, "i").agg(F.min(s).alias("start_s"), F.max(s).alias("end_s"), F.count("*").alias("n"), F.min_by(tie, "_i").alias("first_id"), F.max_by(tie, "_i").alias("last_id")).select(*shown, "start_s", "end_s", "n", "first_id", "last_id")
+    chosen = short.select(*keys, F.explode(kept).alias("start_s"))
+    long = listed.where(F.col("_size") > fold)
+    if not long.isEmpty():
+        nodes = starts.join(long.select(*island), island).select(*island, "start_s")
+        heads = long.select(*keys, F.col("_least").alias("start_s"))
+        chosen = chosen.unionByName(_reached(nodes, heads, keys, seconds))
+    return starts.drop("_island").join(chosen, [*keys, "start_s"])
+
+
+def _reached(nodes: DataFrame, heads: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """keys, start_s of what ``heads`` reach, each start of an island pointing to the first beyond its window.
+
+    Starts of an island are at most ``seconds`` apart, so that one is at most twice that away.  A round doubles
+    what the pointers skip; the rounds grow with the logarithm of an island's bursts.
+    """
+    chunked, own = _chunked(nodes, "start_s", seconds * SPREAD, 2 * seconds)
+    beyond = W.partitionBy(*keys, "_island", "_chunk").orderBy("start_s").rangeBetween(seconds + 1, 2 * seconds)
+    jumps = chunked.withColumn("_next", F.min("start_s").over(beyond)).where(own & F.col("_next").isNotNull()).select(*keys, "start_s", "_next")
+    reached, jumps = stored(heads, "burst-reached"), stored(jumps, "burst-jumps")
+    while not jumps.isEmpty():
+        step = reached.join(jumps, [*keys, "start_s"]).select(*keys, F.col("_next").alias("start_s"))
+        reached = stored(reached.unionByName(step), "burst-reached")
+        after = jumps.select(*keys, F.col("start_s").alias("_next"), F.col("_next").alias("_then"))
+        jumps = stored(jumps.join(after, [*keys, "_next"]).select(*keys, "start_s", F.col("_then").alias("_next")), "burst-jumps")
+    return reached
+
+
+def burst_rows(df: DataFrame, found: DataFrame, keys: list[str], seconds: int, s: str = "sec") -> DataFrame:
+    """The rows of each burst: its columns with the prefix l_, theirs with r_."""
+    return interval_join(found, df, keys, seconds, left_s="start_s", right_s=s)
 
 
 def as_of(df: DataFrame, versions: DataFrame, keys: list[str], values: list[str], s: str = "sec", tie: str = "record_id") -> DataFrame:

@@ -22,6 +22,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that it is computed once and outlives its executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_log(df: DataFrame, path: str, ts: str = "ts", record: str = "record_id") -> None:
     """Columnar log: each file sorted by time (missing last) and record, so that row groups can be skipped."""
     ordered = df.sortWithinPartitions(F.col(ts).asc_nulls_last(), record)
