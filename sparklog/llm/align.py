@@ -27,8 +27,9 @@ import functools
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,13 @@ from sparklog.llm.pieces import cut, piece_of
 from sparklog.llm.token_counts import splits_at_blanks
 
 #: Bytes of a range of a long document; bytes of text that are encoded at once, and that one chunk of documents holds.
-LONG, BATCH_BYTES, CHUNK_BYTES = 1 << 15, 2 << 20, 16 << 20
+LONG, BATCH_BYTES, CHUNK_BYTES = 1 << 15, 1 << 20, 6 << 20
 #: Fragments that one step of the reduction composes.
 _FAN = 8
 #: A pair of ids as one number: A's id times this, plus B's.
 _B_IDS = 1 << 15
 #: Pieces that a worker keeps; groups with more pairs than this are counted one by one.
-_KEPT, _MANY = 400_000, 1 << 12
+_KEPT, _MANY = 300_000, 1 << 12
 
 _SAFE = re.compile(r"(?<=\S)(?= )")
 
@@ -93,7 +94,7 @@ class Tokenizers:
         b = self.b.encode([p[1:] for p in pieces], num_threads=1)
         return a, [self.blank if p == " " else ids for p, ids in zip(pieces, b, strict=True)]
 
-    def same_bytes(self, piece: str, a: list[int], b: list[int]) -> bool:
+    def same_bytes(self, piece: str, a: Iterable[int], b: Iterable[int]) -> bool:
         data = piece.encode()
         return b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data
 
@@ -134,7 +135,7 @@ def _links(a: np.ndarray, of_a: np.ndarray, b: np.ndarray, of_b: np.ndarray, gro
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _listed(a: list[int], b: list[int]) -> str:
+def _listed(a: list, b: list) -> str:
     return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
 
 
@@ -142,13 +143,17 @@ def groups_of(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarr
     """Text of each group, tokens of group i ending after common end i - 1 and up to common end i."""
     at_a = np.searchsorted(ends_a, common, "right").tolist()
     at_b = np.searchsorted(ends_b, common, "right").tolist()
-    a, b, out, i, j = a.tolist(), b.tolist(), [], 0, 0
+    a, b, out, i, j = list(map(str, a.tolist())), list(map(str, b.tolist())), [], 0, 0
     for x, y in zip(at_a, at_b, strict=True):
-        out.append(f"{a[i]}|{b[j]}" if x - i == 1 == y - j else _listed(a[i:x], b[j:y]))
+        out.append((a[i] if x - i == 1 else ",".join(a[i:x])) + "|" + (b[j] if y - j == 1 else ",".join(b[j:y])))
         i, j = x, y
     return out
 
 
+def _flat(rows: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(rows), np.int64, sum(map(len, rows)))
+
+
 class Aligner:
     """Aligns texts by their pieces, each aligned once."""
 
@@ -168,13 +173,12 @@ class Aligner:
         """Align new pieces, all in one stream: each ends where both sides end."""
         pieces = [piece_of(k) for k in keys]
         ids_a, ids_b = self.t.encode(pieces)
-        if not self.t.same_bytes("".join(pieces), [x for ids in ids_a for x in ids], [x for ids in ids_b for x in ids]):
+        if not self.t.same_bytes("".join(pieces), chain.from_iterable(ids_a), chain.from_iterable(ids_b)):
             for i, (p, a, b) in enumerate(zip(pieces, ids_a, ids_b, strict=True)):
                 if not self.t.same_bytes(p, a, b):
                     ids_a[i] = ids_b[i] = pieces[i] = None
         good = [i for i, p in enumerate(pieces) if p is not None]
-        a = np.array([x for i in good for x in ids_a[i]], np.int64)
-        b = np.array([x for i in good for x in ids_b[i]], np.int64)
+        a, b = _flat([ids_a[i] for i in good]), _flat([ids_b[i] for i in good])
         ends_a, ends_b = self.t.size_a[a].cumsum(), self.t.size_b[b].cumsum()
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
@@ -202,26 +206,32 @@ class Aligner:
         """For each text its numbers (tokens of A and B, groups, links) and digest; and document, code, number of its pairs."""
         if len(self.index) > _KEPT:
             self.clear()
-        keys = [(cut(" " + t) if self.t.cuts else ["\0 " + t]) if t else [] for t in texts]
-        new = {k for row in keys for k in row if k not in self.index}
+        rows, missing, new = [], {}, set()
+        for i, t in enumerate(texts):
+            keys = (cut(" " + t) if self.t.cuts else ["\0 " + t]) if t else []
+            rows.append(list(map(self.index.get, keys)))
+            if None in rows[i]:
+                missing[i] = keys
+                new.update(k for k, at in zip(keys, rows[i], strict=True) if at is None)
         if new:
             self._learn(list(new))
-        rows = [list(map(self.index.__getitem__, row)) for row in keys]
+            for i, keys in missing.items():
+                rows[i] = list(map(self.index.__getitem__, keys))
         digests = []
         for i, row in enumerate(rows):
             listed = list(map(self.listed.__getitem__, row))
             if None in listed:
                 rows[i] = listed = []
             digests.append(hashlib.sha256(";".join(listed).encode()).hexdigest() if listed else "")
-        sizes = np.array([len(r) for r in rows], np.int64)
-        flat = np.array([x for r in rows for x in r], np.int64)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = _flat(rows)
         doc = np.repeat(np.arange(len(rows)), sizes)
         sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.numbers[flat], axis=0)])
         ends = np.cumsum(sizes)
         take = self.first[flat + 1] - self.first[flat]
         at = np.repeat(self.first[flat] - (np.cumsum(take) - take), take) + np.arange(take.sum())
         keyed, counts = _summed(np.repeat(doc, take) << 32 | self.codes[at], self.counts[at])
-        return sums[ends] - sums[ends - sizes], digests, keyed >> 32, keyed & 0xFFFFFFFF, counts
+        return sums[ends] - sums[ends - sizes], digests, (keyed >> 32).astype(np.int32), (keyed & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32)
 
 
 @functools.cache
@@ -397,7 +407,7 @@ def _first_pass(path_a: str, path_b: str, long: int):
                     uid += 1
                     yield pa.RecordBatch.from_pylist(list(_parts(doc_id, uid, text, long, made.t.cuts)), _CHUNK)
                 numbers, digests, doc, codes, counts = made.align([t for _, t in short])
-                held.append((numbers, digests, doc + len(ids), codes, counts))
+                held.append((numbers, digests, doc + np.int32(len(ids)), codes, counts))
                 ids += [d for d, _ in short]
             numbers, doc, codes, counts = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3, 4))
             uid += 1
