@@ -24,6 +24,7 @@ are best; other columns are not read; an empty table gives an empty result; text
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import os
 import re
@@ -42,13 +43,13 @@ from sparklog.llm.pieces import cut, piece_of
 from sparklog.llm.token_counts import splits_at_blanks
 
 #: Bytes of a range of a long document; bytes of text that are encoded at once, and that one chunk of documents holds.
-LONG, BATCH_BYTES, CHUNK_BYTES = 1 << 15, 1 << 20, 6 << 20
+LONG, BATCH_BYTES, CHUNK_BYTES = 1 << 15, 1 << 20, 4 << 20
 #: Fragments that one step of the reduction composes.
 _FAN = 8
 #: A pair of ids as one number: A's id times this, plus B's.
 _B_IDS = 1 << 15
 #: Pieces that a worker keeps; groups with more pairs than this are counted one by one.
-_KEPT, _MANY = 300_000, 1 << 12
+_KEPT, _MANY = 200_000, 1 << 12
 
 _SAFE = re.compile(r"(?<=\S)(?= )")
 
@@ -90,9 +91,13 @@ class Tokenizers:
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids by A and by B of strings that begin with a blank."""
-        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return a, [self.blank if p == " " else ids for p, ids in zip(pieces, b, strict=True)]
+        gc.disable()  # many small lists without cycles
+        try:
+            a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+            b = self.b.encode([p[1:] for p in pieces], num_threads=1)
+            return a, [self.blank if p == " " else ids for p, ids in zip(pieces, b, strict=True)]
+        finally:
+            gc.enable()
 
     def same_bytes(self, piece: str, a: Iterable[int], b: Iterable[int]) -> bool:
         data = piece.encode()
