@@ -29,6 +29,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -48,8 +49,8 @@ LONG, BATCH_BYTES, CHUNK_BYTES = 1 << 15, 1 << 20, 4 << 20
 _FAN = 8
 #: A pair of ids as one number: A's id times this, plus B's.
 _B_IDS = 1 << 15
-#: Pieces that a worker keeps; groups with more pairs than this are counted one by one.
-_KEPT, _MANY = 200_000, 1 << 12
+#: New pieces that are encoded as one text; pieces that a worker keeps; groups with more pairs than this are counted one by one.
+_JOINED, _KEPT, _MANY = 64, 200_000, 1 << 12
 
 _SAFE = re.compile(r"(?<=\S)(?= )")
 
@@ -61,6 +62,16 @@ def _bytes_of_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@contextmanager
+def _no_collection() -> Iterator[None]:
+    """No garbage collection: lists of ids are many, small and without cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 class Tokenizers:
     """Both tokenizers of a worker, and the bytes of their ids."""
 
@@ -91,13 +102,9 @@ class Tokenizers:
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids by A and by B of strings that begin with a blank."""
-        gc.disable()  # many small lists without cycles
-        try:
-            a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-            b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-            return a, [self.blank if p == " " else ids for p, ids in zip(pieces, b, strict=True)]
-        finally:
-            gc.enable()
+        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
+        return a, [self.blank if p == " " else ids for p, ids in zip(pieces, b, strict=True)]
 
     def same_bytes(self, piece: str, a: Iterable[int], b: Iterable[int]) -> bool:
         data = piece.encode()
@@ -144,15 +151,15 @@ def _listed(a: list, b: list) -> str:
     return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
 
 
-def groups_of(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, common: np.ndarray) -> list[str]:
-    """Text of each group, tokens of group i ending after common end i - 1 and up to common end i."""
-    at_a = np.searchsorted(ends_a, common, "right").tolist()
-    at_b = np.searchsorted(ends_b, common, "right").tolist()
-    a, b, out, i, j = list(map(str, a.tolist())), list(map(str, b.tolist())), [], 0, 0
-    for x, y in zip(at_a, at_b, strict=True):
-        out.append((a[i] if x - i == 1 else ",".join(a[i:x])) + "|" + (b[j] if y - j == 1 else ",".join(b[j:y])))
-        i, j = x, y
-    return out
+def _texts(a: np.ndarray, of_a: np.ndarray, b: np.ndarray, of_b: np.ndarray, after: np.ndarray) -> str:
+    """``a1,a2|b1;a3|b2`` of tokens in groups; ``after[i]`` is what follows group i, 2 for a semicolon, 3 for a line's end."""
+    side = np.concatenate([2 * of_a, 2 * of_b + 1])
+    order = np.argsort(side, kind="stable")
+    side = side[order]
+    last = np.append(side[1:] != side[:-1], True)
+    marks = np.where(last, np.where(side % 2, after[side // 2], 1), 0)
+    tokens = map(str, np.concatenate([a, b])[order].tolist())
+    return "".join(chain.from_iterable(zip(tokens, map(",|;\n".__getitem__, marks.tolist()), strict=True)))
 
 
 def _flat(rows: list[list[int]]) -> np.ndarray:
@@ -171,42 +178,59 @@ class Aligner:
         self.listed: list[str | None] = []
         self.numbers = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links
         self.first = np.zeros(1, np.int64)
-        self.codes = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
+        self.codes = np.zeros(0, np.int32)
+        self.counts = np.zeros(0, np.int32)
+
+    def _encoded(self, pieces: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """Ids by A and by B of all pieces one after the other; pieces that don't have their own bytes become None and have none.
+
+        Several are encoded as one text, but for those that end in white space, as that may go on in the next.
+        """
+        joined, at = [], []
+        for i, p in enumerate(pieces):
+            if at and i - at[-1] < _JOINED and not pieces[i - 1][-1].isspace():
+                joined[-1].append(p)
+            else:
+                joined.append([p])
+                at.append(i)
+        a, b = self.t.encode(["".join(x) for x in joined])
+        if self.t.same_bytes("".join(pieces), chain.from_iterable(a), chain.from_iterable(b)):
+            return pieces, _flat(a), _flat(b)
+        if len(joined) == len(pieces):
+            good = [self.t.same_bytes(*x) for x in zip(pieces, a, b, strict=True)]
+            return [p if g else None for p, g in zip(pieces, good, strict=True)], _flat([x for x, g in zip(a, good, strict=True) if g]), _flat([x for x, g in zip(b, good, strict=True) if g])
+        out: list[tuple[list[str | None], np.ndarray, np.ndarray]] = []
+        for text, x, y in zip(joined, a, b, strict=True):
+            if self.t.same_bytes("".join(text), x, y):
+                out.append((text, _flat([x]), _flat([y])))
+            else:
+                out += [self._encoded([p]) for p in text]
+        return [p for o in out for p in o[0]], np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out])
 
     def _learn(self, keys: list[str]) -> None:
         """Align new pieces, all in one stream: each ends where both sides end."""
-        pieces = [piece_of(k) for k in keys]
-        ids_a, ids_b = self.t.encode(pieces)
-        if not self.t.same_bytes("".join(pieces), chain.from_iterable(ids_a), chain.from_iterable(ids_b)):
-            for i, (p, a, b) in enumerate(zip(pieces, ids_a, ids_b, strict=True)):
-                if not self.t.same_bytes(p, a, b):
-                    ids_a[i] = ids_b[i] = pieces[i] = None
-        good = [i for i, p in enumerate(pieces) if p is not None]
-        a, b = _flat([ids_a[i] for i in good]), _flat([ids_b[i] for i in good])
+        pieces, a, b = self._encoded([piece_of(k) for k in keys])
         ends_a, ends_b = self.t.size_a[a].cumsum(), self.t.size_b[b].cumsum()
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-        ends = np.cumsum([len(pieces[i].encode()) for i in good]) if good else np.zeros(0, np.int64)
-        piece = np.array(good, np.int64)[np.searchsorted(ends, common)]  # of each group
+        good = np.array([i for i, p in enumerate(pieces) if p is not None], np.int64)
+        ends = np.cumsum([len(p.encode()) for p in pieces if p is not None], dtype=np.int64)
+        piece = good[np.searchsorted(ends, common)]  # of each group
         group, codes, counts = _links(a, of_a, b, of_b, len(common))
         n = len(keys)
-        numbers = np.zeros((n, 4), np.int64)
-        numbers[good, 0] = [len(ids_a[i]) for i in good]
-        numbers[good, 1] = [len(ids_b[i]) for i in good]
-        numbers[:, 2] = np.bincount(piece, minlength=n)
-        numbers[:, 3] = np.bincount(piece[group], weights=counts, minlength=n)
+        links = np.bincount(piece[group], weights=counts, minlength=n).astype(np.int64)
+        numbers = np.stack([np.bincount(piece[of_a], minlength=n), np.bincount(piece[of_b], minlength=n), np.bincount(piece, minlength=n), links], axis=1)
         keyed, counts = _summed(piece[group] << 32 | codes, counts)
-        listed = groups_of(a, ends_a, b, ends_b, common)
-        last = np.cumsum(numbers[:, 2]).tolist()
-        first = [0, *last[:-1]]
+        listed = _texts(a, of_a, b, of_b, np.where(np.isin(common, ends, assume_unique=True), 3, 2)).split("\n")
         self.index.update(zip(keys, range(len(self.listed), len(self.listed) + n), strict=True))
-        self.listed += [None if p is None else ";".join(listed[x:y]) for p, x, y in zip(pieces, first, last, strict=True)]
+        lines = iter(listed)
+        self.listed += [None if p is None else next(lines) for p in pieces]
         self.numbers = np.concatenate([self.numbers, numbers])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(keyed >> 32, minlength=n))])
-        self.codes = np.concatenate([self.codes, keyed & 0xFFFFFFFF])
-        self.counts = np.concatenate([self.counts, counts])
+        self.codes = np.concatenate([self.codes, (keyed & 0xFFFFFFFF).astype(np.int32)])
+        self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
 
+    @_no_collection()
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """For each text its numbers (tokens of A and B, groups, links) and digest; and document, code, number of its pairs."""
         if len(self.index) > _KEPT:
@@ -263,9 +287,10 @@ class Fragment:
             return Fragment((a.tolist(), b.tolist()))
         i, j = (np.searchsorted(e, common[0], "right") for e in (ends_a, ends_b))
         k, m = (np.searchsorted(e, common[-1], "right") for e in (ends_a, ends_b))
-        inner = (a[i:k], ends_a[i:k], b[j:m], ends_b[j:m])
-        _, codes, counts = _links(inner[0], np.searchsorted(common[1:], inner[1]), inner[2], np.searchsorted(common[1:], inner[3]), len(common) - 1)
-        return Fragment((a[:i].tolist(), b[:j].tolist()), (a[k:].tolist(), b[m:].tolist()), True, groups_of(*inner, common[1:]), *_summed(codes, counts))
+        inner = (a[i:k], np.searchsorted(common[1:], ends_a[i:k]), b[j:m], np.searchsorted(common[1:], ends_b[j:m]))
+        _, codes, counts = _links(*inner, len(common) - 1)
+        groups = _texts(*inner, np.full(len(common) - 1, 2)).split(";")[:-1]
+        return Fragment((a[:i].tolist(), b[:j].tolist()), (a[k:].tolist(), b[m:].tolist()), True, groups, *_summed(codes, counts))
 
     def closed(self, tokens: tuple[list[int], list[int]]) -> tuple[str, np.ndarray, np.ndarray]:
         return _listed(*tokens), *_pairs(np.array(tokens[0], np.int64), np.array(tokens[1], np.int64))
@@ -314,7 +339,8 @@ def _encode_parts(path_a: str, path_b: str, long: int):
         t = tokenizers_of(path_a, path_b)
         for batch in by_bytes(batches, "part", BATCH_BYTES):
             for uid, doc_id, start, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (x[0] for x in t.encode([part]))
+                with _no_collection():
+                    a, b = (x[0] for x in t.encode([part]))
                 key = {"uid": uid, "doc_id": doc_id}
                 if not t.same_bytes(part, a, b):
                     yield pa.RecordBatch.from_pylist([key | {"start": start, "good": False, "n_a": 0, "n_b": 0} | _row(Fragment())], _FRAGMENT)
