@@ -1,9 +1,10 @@
 """Attack chains over a log of events with their payload fields as columns.
 
-Every rule takes a log with ``record_id``, ``sec`` (time in whole seconds), ``event_code``, ``computer`` and the
-fields that it looks at, and returns one row per chain: rule, severity, computer, user_name, first_id (the event
-that the chain begins with), first_s, last_s, n (all its events), and shown (ids of those a report lists).  Only
-``shown`` is short; no chain is left out.
+Every rule takes a log with ``record_id`` and ``source_file`` (together the event's key; logs of one file may do
+without the latter), ``sec`` (time in whole seconds), ``event_code``, ``computer`` and the fields that it looks at.
+``rule.members(log)`` has one row per event of a chain; ``rule(log)`` one per chain: rule, severity, computer,
+user_name, first_event (the event that the chain begins with), hosts (sorted), first_s, last_s, n (all its events),
+and shown (keys of those a report lists).  Only ``shown`` is short; no chain and no member is left out.
 
 The acting user is the subject, else the target, lower-cased; rules of logons skip built-in accounts.  Effects never
 come before their cause; events of one second count as in order.  Logon ids and GUIDs are joined within a host.
@@ -11,6 +12,8 @@ come before their cause; events of one second count as in order.  Logon ids and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 
 from sparklog.functions.scalars import any_of, basename, builtin_account, picked_user, service_path_is_odd
 from sparklog.operators.ioc import LOLBAS, ODD_PATHS
-from sparklog.operators.sequences import bursts, interval_join
+from sparklog.operators.sequences import burst_rows, bursts, interval_join
+from sparklog.sources.files import stored
 
 #: Sub-states of a failed logon that mean a wrong password.
 WRONG_PASSWORD = ["0xc000006a", "0xc000006d", "0xc0000022"]
@@ -50,12 +54,19 @@ ODD_SPAWNS = {
     "cscript.exe": ["cmd.exe", "powershell.exe", "mshta.exe"],
 }
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
-OUT = ["rule", "severity", "computer", "user_name", "first_id", "first_s", "last_s", "n", "shown"]
+#: Fixed value: the GUID of no process.
+NO_GUID = "{00000000-0000-0000-0000-000000000000}"
+
+
+def with_event(log: DataFrame) -> DataFrame:
+    """``log`` with ``event``, the key of each row: its number, and the file that the number counts in."""
+    file = F.col("source_file") if "source_file" in log.columns else F.lit("")
+    return log.withColumn("event", F.struct("record_id", file.alias("source_file")))
 
 
 def acting(log: DataFrame) -> DataFrame:
-    """``log`` with ``user_name``, the acting user of each event."""
-    return log.withColumn("user_name", picked_user(F.col("subject_user"), F.col("target_user")))
+    """``log`` with ``event`` and ``user_name``, the acting user of each event."""
+    return with_event(log).withColumn("user_name", picked_user(F.col("subject_user"), F.col("target_user")))
 
 
 def _person() -> Column:
@@ -70,202 +81,284 @@ def _code(*codes: int) -> Column:
     return F.col("event_code").isin(list(codes))
 
 
-def _of_bursts(found: DataFrame, rule: str, severity: str, computer: Column, user: Column) -> DataFrame:
-    return found.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), computer.alias("computer"), user.alias("user_name"), "first_id", F.col("start_s").alias("first_s"), F.col("end_s").alias("last_s"), "n", F.array("first_id", "last_id").alias("shown"))
+@dataclass
+class Rule:
+    """``find`` gives the members: chain (key of the first event), computer, user_name, event, sec, host, lead (whether it is
+    the first event), listed (whether a report may show it), and severity where it differs by chain.
 
+    A chain shows its first event and the ``most`` first of the others, or before it the ``most`` last ones.
+    """
 
-def _of_pairs(pairs: DataFrame, rule: str, severity: str, most: int, lead: str = "l", last: bool = False, first_of: Column | None = None) -> DataFrame:
-    """One chain per event ``lead`` of interval-joined pairs, with the ``most`` first (or last) of the others shown.
+    find: Callable[..., DataFrame]
+    severity: str
+    most: int
+    last: bool = False
 
-    Where ``first_of`` holds for some of the others, only those count.
-    """
+    def __post_init__(self) -> None:
+        self.__name__, self.__doc__ = self.find.__name__, self.find.__doc__
+
+    def members(self, log: DataFrame, **parameters) -> DataFrame:
+        found = self.find(log, **parameters)
+        return found if "severity" in found.columns else found.withColumn("severity", F.lit(self.severity))
+
+    def __call__(self, log: DataFrame, **parameters) -> DataFrame:
+        members = self.members(log, **parameters)
+        key = ["chain", "severity", "computer", "user_name"]
+        chains = members.groupBy(*key).agg(F.min("sec").alias("first_s"), F.max("sec").alias("last_s"), F.count("*").alias("n"), F.sort_array(F.collect_set(F.when(F.col("host") != "", F.col("host")))).alias("hosts"))
+        order = [F.col("sec"), F.col("event")]
+        place = F.row_number().over(W.partitionBy("chain").orderBy(*[c.desc() if self.last else c.asc() for c in order]))
+        # ranks up to a number are cut before the shuffle, so that a chain of many events costs a few rows of each task
+        top = members.where(F.col("listed") & ~F.col("lead")).select("chain", *order, place.alias("_p")).where(F.col("_p") <= self.most)
+        ids = top.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("sec", "event")))["event"].alias("ids"))
+        own, others = F.array("chain"), F.coalesce("ids", F.array().cast("array<struct<record_id:bigint,source_file:string>>"))
+        shown = F.concat(others, own) if self.last else F.concat(own, others)
+        return chains.join(ids, "chain", "left").select(F.lit(self.__name__).alias("rule"), "severity", "computer", "user_name", F.col("chain").alias("first_event"), "hosts", "first_s", "last_s", "n", shown.alias("shown"))
+
+
+def rule(severity: str, most: int, last: bool = False) -> Callable[[Callable[..., DataFrame]], Rule]:
+    return lambda find: Rule(find, severity, most, last)
+
+
+def _burst_members(rows: DataFrame, found: DataFrame, keys: list[str], seconds: int, computer: Column, user: Column) -> DataFrame:
+    """Rows of bursts (keys, sec, event, host) as members."""
+    of = burst_rows(rows, found, keys, seconds)
+    return of.select(F.col("l_first_id").alias("chain"), computer.alias("computer"), user.alias("user_name"), F.col("r_event").alias("event"), F.col("r_sec").alias("sec"), F.col("r_host").alias("host"), (F.col("r_event") == F.col("l_first_id")).alias("lead"), F.lit(True).alias("listed"))
+
+
+def _pair_members(pairs: DataFrame, lead: str = "l", first_of: Column | None = None) -> DataFrame:
+    """One chain per event ``lead`` of interval-joined pairs.  Where ``first_of`` holds for some of the others, only those count."""
     other = "r" if lead == "l" else "l"
-    key = [f"{lead}_{c}" for c in ("record_id", "sec", "computer", "user_name")]
     if first_of is not None:
-        some = F.max(first_of).over(W.partitionBy(f"{lead}_record_id"))
+        some = F.max(first_of).over(W.partitionBy(f"{lead}_event"))
         pairs = pairs.withColumn("_some", some).where(first_of | ~F.col("_some")).drop("_some")
-    order = [F.col(f"{other}_sec"), F.col(f"{other}_record_id")]
-    place = F.row_number().over(W.partitionBy(f"{lead}_record_id").orderBy(*[c.desc() if last else c.asc() for c in order]))
-    entry = F.when(F.col("_p") <= most, F.struct(order[0].alias("s"), order[1].alias("id")))
-    grouped = pairs.withColumn("_p", place).groupBy(*key).agg(F.count("*").alias("m"), F.min(f"{other}_sec").alias("lo"), F.max(f"{other}_sec").alias("hi"), F.sort_array(F.collect_list(entry))["id"].alias("ids"))
-    own = F.array(f"{lead}_record_id")
-    shown = F.concat("ids", own) if last else F.concat(own, "ids")
-    return grouped.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col(key[2]).alias("computer"), F.col(key[3]).alias("user_name"), F.col(key[0]).alias("first_id"), F.least(key[1], "lo").alias("first_s"), F.greatest(key[1], "hi").alias("last_s"), (F.col("m") + 1).alias("n"), shown.alias("shown"))
+    row = lambda side, is_lead: F.struct(F.col(f"{side}_event").alias("event"), F.col(f"{side}_sec").alias("sec"), F.col(f"{side}_computer").alias("host"), F.lit(is_lead).alias("lead"))
+    chain = [F.col(f"{lead}_event").alias("chain"), F.col(f"{lead}_computer").alias("computer"), F.col(f"{lead}_user_name").alias("user_name")]
+    others = pairs.select(*chain, row(other, False).alias("m"))
+    leads = pairs.select(*chain, row(lead, True).alias("m")).distinct()
+    return others.union(leads).select("chain", "computer", "user_name", "m.*", F.lit(True).alias("listed"))
 
 
+@rule("high", 10)
 def brute_force(log: DataFrame, least: int = 5, seconds: int = 300, success_within: int = 120) -> DataFrame:
-    """Failures of a user on a host, then a success soon after the last of them."""
-    rows = acting(log).where(_code(4624, 4625) & _person()).select("computer", "user_name", "sec", "record_id", "event_code", "sub_status")
+    """Failures of a user on a host, and a success soon after the last of them, which ends the chain."""
+    rows = acting(log).where(_code(4624, 4625) & _person()).select("computer", "user_name", "sec", "event", "event_code", "sub_status", F.col("computer").alias("host"))
     state = F.lower(_text("sub_status"))
-    rows = rows.where(_code(4624) | (state == "") | state.isin(WRONG_PASSWORD))
-    never = F.lit(1 << 62)
-    later = W.partitionBy("computer", "user_name").orderBy("sec").rangeBetween(0, W.unboundedFollowing)
-    failed = rows.withColumn("next_success", F.coalesce(F.min(F.when(_code(4624), F.col("sec"))).over(later), never)).where(_code(4625))
-    frame = W.partitionBy("computer", "user_name").orderBy("sec").rangeBetween(0, seconds)
-    failed = failed.withColumn("ok", F.max("next_success").over(frame) <= F.max("sec").over(frame) + success_within)
-    return _of_bursts(bursts(failed, ["computer", "user_name"], seconds, least, closes=F.col("ok")), "brute_force", "high", F.col("computer"), F.col("user_name"))
+    failed = rows.where(_code(4625) & ((state == "") | state.isin(WRONG_PASSWORD))).drop("event_code", "sub_status")
+    wins = rows.where(_code(4624)).select("computer", "user_name", "sec", "event")
+    keys = ["computer", "user_name"]
+
+    def with_success(starts: DataFrame) -> DataFrame:
+        pairs = interval_join(starts, wins, keys, success_within, left_s="end_s")
+        columns = [F.col(f"l_{c}").alias(c) for c in starts.columns]
+        return pairs.groupBy(*columns).agg(F.min(F.struct(F.col("r_sec").alias("sec"), F.col("r_event").alias("event"))).alias("success"))
 
+    found = bursts(failed, keys, seconds, least, tie="event", refine=with_success)
+    failures = _burst_members(failed, found, keys, seconds, F.col("l_computer"), F.col("l_user_name"))
+    ends = found.select(F.col("first_id").alias("chain"), "computer", "user_name", F.col("success.event").alias("event"), F.col("success.sec").alias("sec"), F.col("computer").alias("host"), F.lit(False).alias("lead"), F.lit(True).alias("listed"))
+    return failures.union(ends)
 
+
+@rule("high", 3)
 def service_after_logon(log: DataFrame, seconds: int = 120) -> DataFrame:
     """A service installed soon after a logon over the network; services of odd paths are preferred."""
-    rows = acting(log).select("record_id", "sec", "computer", "user_name", "event_code", "logon_type", "ip_address", "service_path")
+    rows = acting(log).select("event", "sec", "computer", "user_name", "event_code", "logon_type", "ip_address", "service_path")
     logons = rows.where(_code(4624) & (_text("logon_type") == "3") & ~_text("ip_address").isin(LOCAL_ADDRESSES))
     pairs = interval_join(logons, rows.where(_code(7045, 4697)), ["computer"], seconds)
-    return _of_pairs(pairs, "service_after_logon", "high", 3, first_of=service_path_is_odd(F.col("r_service_path")))
+    return _pair_members(pairs, first_of=service_path_is_odd(F.col("r_service_path")))
+
 
+def _dangerous() -> Column:
+    return any_of([F.contains(_text("privileges"), F.lit(p)) for p in DANGEROUS_PRIVILEGES])
 
+
+@rule("high", 2)
 def privilege_after_logon(log: DataFrame, seconds: int = 30) -> DataFrame:
     """Dangerous privileges of the same user soon after a logon; not among ``all_chains``."""
-    rows = acting(log).where(_person()).select("record_id", "sec", "computer", "user_name", "event_code", "logon_type", "privileges")
+    rows = acting(log).where(_person()).select("event", "sec", "computer", "user_name", "event_code", "logon_type", "privileges")
     logons = rows.where(_code(4624) & ~_text("logon_type").isin("4", "5"))
-    return _of_pairs(interval_join(logons, rows.where(_code(4672) & _dangerous()), ["computer", "user_name"], seconds), "privilege_after_logon", "high", 2)
-
-
-def _dangerous() -> Column:
-    return any_of([F.contains(_text("privileges"), F.lit(p)) for p in DANGEROUS_PRIVILEGES])
+    return _pair_members(interval_join(logons, rows.where(_code(4672) & _dangerous()), ["computer", "user_name"], seconds))
 
 
+@rule("high", 10)
 def weak_tickets(log: DataFrame, least: int = 3, seconds: int = 300) -> DataFrame:
     """Service tickets of a weak cipher on one host, but for machines' and the ticket service's own."""
     service = _text("ticket_service")
     rows = acting(log).where(_code(4769) & F.lower(_text("ticket_cipher")).isin(WEAK_CIPHERS) & ~builtin_account(F.col("user_name")) & ~service.endswith("$") & ~F.lower(service).isin(TICKET_NOISE))
-    return _of_bursts(bursts(rows.select("computer", "sec", "record_id"), ["computer"], seconds, least), "weak_tickets", "high", F.col("computer"), F.lit(""))
+    rows = rows.select("computer", "sec", "event", F.col("computer").alias("host"))
+    return _burst_members(rows, bursts(rows, ["computer"], seconds, least, tie="event"), ["computer"], seconds, F.col("l_computer"), F.lit(""))
 
 
+@rule("high", 0)
 def pass_the_hash(log: DataFrame) -> DataFrame:
     """Network logons by NTLM from another machine without a session key."""
     package = F.lower(_text("lm_package"))
     rows = acting(log).where(_code(4624) & (_text("logon_type") == "3") & F.contains(F.lower(_text("auth_package")), F.lit("ntlm")) & _person() & ~_text("ip_address").isin(LOCAL_ADDRESSES) & _text("key_length").isin("", "0") & ((package == "") | F.contains(package, F.lit("ntlm"))))
-    return rows.select(F.lit("pass_the_hash").alias("rule"), F.lit("high").alias("severity"), "computer", "user_name", F.col("record_id").alias("first_id"), F.col("sec").alias("first_s"), F.col("sec").alias("last_s"), F.lit(1).cast("long").alias("n"), F.array("record_id").alias("shown"))
+    return rows.select(F.col("event").alias("chain"), "computer", "user_name", "event", "sec", F.col("computer").alias("host"), F.lit(True).alias("lead"), F.lit(True).alias("listed"))
 
 
+@rule("critical", 5, last=True)
 def log_clearing(log: DataFrame, seconds: int = 1800) -> DataFrame:
     """The security log cleared or its policy changed after security events of the host."""
     channel = F.lower(_text("channel"))
-    rows = acting(log).where(channel.isin("security", "microsoft-windows-security-auditing")).select("record_id", "sec", "computer", "user_name", "event_code")
+    rows = acting(log).where(channel.isin("security", "microsoft-windows-security-auditing")).select("event", "sec", "computer", "user_name", "event_code")
     cleared = _code(1102, 517, 4719)
     pairs = interval_join(rows.where(~cleared), rows.where(cleared), ["computer"], seconds, condition=F.col("l_sec") < F.col("r_sec"))
-    return _of_pairs(pairs, "log_clearing", "critical", 5, lead="r", last=True)
+    return _pair_members(pairs, lead="r")
 
 
+@rule("medium", 2)
 def task_after_logon(log: DataFrame, seconds: int = 300) -> DataFrame:
     """A scheduled task made or changed soon after a logon that isn't a batch's or a service's."""
-    rows = acting(log).select("record_id", "sec", "computer", "user_name", "event_code", "logon_type")
+    rows = acting(log).select("event", "sec", "computer", "user_name", "event_code", "logon_type")
     logons = rows.where(_code(4624) & _person() & ~_text("logon_type").isin("4", "5"))
-    return _of_pairs(interval_join(logons, rows.where(_code(4698, 4702)), ["computer"], seconds), "task_after_logon", "medium", 2)
+    return _pair_members(interval_join(logons, rows.where(_code(4698, 4702)), ["computer"], seconds))
 
 
+@rule("medium", 2)
 def account_after_recon(log: DataFrame, seconds: int = 600) -> DataFrame:
     """An account made soon after groups were listed, by the same user where that one is known."""
-    rows = acting(log).select("record_id", "sec", "computer", "user_name", "event_code")
+    rows = acting(log).select("event", "sec", "computer", "user_name", "event_code")
     same = (F.col("l_user_name") == "") | (F.col("l_user_name") == F.col("r_user_name"))
-    return _of_pairs(interval_join(rows.where(_code(4798, 4799)), rows.where(_code(4720)), ["computer"], seconds, condition=same), "account_after_recon", "medium", 2)
+    return _pair_members(interval_join(rows.where(_code(4798, 4799)), rows.where(_code(4720)), ["computer"], seconds, condition=same))
 
 
+@rule("high", 9)
 def password_spray(log: DataFrame, least: int = 20, seconds: int = 60, users: int = 5) -> DataFrame:
     """Many failures of many users on a host, but for those at its console."""
     rows = acting(log).where(_code(4625) & (_text("logon_type") != "2") & ~builtin_account(F.col("user_name")))
-    found = bursts(rows.select("computer", "sec", "record_id", "user_name"), ["computer"], seconds, least, distinct="user_name", least_distinct=users)
-    return _of_bursts(found, "password_spray", "high", F.col("computer"), F.lit(""))
+    rows = rows.select("computer", "sec", "event", "user_name", F.col("computer").alias("host"))
+    found = bursts(rows, ["computer"], seconds, least, tie="event", distinct="user_name", least_distinct=users)
+    return _burst_members(rows, found, ["computer"], seconds, F.col("l_computer"), F.lit(""))
 
 
+@rule("high", 2)
 def script_after_shell(log: DataFrame, seconds: int = 60) -> DataFrame:
     """A script block soon after a shell of an odd parent."""
     image, parent = F.lower(_text("image")), F.lower(_text("parent_image"))
     rows = acting(log)
     shells = rows.where(_code(4688) & any_of([F.contains(image, F.lit(x)) for x in ("powershell", "cmd")]) & any_of([F.contains(parent, F.lit(x)) for x in ODD_SHELL_PARENTS]))
-    cols = ["record_id", "sec", "computer", "user_name"]
-    return _of_pairs(interval_join(shells.select(*cols), rows.where(_code(4104)).select(*cols), ["computer"], seconds), "script_after_shell", "high", 2)
+    cols = ["event", "sec", "computer", "user_name"]
+    return _pair_members(interval_join(shells.select(*cols), rows.where(_code(4104)).select(*cols), ["computer"], seconds))
 
 
-def _sessions(log: DataFrame) -> DataFrame:
+def _sessions(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per (computer, logon_id) the latest logon, and all else of the id."""
     rows = acting(log).where(_text("logon_id") != "").withColumn("logon_id", F.lower(_text("logon_id")))
-    at = F.struct("sec", "record_id", "user_name", "logon_type")
+    at = F.struct("sec", "event", "user_name", "logon_type")
     return rows.where(_code(4624)).groupBy("computer", "logon_id").agg(F.max(at).alias("logon")), rows
 
 
-def _of_sessions(logons: DataFrame, others: DataFrame, rule: str, severity: str, most: int) -> DataFrame:
-    """One chain per session; ``others`` has record_id, sec and ``counts`` (whether it is one of those that make the chain)."""
-    order = W.partitionBy("computer", "logon_id").orderBy(F.desc("counts"), "sec", "record_id")
-    ranked = others.join(logons, ["computer", "logon_id"]).withColumn("_p", F.row_number().over(order))
-    entry = F.when(F.col("counts") & (F.col("_p") <= most), F.struct("sec", "record_id"))
-    grouped = ranked.groupBy("computer", "logon_id", "logon").agg(F.count("*").alias("m"), F.count_if("counts").alias("hits"), F.min("sec").alias("lo"), F.max("sec").alias("hi"), F.sort_array(F.collect_list(entry))["record_id"].alias("ids"))
-    return grouped.where("hits > 0").select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "computer", F.col("logon.user_name").alias("user_name"), F.col("logon.record_id").alias("first_id"), F.least("logon.sec", "lo").alias("first_s"), F.greatest("logon.sec", "hi").alias("last_s"), (F.col("m") + 1).alias("n"), F.concat(F.array("logon.record_id"), "ids").alias("shown"))
+def _session_members(logons: DataFrame, others: DataFrame) -> DataFrame:
+    """One chain per session with an event that ``counts``; others of the session belong to it, but aren't listed."""
+    key = ["computer", "logon_id"]
+    logons = logons.join(others.where("counts").select(*key).distinct(), key, "left_semi")
+    row = lambda event, sec, lead, listed: F.struct(event.alias("event"), sec.alias("sec"), F.col("computer").alias("host"), F.lit(lead).alias("lead"), listed.alias("listed"))
+    chain = [F.col("logon.event").alias("chain"), F.col("computer"), F.col("logon.user_name").alias("user_name")]
+    of = others.join(logons, key).select(*chain, row(F.col("event"), F.col("sec"), False, F.col("counts")).alias("m"))
+    leads = logons.select(*chain, row(F.col("logon.event"), F.col("logon.sec"), True, F.lit(True)).alias("m"))
+    return of.union(leads).select("chain", "computer", "user_name", "m.*")
 
 
+@rule("high", 2)
 def session_privileges(log: DataFrame) -> DataFrame:
     """Dangerous privileges of a logon's own id."""
     logons, rows = _sessions(log)
     user = F.col("logon.user_name")
     logons = logons.where((user != "") & ~builtin_account(user) & ~F.trim(F.coalesce("logon.logon_type", F.lit(""))).isin("4", "5"))
-    others = rows.where(_code(4672) & _dangerous()).select("computer", "logon_id", "record_id", "sec", F.lit(True).alias("counts"))
-    return _of_sessions(logons, others, "session_privileges", "high", 2)
+    others = rows.where(_code(4672) & _dangerous()).select("computer", "logon_id", "event", "sec", F.lit(True).alias("counts"))
+    return _session_members(logons, others)
 
 
+@rule("medium", 3)
 def session_processes(log: DataFrame) -> DataFrame:
     """Processes of a network logon's own id, one at least not a helper of the system."""
     logons, rows = _sessions(log)
     user = F.col("logon.user_name")
     logons = logons.where((user != "") & ~builtin_account(user) & (F.trim("logon.logon_type") == "3"))
     name = basename(_text("image"))
-    others = rows.where(_code(4688)).select("computer", "logon_id", "record_id", "sec", ((name != "") & ~name.isin(HELPERS)).alias("counts"))
-    return _of_sessions(logons, others, "session_processes", "medium", 3)
+    others = rows.where(_code(4688)).select("computer", "logon_id", "event", "sec", ((name != "") & ~name.isin(HELPERS)).alias("counts"))
+    return _session_members(logons, others)
 
 
+@rule("high", 9)
 def many_hosts(log: DataFrame, hosts: int = 3, seconds: int = 1800) -> DataFrame:
     """Remote logons of a user on several hosts."""
     rows = acting(log).where(_code(4624) & _text("logon_type").isin("3", "8", "9", "10") & _person())
-    found = bursts(rows.select("user_name", "sec", "record_id", "computer"), ["user_name"], seconds, 1, distinct="computer", least_distinct=hosts)
-    return _of_bursts(found, "many_hosts", "high", F.lit(""), F.col("user_name"))
+    rows = rows.select("user_name", "sec", "event", F.col("computer").alias("host"))
+    named = rows.withColumn("named", F.when(F.col("host") != "", F.col("host")))
+    found = bursts(named, ["user_name"], seconds, 1, tie="event", distinct="named", least_distinct=hosts)
+    return _burst_members(rows, found, ["user_name"], seconds, F.lit(""), F.col("l_user_name"))
+
 
+def _spawn_weight(root: Column, child: Column, image: Column) -> Column:
+    """4 for a document's or browser's shell, 3 for a system tool, 2 for an odd folder, else 0."""
+    shell = any_of([(root == r) & child.isin(kids) for r, kids in ODD_SPAWNS.items()])
+    tool = child.isin([f"{x}.exe" for x in LOLBAS])
+    folder = any_of([F.contains(F.replace(image, F.lit("/"), F.lit("\\")), F.lit(p)) for p in ODD_PATHS])
+    return F.when(shell, 4).when(tool, 3).when(folder, 2).otherwise(0)
 
-def process_trees(log: DataFrame, depth: int = 5, most: int = 20) -> DataFrame:
+
+@rule("medium", 19)
+def process_trees(log: DataFrame, depth: int = 5) -> DataFrame:
     """Trees of processes by GUID: a document's or browser's shell is critical, a system tool among the descendants high, an odd folder medium.
 
-    Of equal GUIDs the first process has it.  A process below the root of another tree with a finding isn't a root
-    itself.  Descendants are joined level by level, all of them; ``shown`` has the first ``most``.
+    Of equal GUIDs the first process has it and its children; every process is a child of its parent's GUID.  A process
+    below the root of another tree with a finding isn't a root itself.  From the children that may be a finding their
+    ancestors are looked up, level by level; only trees with a finding are then walked down.
     """
     guid = lambda c: F.lower(_text(c))
-    rows = acting(log).where(_code(1) & (guid("process_guid") != "")).select("computer", "record_id", "sec", "user_name", guid("process_guid").alias("guid"), guid("parent_guid").alias("parent"), F.lower(_text("image")).alias("image"))
-    first = W.partitionBy("computer", "guid").orderBy("sec", "record_id")
-    rows = rows.withColumn("_p", F.row_number().over(first)).where("_p = 1").drop("_p").withColumn("base", basename(F.col("image")))
-    edges = rows.where("parent <> '' and parent <> guid").select("computer", F.col("parent").alias("at"), F.col("guid").alias("child"), F.col("record_id").alias("child_id"), F.col("sec").alias("child_s"), F.col("base").alias("child_base"), F.col("image").alias("child_image"))
-    roots = rows.select("computer", F.col("guid").alias("root"), F.col("record_id").alias("root_id"), F.col("sec").alias("root_s"), "user_name", F.col("base").alias("root_base"), F.col("guid").alias("at"))
-    level, below = roots, None
-    for d in range(1, depth + 1):
-        level = level.join(edges, ["computer", "at"]).where(F.col("child") != F.col("root"))
-        below = level.withColumn("d", F.lit(d)) if below is None else below.unionByName(level.withColumn("d", F.lit(d)))
-        level = level.drop("at", "child_id", "child_s", "child_base", "child_image").withColumnRenamed("child", "at")
-    below = below.dropDuplicates(["computer", "root", "child"])
-    shell = any_of([(F.col("root_base") == r) & F.col("child_base").isin(kids) for r, kids in ODD_SPAWNS.items()])
-    tool = F.col("child_base").isin([f"{x}.exe" for x in LOLBAS])
-    folder = any_of([F.contains(F.replace("child_image", F.lit("/"), F.lit("\\")), F.lit(p)) for p in ODD_PATHS])
-    weight = F.when(shell, 4).when(tool, 3).when(folder, 2).otherwise(0)
-    entry = F.struct("child_s", "child_id")
-    trees = below.groupBy("computer", "root", "root_id", "root_s", "user_name").agg(F.max(weight).alias("w"), F.count("*").alias("m"), F.max("child_s").alias("hi"), F.min("child_s").alias("lo"), F.slice(F.sort_array(F.collect_list(entry)), 1, most)["child_id"].alias("ids"), F.collect_set("child").alias("children"))
-    found = trees.where("w > 0")
-    inner = found.select("computer", F.explode("children").alias("root")).distinct()
+    rows = acting(log).where(_code(1, 4688) & ~guid("process_guid").isin("", NO_GUID))
+    rows = rows.select("computer", "event", "sec", "user_name", guid("process_guid").alias("guid"), guid("parent_guid").alias("parent"), F.lower(_text("image")).alias("image")).withColumn("base", basename(F.col("image")))
+    first = rows.groupBy("computer", "guid").agg(F.min(F.struct("sec", "event", "user_name", "base", "parent")).alias("p"))
+    roots = first.select("computer", "guid", "p.*")
+    edges = rows.where(~F.col("parent").isin("", NO_GUID) & (F.col("parent") != F.col("guid")))
+    shells = sorted({k for kids in ODD_SPAWNS.values() for k in kids})
+    plain = _spawn_weight(F.lit(""), F.col("base"), F.col("image"))
+    level = edges.where((plain > 0) | F.col("base").isin(shells)).select("computer", F.col("parent").alias("at"), "base", "image", F.col("guid").alias("below")).distinct()
+    found = None
+    for d in range(depth):
+        up = level.join(roots.select("computer", F.col("guid").alias("at"), F.col("base").alias("root_base"), F.col("parent").alias("next")), ["computer", "at"])
+        hits = up.where("at <> below").select("computer", F.col("at").alias("root"), _spawn_weight(F.col("root_base"), F.col("base"), F.col("image")).alias("w")).where("w > 0")
+        found = hits if found is None else found.union(hits)
+        if d + 1 < depth:
+            level = up.where(~F.col("next").isin("", NO_GUID) & (F.col("next") != F.col("at"))).select("computer", F.col("next").alias("at"), "base", "image", "below").distinct()
+    found = stored(found.groupBy("computer", "root").agg(F.max("w").alias("w")), "tree-roots")
+    level = found.select("computer", "root", F.col("root").alias("at"))
+    below = None
+    children = edges.select("computer", F.col("parent").alias("at"), "guid", "event", "sec")
+    for _ in range(depth):
+        step = level.join(children, ["computer", "at"]).where("guid <> root")
+        below = step.drop("at") if below is None else below.union(step.drop("at"))
+        level = step.select("computer", "root", F.col("guid").alias("at")).distinct()
+    below = stored(below.distinct(), "tree-members")
+    inner = below.select("computer", F.col("guid").alias("root")).distinct()
     found = found.join(inner, ["computer", "root"], "left_anti")
     severity = F.when(F.col("w") == 4, "critical").when(F.col("w") == 3, "high").otherwise("medium")
-    return found.select(F.lit("process_trees").alias("rule"), severity.alias("severity"), "computer", "user_name", F.col("root_id").alias("first_id"), F.least("root_s", "lo").alias("first_s"), F.greatest("root_s", "hi").alias("last_s"), (F.col("m") + 1).alias("n"), F.concat(F.array("root_id"), "ids").alias("shown"))
+    top = found.join(roots.select("computer", F.col("guid").alias("root"), F.col("event").alias("chain"), F.col("sec").alias("root_s"), "user_name"), ["computer", "root"]).withColumn("severity", severity)
+    leads = top.select("chain", "computer", "user_name", F.col("chain").alias("event"), F.col("root_s").alias("sec"), F.col("computer").alias("host"), F.lit(True).alias("lead"), F.lit(True).alias("listed"), "severity")
+    others = top.join(below, ["computer", "root"]).select("chain", "computer", "user_name", "event", "sec", F.col("computer").alias("host"), F.lit(False).alias("lead"), F.lit(True).alias("listed"), "severity")
+    return leads.union(others)
 
 
 RULES = [brute_force, service_after_logon, weak_tickets, pass_the_hash, log_clearing, task_after_logon, account_after_recon, password_spray, script_after_shell, session_privileges, session_processes, many_hosts, process_trees]
 
 
 def once_a_minute(chains: DataFrame) -> DataFrame:
-    """Of chains of one rule, host and minute the first."""
-    order = W.partitionBy("rule", "computer", F.floor(F.col("first_s") / 60), F.when(F.col("computer") == "", F.col("user_name"))).orderBy("first_s", "first_id")
+    """Of chains of one rule, the same hosts and minute the first."""
+    order = W.partitionBy("rule", "hosts", F.floor(F.col("first_s") / 60)).orderBy("first_s", "first_event")
     return chains.withColumn("_p", F.row_number().over(order)).where("_p = 1").drop("_p")
 
 
+def severity_rank(severity: Column) -> Column:
+    return F.coalesce(*[F.when(severity == s, r) for s, r in SEVERITY_RANK.items()], F.lit(0))
+
+
 def by_severity(chains: DataFrame) -> DataFrame:
     """Chains in order of severity, the worst first, then of time."""
-    rank = F.coalesce(*[F.when(F.col("severity") == s, r) for s, r in SEVERITY_RANK.items()], F.lit(0))
-    return chains.orderBy(rank.desc(), "first_s", "rule", "first_id")
+    return chains.orderBy(severity_rank(F.col("severity")).desc(), "first_s", "rule", "first_event")
 
 
-def all_chains(log: DataFrame) -> DataFrame:
-    """Chains of all rules, one per rule, host and minute."""
-    return once_a_minute(reduce(DataFrame.unionByName, [rule(log) for rule in RULES]))
+def all_chains(log: DataFrame, detections: DataFrame | None = None) -> DataFrame:
+    """Chains of all rules, and ``detections`` of other tools in the same columns: one per rule, hosts and minute, the worst first."""
+    found = [rule(log) for rule in RULES] + ([detections] if detections is not None else [])
+    return by_severity(once_a_minute(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)))

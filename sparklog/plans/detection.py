@@ -46,8 +46,9 @@ TAGGED_SQL = f"""{STATIC_SQL}, {LINEAGE_SQL}, {BENIGN_SQL}, {RULE_SQL}, own AS (
   SELECT record_id, tactic, tid, min_by(confidence, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS confidence FROM every GROUP BY 1, 2, 3)"""
 
 
-def _exploded(df, column):
-    return df.select("record_id", F.explode(column).alias("t")).select("record_id", "t.tactic", "t.tid", "t.confidence")
+def _exploded(df, column, *key):
+    key = key or ("record_id",)
+    return df.select(*key, F.explode(column).alias("t")).select(*key, "t.tactic", "t.tid", "t.confidence")
 
 
 @query(f", {STATIC_SQL} SELECT record_id, tactic, tid, CASE WHEN event_code IN (4624, 4672, 4663, 4656, 5140, 7036) THEN 'low' ELSE 'medium' END AS confidence FROM security_log JOIN static_map ON code = event_code")
@@ -78,10 +79,10 @@ def tag_filter(spark, sf_dir):
     return T.tagged(log(spark, sf_dir)).where(hit).select("record_id")
 
 
-@query("SELECT record_id, tid FROM security_log JOIN (VALUES ('T1059.001', ['powershell', 'host']), ('T1218.011', ['rundll32'])) r(tid, words) ON len([w FOR w IN words IF list_contains(regexp_split_to_array(lower(concat(process_name, ' ', computer, ' host')), '[^a-z0-9]+'), w)]) >= least(2, len(words)) WHERE event_code = 4688")
+@query("SELECT source_file, record_id, tid FROM security_log JOIN (VALUES ('T1059.001', ['powershell', 'host']), ('T1218.011', ['rundll32'])) r(tid, words) ON len([w FOR w IN words IF list_contains(regexp_split_to_array(lower(concat(process_name, ' ', computer, ' host')), '[^a-z0-9]+'), w)]) >= least(2, len(words)) WHERE event_code = 4688")
 def keyword_tags(spark, sf_dir):
     rules = spark.createDataFrame([("T1059.001", ["powershell", "host"]), ("T1218.011", ["rundll32"])], "tid string, keywords array<string>")
-    rows = log(spark, sf_dir).where("event_code = 4688").select("record_id", F.concat_ws(" ", "process_name", "computer", F.lit("host")).alias("command"))
+    rows = log(spark, sf_dir).where("event_code = 4688").select("source_file", "record_id", F.concat_ws(" ", "process_name", "computer", F.lit("host")).alias("command"))
     return T.keyword_tags(rows, "command", rules)
 
 
@@ -259,15 +260,15 @@ _AUDIT_RULES = """ruled AS (SELECT *, CASE
   WHEN event_code = 4769 THEN CASE WHEN ticket_service LIKE '%$' THEN [] WHEN ticket_cipher IN ('0x17', '23') THEN [('Credential Access', 'T1558.003', 'high')] ELSE [('Credential Access', 'T1558.003', 'medium')] END
   END AS own FROM (SELECT *, CASE WHEN image LIKE '%/%' THEN regexp_extract(lower(image), '[^/]*$') ELSE concat('no path ', image) END AS child, regexp_extract(lower(image), '[^/]*$') AS short, regexp_extract(lower(parent_image), '[^/]*$') AS parent FROM audit))"""
 AUDIT_TAGS_SQL = f"""WITH {AUDIT_SQL}, {_AUDIT_RULES}, {STATIC_SQL}, {LINEAGE_SQL}, {BENIGN_SQL}, first AS (
-  SELECT record_id, event_code, short, parent, unnest(own) AS t FROM ruled WHERE own IS NOT NULL
-  UNION ALL SELECT record_id, event_code, short, parent, (tactic, tid, CASE WHEN event_code IN (4624, 4672, 4663, 4656, 5140, 7036) THEN 'low' ELSE 'medium' END) FROM ruled JOIN static_map ON code = event_code WHERE own IS NULL AND (code > 25 OR lower(provider) LIKE '%sysmon%')
+  SELECT source_file, record_id, event_code, short, parent, unnest(own) AS t FROM ruled WHERE own IS NOT NULL
+  UNION ALL SELECT source_file, record_id, event_code, short, parent, (tactic, tid, CASE WHEN event_code IN (4624, 4672, 4663, 4656, 5140, 7036) THEN 'low' ELSE 'medium' END) FROM ruled JOIN static_map ON code = event_code WHERE own IS NULL AND (code > 25 OR lower(provider) LIKE '%sysmon%')
 ), every AS (
-  SELECT record_id, t[1] AS tactic, t[2] AS tid, t[3] AS confidence FROM first WHERE NOT (event_code IN (1, 4688) AND t[1] = 'Execution' AND EXISTS (SELECT 1 FROM benign b WHERE b.parent = first.parent AND child = short))
-  UNION ALL SELECT record_id, tactic, tid, confidence FROM ruled r JOIN lineage l ON l.parent = r.parent AND l.child = r.short WHERE event_code IN (1, 4688)
-) SELECT record_id, tactic, tid, min_by(confidence, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS confidence FROM every GROUP BY 1, 2, 3"""
+  SELECT source_file, record_id, t[1] AS tactic, t[2] AS tid, t[3] AS confidence FROM first WHERE NOT (event_code IN (1, 4688) AND t[1] = 'Execution' AND EXISTS (SELECT 1 FROM benign b WHERE b.parent = first.parent AND child = short))
+  UNION ALL SELECT source_file, record_id, tactic, tid, confidence FROM ruled r JOIN lineage l ON l.parent = r.parent AND l.child = r.short WHERE event_code IN (1, 4688)
+) SELECT source_file, record_id, tactic, tid, min_by(confidence, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS confidence FROM every GROUP BY 1, 2, 3, 4"""
 
 
 @query(AUDIT_TAGS_SQL, log=False)
 def audit_tags(spark, sf_dir):
     """Tags of the audit log by all conditional rules, the static map and the context (no command there is random enough for a tag)."""
-    return _exploded(T.tagged(audit_log(spark, sf_dir)), "tags")
+    return _exploded(T.tagged(audit_log(spark, sf_dir)), "tags", "source_file", "record_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparklog.functions import scalars as S
 from sparklog.operators import predicates as P
+from sparklog.operators.ordering import SORTABLE, mixed_order, placed, sort_order
 from sparklog.plans.base import query
 from sparklog.sources.security_log import security_log as log
 from sparklog.sources.security_log import table
@@ -133,10 +134,24 @@ def timeline_sort(spark, sf_dir):
 @query("SELECT v, CAST(dense_rank() OVER (ORDER BY TRY_CAST(v AS DOUBLE) NULLS LAST, lower(v), v) AS BIGINT) AS place FROM (SELECT DISTINCT CASE WHEN k % 3 = 0 THEN process_name ELSE CAST(pid AS VARCHAR) END AS v FROM security_log)")
 def mixed_sort(spark, sf_dir):
     """Distinct values of a mixed column, numbers first; as many as there are values of it."""
-    from pyspark.sql import Window as W
-
     v = log(spark, sf_dir).select(F.when(F.col("k") % 3 == 0, F.col("process_name")).otherwise(F.col("pid").cast("string")).alias("v")).distinct()
-    return v.withColumn("place", F.dense_rank().over(W.orderBy(F.col("v").try_cast("double").asc_nulls_last(), F.lower("v"), "v")).cast("long"))
+    return placed(v, mixed_order(F.col("v")))
+
+
+def _sorted_query(name: str, descending: bool) -> None:
+    column, way = SORTABLE[name], "DESC" if descending else "ASC"
+
+    def run(spark, sf_dir):
+        rows = log(spark, sf_dir).select("ts", "record_id", "source_file", *{column} - {"ts", "record_id", "source_file"})
+        return placed(rows, sort_order(rows, name, descending)).select("place", "record_id")
+
+    run.__name__ = f"sort_{name}"
+    run.__doc__ = f"The place of every record by {name}."
+    query(f"SELECT row_number() OVER (ORDER BY {column} {way} NULLS LAST, ts, record_id, source_file) AS place, record_id FROM security_log")(run)
+
+
+for _name, _descending in (("timestamp", True), ("event_id", False), ("computer", True), ("user", False), ("process_id", True)):
+    _sorted_query(_name, _descending)
 
 
 @query("""SELECT process_name, round(coalesce(-list_sum([x.c / n * log2(x.c / n) FOR x IN hist]), 0), 6) AS bits FROM (

