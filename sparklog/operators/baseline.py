@@ -1,16 +1,19 @@
 """Baseline statistics of process starts, and anomaly scores against them.
 
-Process events have the columns record_id, sec, computer, process, parent, command, pid, ppid.
+Process events have the columns source_file and record_id (together their key), sec, computer, process, parent, command.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.functions.scalars import jsd_term
-from sparklog.operators.sequences import interval_join
-
+#: Key of an event: its number, and the file that the number counts in.
+EVENT = ["source_file", "record_id"]
+#: Counts that are held at once when windows roll.
+CELLS = 1 << 20
 #: Bits of what was never seen, and the most that any surprise counts.
 MOST_BITS = 20.0
 WEIGHTS = {"command": 0.35, "lineage": 0.25, "depth": 0.25, "ppid": 0.15, "drift": 0.10, "hash": 0.10}
@@ -58,31 +61,79 @@ def chain_prefixes(chains: DataFrame, chain: str = "chain", most: int = 5) -> Da
 
 
 def prefix_depth(events: DataFrame, baseline: DataFrame, chain: str = "chain", most: int = 5) -> DataFrame:
-    """record_id, depth of the longest known prefix, and the score 1 - depth / min(length, most); 1 for an empty chain."""
+    """Key, depth of the longest known prefix, and the score 1 - depth / min(length, most); 1 for an empty chain."""
     known = chain_prefixes(baseline, chain, most).select("prefix").distinct()
-    hits = chain_prefixes(events.select("record_id", chain), chain, most).join(known, "prefix", "left_semi")
-    depths = hits.groupBy("record_id").agg(F.max("depth").alias("depth"))
+    hits = chain_prefixes(events.select(*EVENT, chain), chain, most).join(known, "prefix", "left_semi")
+    depths = hits.groupBy(*EVENT).agg(F.max("depth").alias("depth"))
     size = F.least(F.size(chain), F.lit(most))
-    rows = events.select("record_id", chain).join(depths, "record_id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    return rows.select("record_id", "depth", F.round(F.when(size <= 0, 1.0).otherwise(1 - F.col("depth") / size), 6).alias("depth_score"))
+    rows = events.select(*EVENT, chain).join(depths, EVENT, "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    return rows.select(*EVENT, "depth", F.round(F.when(size <= 0, 1.0).otherwise(1 - F.col("depth") / size), 6).alias("depth_score"))
+
+
+def shares(baseline: DataFrame) -> DataFrame:
+    """process and q, its share of the baseline's events."""
+    totals = baseline.groupBy("process").agg(F.count("*").alias("c"))
+    every = baseline.agg(F.count("*").alias("all"))
+    return totals.join(F.broadcast(every)).select("process", (F.col("c") / F.col("all")).alias("q"))
+
+
+def _divergence(counts: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence, in bits, of each row of counts (one per process) from the shares ``q``.
+
+    What the baseline has beyond the row's processes adds half of its share.
+    """
+    p = counts / counts.sum(axis=1, keepdims=True)
+    seen = counts > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.where(seen, p * np.log2(2 * p / (p + q)), 0)
+        other = np.where(seen & (q > 0), q * np.log2(2 * q / (p + q)), 0)
+    return np.clip(0.5 * (own + other).sum(axis=1) + 0.5 * (1 - (seen * q).sum(axis=1)), 0, 1)
+
+
+def _rolling(seconds: int):
+    """Arrow function over the counts (sec, process, n, q) of a host's chunk of time and of the window before it."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, at, names, n, q, own = (c.to_numpy(zero_copy_only=False) for c in table.select(["computer", "sec", "process", "n", "q", "own"]).columns)
+        order = np.argsort(at, kind="stable")
+        at, n, q, own = at[order], n[order], q[order], own[order]
+        _, first, process = np.unique(names[order].astype(str), return_index=True, return_inverse=True)
+        share = q[first]
+        moments = np.unique(at[own])
+        out = np.zeros(len(moments))
+        rows = max(1, CELLS // len(share))
+        for k in range(0, len(moments), rows):
+            part = moments[k : k + rows]
+            # counts of the first moment, then what enters and leaves before each of the others
+            change = np.zeros((len(part), len(share)), np.int64)
+            inside = (at >= part[0] - seconds) & (at <= part[0])
+            np.add.at(change[0], process[inside], n[inside])
+            enter = (at > part[0]) & (at <= part[-1])
+            np.add.at(change, (np.searchsorted(part, at[enter]), process[enter]), n[enter])
+            leave = (at >= part[0] - seconds) & (at < part[-1] - seconds)
+            np.add.at(change, (np.searchsorted(part - seconds, at[leave], "right"), process[leave]), -n[leave])
+            out[k : k + rows] = _divergence(change.cumsum(axis=0), share)
+        host = pa.array([key[0].as_py()] * len(moments), pa.string())
+        return pa.Table.from_arrays([host, pa.array(moments, pa.int64()), pa.array(out)], names=["computer", "sec", "drift"])
+
+    return run
 
 
 def drift(events: DataFrame, baseline: DataFrame, seconds: int) -> DataFrame:
-    """record_id and the Jensen-Shannon divergence of the host's last ``seconds`` from the baseline's processes.
+    """Key and the Jensen-Shannon divergence of the host's last ``seconds`` from the baseline's processes.
 
-    Only the processes of a window are visited; those of the baseline alone add half of what is left of it.
+    All events of a host's second have one window.  Counts per host, second and process are made first; windows roll
+    over them within chunks of time, entering and leaving, so that the work of a host grows with its seconds times
+    the processes of a window, not with pairs of events, and no task holds more than a chunk and a window of seconds.
+    Events without a host, process or time have none.
     """
-    totals = baseline.groupBy("process").agg(F.count("*").alias("c"))
-    every = baseline.agg(F.count("*").alias("all"))
-    q = totals.join(F.broadcast(every)).select("process", (F.col("c") / F.col("all")).alias("q"))
-    rows = events.select("record_id", "sec", "computer", "process")
-    near = interval_join(rows, rows.select("record_id", "sec", "computer"), ["computer"], seconds)
-    counts = near.groupBy(F.col("r_record_id").alias("record_id"), F.col("l_process").alias("process")).agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("record_id").agg(F.sum("c").alias("all"))
-    terms = counts.join(sizes, "record_id").withColumn("p", F.col("c") / F.col("all")).join(q, "process", "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
-    out = terms.groupBy("record_id").agg(F.sum(jsd_term(F.col("p"), F.col("q"))).alias("own"), F.sum("q").alias("covered"))
-    jsd = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("own") + 0.5 * (1 - F.col("covered"))))
-    return out.select("record_id", F.round(jsd, 6).alias("drift"))
+    rows = events.select(*EVENT, "sec", "computer", "process").where("computer is not null and sec is not null and process is not null")
+    counts = rows.groupBy("computer", "sec", "process").agg(F.count("*").alias("n")).join(shares(baseline), "process", "left")
+    chunk = lambda c: F.floor(c / (4 * seconds))
+    both = counts.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk(F.col("sec")), chunk(F.col("sec") + seconds)))))
+    both = both.select("computer", "chunk", "sec", "process", "n", F.coalesce("q", F.lit(0.0)).alias("q"), (F.col("chunk") == chunk(F.col("sec"))).alias("own"))
+    found = both.groupBy("computer", "chunk").applyInArrow(_rolling(seconds), "computer string, sec long, drift double")
+    return rows.join(found, ["computer", "sec"]).select(*EVENT, F.round("drift", 6).alias("drift"))
 
 
 def composite(command: Column, lineage: Column, depth: Column, ppid: Column, host_drift: Column, new_hash: Column, w: dict = WEIGHTS) -> Column:

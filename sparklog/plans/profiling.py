@@ -14,7 +14,7 @@ SPLIT, DAY = 1705363200, 86_400
 
 def _events(spark, sf_dir):
     rows = log(spark, sf_dir).where("event_code = 4688")
-    return rows.select("record_id", "sec", "computer", "pid", "ppid", F.col("process_name").alias("process"), F.col("parent_name").alias("parent"), F.concat_ws(" ", "process_name", F.col("pid").cast("string")).alias("command"))
+    return rows.select("source_file", "record_id", "sec", "computer", "pid", "ppid", F.col("process_name").alias("process"), F.col("parent_name").alias("parent"), F.concat_ws(" ", "process_name", F.col("pid").cast("string")).alias("command"))
 
 
 def _halves(spark, sf_dir):
@@ -64,7 +64,7 @@ def baseline_membership(spark, sf_dir):
 def ancestry_prefix_depth(spark, sf_dir):
     old, new = _halves(spark, sf_dir)
     chain = F.array("parent", "process", "command").alias("chain")
-    return B.prefix_depth(new.select("record_id", chain), old.select("record_id", chain))
+    return B.prefix_depth(new.select(*B.EVENT, chain), old.select(*B.EVENT, chain)).drop("source_file")
 
 
 DRIFT_SQL = EVENTS_SQL + f""", q AS (SELECT process, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM old) AS q FROM old GROUP BY 1),
@@ -75,7 +75,7 @@ drifts AS (SELECT record_id, round(greatest(0, least(1, sum(0.5 * (CAST(c AS DOU
 @query(DRIFT_SQL + "SELECT * FROM drifts")
 def drift_jsd(spark, sf_dir):
     old, new = _halves(spark, sf_dir)
-    return B.drift(new, old, 3 * DAY)
+    return B.drift(new, old, 3 * DAY).drop("source_file")
 
 
 @query(EVENTS_SQL + "SELECT process, min_by(parent, (-n, parent)) AS parent FROM (SELECT process, parent, count(*) AS n FROM old GROUP BY 1, 2) GROUP BY 1")
@@ -91,8 +91,8 @@ def scored(spark, sf_dir):
     rows = B.surprisal(rows, old, "parent", "process", "bits_lineage")
     rows = B.membership(rows, old, ["process", "parent", "command"])
     chain = F.array("parent", "process", "command").alias("chain")
-    depth = B.prefix_depth(new.select("record_id", chain), old.select("record_id", chain)).select("record_id", "depth_score")
-    rows = rows.join(depth, "record_id").join(B.drift(new, old, 3 * DAY), "record_id")
+    depth = B.prefix_depth(new.select(*B.EVENT, chain), old.select(*B.EVENT, chain)).select(*B.EVENT, "depth_score")
+    rows = rows.join(depth, B.EVENT).join(B.drift(new, old, 3 * DAY), B.EVENT)
     ppid = F.when(F.col("pid") == F.col("ppid"), 1.0).otherwise(0.0)
     raw = B.composite(F.col("bits_command"), F.col("bits_lineage"), F.col("depth_score"), ppid, F.col("drift"), F.lit(0.0))
     rows = rows.withColumn("ppid_flag", ppid).withColumn("raw", raw)
