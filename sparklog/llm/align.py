@@ -49,8 +49,8 @@ LONG, BATCH_BYTES, CHUNK_BYTES = 1 << 15, 1 << 20, 4 << 20
 _FAN = 8
 #: A pair of ids as one number: A's id times this, plus B's.
 _B_IDS = 1 << 15
-#: New pieces that are encoded as one text; pieces that a worker keeps; groups with more pairs than this are counted one by one.
-_JOINED, _KEPT, _MANY = 64, 200_000, 1 << 12
+#: New pieces that are encoded as one text; pieces that a task keeps; groups with more pairs than this are counted one by one.
+_JOINED, _KEPT, _MANY = 64, 100_000, 1 << 12
 
 _SAFE = re.compile(r"(?<=\S)(?= )")
 
@@ -263,11 +263,6 @@ class Aligner:
         return sums[ends] - sums[ends - sizes], digests, (keyed >> 32).astype(np.int32), (keyed & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32)
 
 
-@functools.cache
-def _aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
-
-
 @dataclass
 class Fragment:
     """Tokens of a range of bytes: ``head`` up to the first common end (all, if there is none), groups, ``tail`` after the last."""
@@ -370,15 +365,6 @@ def _compose_rows(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([out | _row(made) | {"n_groups": n_groups}], _FRAGMENT)
 
 
-def composed(fragments: DataFrame, longest: int, long: int) -> DataFrame:
-    """One row per document: ``_FAN`` ranges at a time, until a step holds the ``longest`` document."""
-    step = long
-    while step < longest:
-        step *= _FAN
-        fragments = fragments.withColumn("step", F.expr(f"start div {step}L")).groupBy("uid", "step").applyInArrow(_compose_rows, _FRAGMENT_SQL)
-    return fragments
-
-
 _CHUNK = pa.schema(
     [("chunk", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_bytes", pa.int64()), ("part", pa.string())]
     + [("doc_ids", pa.list_(pa.int64()))]
@@ -425,7 +411,7 @@ def _first_pass(path_a: str, path_b: str, long: int):
     """Arrow function: chunks of aligned documents, and the parts of long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _aligner(path_a, path_b)
+        made = Aligner(path_a, path_b)
         uid = TaskContext.get().partitionId() << 40
         for outer in by_bytes(batches, "text", CHUNK_BYTES):
             ids, held = [], []
@@ -447,17 +433,26 @@ def _first_pass(path_a: str, path_b: str, long: int):
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of one document of composed fragments."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            numbers, digest, f = np.zeros((1, 4), np.int64), "", Fragment()
-            if r["good"]:
-                f = compose(START, _fragment(r))
-                numbers[0] = r["n_a"], r["n_b"], r["n_groups"] + r["ends"], f.counts.sum()
-                digest = hashlib.sha256(";".join(f.groups).encode()).hexdigest()
-            row = _chunk_row(r["uid"], [r["doc_id"]], numbers, [digest], np.zeros(len(f.codes), np.int64), f.codes, f.counts)
-            yield pa.RecordBatch.from_pylist([row], _CHUNK)
+def _whole(group: pa.Table) -> pa.Table:
+    """The chunk of a document, from all its rows."""
+    r = _compose_rows(group).to_pylist()[0]
+    numbers, digest, f = np.zeros((1, 4), np.int64), "", Fragment()
+    if r["good"]:
+        f = compose(START, _fragment(r))
+        numbers[0] = r["n_a"], r["n_b"], r["n_groups"] + r["ends"], f.counts.sum()
+        digest = hashlib.sha256(";".join(f.groups).encode()).hexdigest()
+    row = _chunk_row(r["uid"], [r["doc_id"]], numbers, [digest], np.zeros(len(f.codes), np.int64), f.codes, f.counts)
+    return pa.Table.from_pylist([row], _CHUNK)
+
+
+def composed(fragments: DataFrame, longest: int, long: int) -> DataFrame:
+    """One chunk per document: ``_FAN`` ranges at a time, until a step holds the ``longest`` document."""
+    step = long * _FAN
+    while True:
+        steps = fragments.withColumn("step", F.expr(f"start div {step}L")).groupBy("uid", "step")
+        if step >= longest:
+            return steps.applyInArrow(_whole, _CHUNK_SQL)
+        fragments, step = steps.applyInArrow(_compose_rows, _FRAGMENT_SQL), step * _FAN
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,7 +499,7 @@ def aligned(df: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     if longest:
         parts = stored.where("part is not null").select("uid", "doc_id", "start", "part").repartition(shuffle_parts(df.sparkSession), "uid", "start")
         fragments = parts.mapInArrow(_encode_parts(path_a, path_b, long), _FRAGMENT_SQL)
-        whole = materialize(composed(fragments, longest, long).mapInArrow(_finish, _CHUNK_SQL), "aligned-long")
+        whole = materialize(composed(fragments, longest, long), "aligned-long")
         chunks = chunks.union(whole)
     return chunks, chunks.select("chunk", "codes", "docs").mapInArrow(_codes, "chunk long, code int, docs int")
 
