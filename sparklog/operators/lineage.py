@@ -19,8 +19,8 @@ STARTS, ENDS, ACTS = (1, 4688), (5, 4689), (8, 10)
 DEPTH = 5
 
 
-def process_events(log: DataFrame) -> DataFrame:
-    """One row of one shape per process event of an audit log.
+def process_events(log: DataFrame, *more: str) -> DataFrame:
+    """One row of one shape per process event of an audit log, with ``more`` of its columns.
 
     A start of the security log has no GUIDs and no hash; one of the system monitor has all; an injection or
     access has its source as the process and its target in the place of the parent; an end has only what it is.
@@ -48,6 +48,7 @@ def process_events(log: DataFrame) -> DataFrame:
         field("command_line", starts).alias("command"),
         field("subject_user", F.lit(True)).alias("user_name"),
         field("hashes", of((1,))).alias("image_hash"),
+        *more,
     )
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparklog.operators.lineage import process_events
 from sparklog.plans.base import query
+from sparklog.plans.processes import LINEAGE_SQL
 from sparklog.sources import files as X
 from sparklog.sources.security_log import ingest_json
 from sparklog.sources.security_log import security_log as log
 from sparklog.streaming import jobs as J
+from sparklog.streaming.lineage import lineage
 
 
 @query("SELECT record_id, sec, computer, event_code FROM security_log")
@@ -74,4 +77,17 @@ def stream_sessions(spark, sf_dir):
 
 @query("""SELECT c.computer, c.record_id, (SELECT max_by(p.record_id, (p.sec, p.record_id)) FROM security_log p WHERE p.event_code = 4688 AND p.computer = c.computer AND p.pid = c.ppid AND (p.sec < c.sec OR p.sec = c.sec AND p.record_id < c.record_id)) AS parent_record FROM security_log c WHERE c.event_code = 4688""")
 def stream_lineage(spark, sf_dir):
-    return J.run(spark, J.lineage(J.log_stream(spark, sf_dir)), "lineage")
+    """Parent start of each process start of the log, by process number."""
+    none = [F.lit("").alias(c) for c in ("guid", "parent_guid", "parent_name", "image_hash")]
+    starts = J.log_stream(spark, sf_dir).where("event_code = 4688").select("ts", "computer", "sec", "event_code", F.struct("record_id", "source_file").alias("event"), F.col("pid").cast("long").alias("pid"), F.col("ppid").cast("long").alias("ppid"), F.col("process_name").alias("name"), *none)
+    return J.run(spark, lineage(starts), "lineage").select("computer", "record_id", F.col("entry_id").alias("parent_record"))
+
+
+@query(f"""WITH {LINEAGE_SQL}, hashed AS (SELECT *, row_number() OVER (PARTITION BY computer, name ORDER BY sec, event) AS i, row_number() OVER (PARTITION BY computer, name, image_hash ORDER BY sec, event) AS j FROM starts WHERE image_hash <> '')
+SELECT 'parent' AS kind, computer, event.source_file, event.record_id, entry.record_id AS entry_id, entry.source_file AS entry_file, parent, ppid_mismatch AS flag FROM lineage_rows
+UNION ALL SELECT 'hash', computer, event.source_file, event.record_id, NULL, NULL, name, i > 1 AND j = 1 FROM hashed""", log=False)
+def stream_processes(spark, sf_dir):
+    """Parents, ended numbers and new hashes of the process starts of the audit log, from state per process number, GUID and name."""
+    log = J.audit_stream(spark, sf_dir)
+    events = process_events(log, "ts")
+    return J.run(spark, lineage(events), "processes")

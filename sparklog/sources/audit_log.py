@@ -95,8 +95,13 @@ AUDIT_SQL = f"""audit_base AS (SELECT *, {_CODE} AS event_code FROM (SELECT *, C
 audit AS (SELECT {', '.join(_REST)} FROM audit_base)"""
 
 
-def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view over ``events``; columns that a query doesn't use aren't read."""
+def audit_view(events: DataFrame) -> DataFrame:
+    """The view of rows of ``events``."""
     code, rest = _select(True)
-    rows = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    rows = events.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return rows.withColumn("event_code", F.expr(code)).selectExpr(*rest)
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view over ``events``; columns that a query doesn't use aren't read."""
+    return audit_view(table(spark, sf_dir, "events"))

@@ -7,13 +7,10 @@ there and reads its sink back; ``run_whole`` does so in complete mode, which giv
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparklog.sources.audit_log import audit_view
 from sparklog.sources.files import shared_path
 from sparklog.sources.security_log import _VIEW, _split
 
@@ -46,22 +43,11 @@ def activity_sessions(log: DataFrame, gap: str = "6 hours") -> DataFrame:
     return rows.groupBy(F.session_window("ts", gap), "user_name").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "user_name", "n")
 
 
-def _parents(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Latest start of each process number of one host; its size is that of the process numbers."""
-    known = json.loads(state.get[0]) if state.exists else {}
-    rows = pd.concat(list(batches))  # of one trigger; its size is the source's to limit
-    out = []
-    for r in rows.sort_values(["sec", "record_id"]).itertuples():
-        out.append((key[0], r.record_id, known.get(str(r.ppid))))
-        known[str(r.pid)] = int(r.record_id)
-    yield pd.DataFrame(out, columns=["computer", "record_id", "parent_record"]).astype({"parent_record": "Int64"})
-    state.update((json.dumps(known),))
-
-
-def lineage(log: DataFrame) -> DataFrame:
-    """Parent start of each process start, with one state per host."""
-    starts = log.where("event_code = 4688").select("computer", "record_id", "sec", "pid", "ppid")
-    return starts.groupBy("computer").applyInPandasWithState(_parents, "computer string, record_id long, parent_record long", "known string", "append", "NoTimeout")
+def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log over files of events as they arrive, with its time as ``ts``."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    return audit_view(events).withColumn("ts", F.timestamp_seconds(F.col("sec") + 1_704_067_200))
 
 
 def run(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
