@@ -76,7 +76,8 @@ def decode_encoded_command(c: Column) -> Column:
 def key_values(c: Column) -> Column:
     """Lines of ``key = value`` as a map, both trimmed; the last of equal keys counts."""
     lines = F.filter(F.split(c, "\n"), lambda x: x.contains("="))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("col1"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("col2")))
+    blank = F.lit(" \t\r\x0b\x0c")
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1), blank).alias("col1"), F.trim(F.regexp_replace(x, "^[^=]*=", ""), blank).alias("col2")))
     empty = F.from_json(F.lit("{}"), "map<string,string>")
     return F.aggregate(pairs, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["col1"]), F.map_from_arrays(F.array(p["col1"]), F.array(p["col2"]))))
 
