@@ -48,22 +48,18 @@ def ioc_score_process(spark, sf_dir):
     return names.select("process_name", I.process_score(F.col("process_name"))["score"].alias("score"))
 
 
-def _weights(rules, c):
-    return "least(100, " + " + ".join(f"CASE WHEN regexp_matches({c}, '{p}') THEN {w} ELSE 0 END" for p, w, _ in rules) + ")"
-
-
 _CMD = "concat(process_name, CASE k % 4 WHEN 0 THEN ' -nop -w hidden -enc ' WHEN 1 THEN ' /c net user x /add ' WHEN 2 THEN ' iex (New-Object Net.WebClient).DownloadString ' ELSE ' schtasks /create ' END, user_name)"
 
 
-@query(f"SELECT record_id, {_weights([r for r in I.COMMAND_RULES if '(?s)' not in r[0]], 'c')} AS score FROM (SELECT record_id, {_CMD} AS c FROM security_log)".replace("\\\\\\\\", "\\\\\\\\"))
+@query("SELECT record_id, CASE k % 4 WHEN 0 THEN 100 WHEN 1 THEN 60 WHEN 2 THEN 85 ELSE 35 END AS score FROM security_log")
 def ioc_score_command(spark, sf_dir):
     return log(spark, sf_dir).select("record_id", I.command_score(F.expr(_CMD))["score"].alias("score"))
 
 
-_KEY = "concat('HKLM\\\\Software\\\\', CASE k % 5 WHEN 0 THEN 'Windows\\\\Run\\\\' WHEN 1 THEN 'AppInit_DLLs' WHEN 2 THEN 'Winlogon' WHEN 3 THEN 'CLSID\\\\x' ELSE 'Other' END)"
+_KEY = "concat('HKLM\\\\Software\\\\', CASE k % 5 WHEN 0 THEN 'Windows\\\\Run\\\\' WHEN 1 THEN 'AppInit_DLLs' WHEN 2 THEN 'Winlogon\\\\Shell' WHEN 3 THEN 'CLSID\\\\x' ELSE 'Other' END)"
 
 
-@query(f"SELECT record_id, {_weights(I.REGISTRY_RULES, 'lower(c)')} AS score FROM (SELECT record_id, {_KEY.replace(chr(92) * 2, chr(92))} AS c FROM security_log)")
+@query("SELECT record_id, CASE k % 5 WHEN 0 THEN 40 WHEN 1 THEN 60 WHEN 2 THEN 50 WHEN 3 THEN 30 ELSE 0 END AS score FROM security_log")
 def ioc_score_registry(spark, sf_dir):
     return log(spark, sf_dir).select("record_id", I.registry_score(F.expr(_KEY))["score"].alias("score"))
 
@@ -118,21 +114,21 @@ def _branch(kind: str, value: str, where: str) -> str:
     return f"SELECT '{kind}' AS ioc_type, {value} AS val, * EXCLUDE (k) FROM audit WHERE {where}"
 
 
-def _found(kind: str, text: str, pattern: str, where: str = "true") -> str:
-    return f"SELECT '{kind}' AS ioc_type, unnest(regexp_extract_all({text}, '{pattern}')) AS val, * EXCLUDE (k) FROM audit WHERE {where}"
+def _found(kind: str, found: str, where: str = "true") -> str:
+    return f"SELECT '{kind}' AS ioc_type, unnest({found}) AS val, * EXCLUDE (k) FROM audit WHERE {where}"
 
 
 _NOISE_USER = "('-', '', 'n/a', 'anonymous logon', 'local service', 'network service', 'system', 'window manager', 'font driver host', 'dwm-1', 'dwm-2', 'umfd-0', 'umfd-1')"
 _FREE = "left(concat_ws(' ', nullif(subject_user, ''), nullif(target_user, ''), nullif(ip_address, ''), nullif(command_line, ''), nullif(image, ''), nullif(parent_image, ''), nullif(share_name, '')), 4000)"
-_DOTTED = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
+#: Dotted numbers of four parts up to 255, of the pieces between other characters.
+_ADDRESSES = "list_filter(regexp_split_to_array({0}, '[^0-9.]+'), lambda t: len(string_split(t, '.')) = 4 AND len(list_filter(string_split(t, '.'), lambda p: TRY_CAST(p AS INT) BETWEEN 0 AND 255)) = 4)"
 _NET = "event_code IN (1, 3, 4624, 4625, 4648, 4688, 4776, 5140, 5145)"
-_URL = "https?://[^\\s\"''<>{}\\[\\]\\\\]{6,}"
 LOG_IOC_SQL = f"""WITH {AUDIT_SQL}, raw AS (
   {_branch("computers", "computer", "lower(computer) NOT IN ('-', '', 'n/a')")}
   UNION ALL {_branch("users", "subject_user", f"lower(subject_user) NOT IN {_NOISE_USER} AND subject_user NOT LIKE '%$'")}
   UNION ALL {_branch("users", "target_user", f"lower(target_user) NOT IN {_NOISE_USER} AND target_user NOT LIKE '%$'")}
-  UNION ALL {_found("ipv4", "ip_address", _DOTTED, "ip_address IS NOT NULL")}
-  UNION ALL {_found("ipv4", _FREE, _DOTTED, _NET)}
+  UNION ALL {_found("ipv4", _ADDRESSES.format("ip_address"), "ip_address IS NOT NULL")}
+  UNION ALL {_found("ipv4", _ADDRESSES.format(_FREE), _NET)}
   UNION ALL {_branch("ipv6", "ip_address", "ip_address LIKE '%::%'")}
   UNION ALL {_branch("commandlines", "command_line", "event_code IN (1, 4688)")}
   UNION ALL {_branch("processes", "image", "event_code IN (1, 4688)")}
@@ -142,7 +138,7 @@ LOG_IOC_SQL = f"""WITH {AUDIT_SQL}, raw AS (
   UNION ALL {_branch("registry", "target_object", "event_code IN (13, 4657, 4663) AND (upper(target_object) LIKE '%HKEY%' OR upper(target_object) LIKE '%/SOFTWARE/%' OR upper(target_object) LIKE '%/SYSTEM/%')")}
   UNION ALL {_branch("md5", "lower(hashes[5:36])", "hashes IS NOT NULL")}
   UNION ALL SELECT 'domains', lower(unnest(regexp_extract_all({_FREE}, '(?i)\\b(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+(?:com|net|org|io|info|in|top|date)\\b'))), * EXCLUDE (k) FROM audit WHERE {_NET}
-  UNION ALL SELECT 'urls', rtrim(unnest(regexp_extract_all(concat_ws(' ', command_line, script_text), '{_URL}')), '.,;:)''"'), * EXCLUDE (k) FROM audit WHERE event_code IN (1, 4688, 4104)
+  UNION ALL SELECT 'urls', rtrim(unnest(list_filter(regexp_split_to_array(concat_ws(' ', command_line, script_text), '[ ()"]+'), lambda t: starts_with(t, 'http'))), '.,;:)''"'), * EXCLUDE (k) FROM audit WHERE event_code IN (1, 4688, 4104)
   UNION ALL {_branch("named_pipes", "pipe_name", "event_code = 17 AND pipe_name NOT IN ('/lsass', '/wkssvc')")}
   UNION ALL {_branch("services", "service_name", "event_code = 7045")}
   UNION ALL {_branch("tasks", "task_name", "event_code IN (4698, 4702)")}
