@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,16 +19,16 @@ def basename(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"([^\\/]*)$", 1))
 
 
+def let(c: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` of a column that is computed once, however often ``of`` uses it."""
+    return F.element_at(F.transform(F.array(c), of), 1)
+
+
 def entropy(c: Column) -> Column:
     """Shannon entropy in bits per character; 0 for the empty text."""
-    chars = F.split(c, "")
     n = F.length(c).cast("double")
-    total = F.aggregate(
-        F.array_distinct(chars),
-        F.lit(0.0),
-        lambda acc, x: acc - F.when(x == "", 0.0).otherwise(F.size(F.filter(chars, lambda y: y == x)) / n * F.log2(F.size(F.filter(chars, lambda y: y == x)) / n)),
-    )
-    return F.when(n > 0, total).otherwise(0.0)
+    counts = F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))), lambda x: (F.length(c) - F.length(F.replace(c, x, F.lit("")))) / n)
+    return F.when(n > 0, F.aggregate(counts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))).otherwise(0.0)
 
 
 def near_name(c: Column, names: list[str], most: int = 2) -> Column:

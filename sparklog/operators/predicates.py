@@ -212,6 +212,19 @@ def rule(selection: dict, exclude: list[dict] = ()) -> Column:
     return hit
 
 
+def rule_sql(selection: dict) -> str:
+    """The conditions of a ``rule``'s selection as SQL text, which is much faster to build than columns where there are many rules."""
+    quoted = lambda v: "'" + str(v).lower().replace("\\", "\\\\").replace("'", "\\'") + "'"
+    tests = {"": "{own} = {v}", "contains": "contains({own}, {v})", "startswith": "startswith({own}, {v})", "endswith": "endswith({own}, {v})"}
+    out = []
+    for key, value in selection.items():
+        name, _, how = key.partition("|")
+        values = value if isinstance(value, (list, tuple)) else [value]
+        own = f"lower(coalesce(cast({name} as string), ''))"
+        out.append("(" + " or ".join(tests[how.removesuffix("_any")].format(own=own, v=quoted(v)) for v in values) + ")")
+    return " and ".join(out) or "true"
+
+
 def filter_predicate(fc: dict, columns: dict | None = None) -> Column:
     """All settings of ``fc`` together."""
     at = COLUMNS | (columns or {})

@@ -11,6 +11,7 @@ from sparklog.plans.base import query
 from sparklog.plans.joining import burst_sql
 from sparklog.sources.audit_log import AUDIT_SQL, audit_log
 from sparklog.sources.security_log import security_log as log
+from sparklog.sources.security_log import spread
 
 HOUR, DAY = 3600, 86_400
 
@@ -58,25 +59,24 @@ def tags_static(spark, sf_dir):
 
 @query(f", {RULE_SQL} SELECT record_id, t.a AS tactic, t.b AS tid, t.c AS confidence FROM ruled")
 def tags_rules(spark, sf_dir):
-    tags, _ = T.rule_tags()
-    return _exploded(T.with_rule_columns(log(spark, sf_dir)).select("record_id", T.best_of(tags).alias("tags")), "tags")
+    return _exploded(T.with_rule_columns(spread(log(spark, sf_dir))).select("record_id", T.best_of(T.rule_tags()).alias("tags")), "tags")
 
 
 @query(f", {TAGGED_SQL} SELECT * FROM tagged")
 def tags_context(spark, sf_dir):
-    return _exploded(T.tagged(log(spark, sf_dir)), "tags")
+    return _exploded(T.tagged(spread(log(spark, sf_dir))), "tags")
 
 
 @query(f", {TAGGED_SQL} SELECT tactic, tid, count(*) AS n FROM tagged GROUP BY ROLLUP (tactic, tid)")
 def tag_summary(spark, sf_dir):
-    rows = log(spark, sf_dir).select("record_id", "event_code", "logon_type", "user_name", "process_name", "parent_name")
+    rows = spread(log(spark, sf_dir)).select("record_id", "event_code", "logon_type", "user_name", "process_name", "parent_name")
     return _exploded(T.tagged(rows), "tags").rollup("tactic", "tid").agg(F.count("*").alias("n"))
 
 
 @query(f", {TAGGED_SQL} SELECT DISTINCT record_id FROM tagged WHERE tid = 'T1566' OR tactic = 'Lateral Movement'")
 def tag_filter(spark, sf_dir):
     hit = F.exists("tags", lambda t: (t["tid"] == "T1566") | (t["tactic"] == "Lateral Movement"))
-    return T.tagged(log(spark, sf_dir)).where(hit).select("record_id")
+    return T.tagged(spread(log(spark, sf_dir))).where(hit).select("record_id")
 
 
 @query("SELECT source_file, record_id, tid FROM security_log JOIN (VALUES ('T1059.001', ['powershell', 'host']), ('T1218.011', ['rundll32'])) r(tid, words) ON len([w FOR w IN words IF list_contains(regexp_split_to_array(lower(concat(process_name, ' ', computer, ' host')), '[^a-z0-9]+'), w)]) >= least(2, len(words)) WHERE event_code = 4688")
@@ -271,4 +271,4 @@ AUDIT_TAGS_SQL = f"""WITH {AUDIT_SQL}, {_AUDIT_RULES}, {STATIC_SQL}, {LINEAGE_SQ
 @query(AUDIT_TAGS_SQL, log=False)
 def audit_tags(spark, sf_dir):
     """Tags of the audit log by all conditional rules, the static map and the context (no command there is random enough for a tag)."""
-    return _exploded(T.tagged(audit_log(spark, sf_dir)), "tags", "source_file", "record_id")
+    return _exploded(T.tagged(spread(audit_log(spark, sf_dir))), "tags", "source_file", "record_id")

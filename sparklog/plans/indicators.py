@@ -9,7 +9,7 @@ from sparklog.operators import ioc as I
 from sparklog.plans.base import query
 from sparklog.sources.audit_log import AUDIT_SQL, audit_log
 from sparklog.sources.security_log import security_log as log
-from sparklog.sources.security_log import table
+from sparklog.sources.security_log import spread, table
 
 IOC_SQL = f"""occurrences AS (
   SELECT doc_id, source, 'ipv4' AS ioc_type, unnest(regexp_extract_all(text, '{I.IPV4}')) AS val FROM documents
@@ -22,7 +22,7 @@ IOC_SQL = f"""occurrences AS (
 
 
 def _occurrences(spark, sf_dir):
-    docs = I.text_indicators(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", "doc_id", "source")
+    docs = I.text_indicators(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "text", "doc_id", "source")
     pages = I.text_indicators(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page").alias("source"), "url"), "url", "doc_id", "source")
     return docs.unionByName(pages)
 
@@ -157,18 +157,18 @@ def _set(column: str, limit: int) -> str:
 @query(f"{LOG_IOC_SQL} SELECT ioc_type, val, count(*) AS n, min(sec) AS first_s, max(sec) AS last_s, {_set('event_code', 20)}, {_set('record_id', 50000)}, coalesce({_set('user_name', 10).removesuffix(' AS user_names')}, '') AS user_names, {_set('computer', 10)}, {_set('source', 5)} FROM occurrences GROUP BY 1, 2", log=False)
 def log_ioc_table(spark, sf_dir):
     """All 18 types of indicators of the audit log, with counts, times and sets."""
-    out = I.log_ioc_table(I.log_indicators(audit_log(spark, sf_dir)))
+    out = I.log_ioc_table(I.log_indicators(spread(audit_log(spark, sf_dir))))
     return out.select(*[F.array_join(c, ",").alias(c) if c.endswith("s") and c[:-1] in I.SET_LIMITS else F.col(c) for c in out.columns])
 
 
 @query(f"{LOG_IOC_SQL} SELECT ioc_type, count(DISTINCT val) AS vals, count(*) AS n FROM occurrences GROUP BY 1", log=False)
 def log_ioc_summary(spark, sf_dir):
-    return I.log_indicators(audit_log(spark, sf_dir)).groupBy("ioc_type").agg(F.countDistinct("val").alias("vals"), F.count("*").alias("n"))
+    return I.log_indicators(spread(audit_log(spark, sf_dir))).groupBy("ioc_type").agg(F.countDistinct("val").alias("vals"), F.count("*").alias("n"))
 
 
 @query(f"""{LOG_IOC_SQL}, scored AS (SELECT DISTINCT ioc_type, val, CASE WHEN ioc_type = 'ipv4' THEN CASE WHEN val LIKE '10.%' THEN 0 ELSE 30 END END AS score FROM occurrences WHERE ioc_type IN ('ipv4', 'tasks'))
 SELECT ioc_type, val, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY ioc_type ORDER BY coalesce(score, 0) DESC, val) AS place FROM scored""", log=False)
 def log_ioc_by_score(spark, sf_dir):
     """Addresses and tasks of the log in order of their score within the type."""
-    rows = I.log_indicators(audit_log(spark, sf_dir)).where("ioc_type in ('ipv4', 'tasks')").select("ioc_type", "val").distinct()
+    rows = I.log_indicators(spread(audit_log(spark, sf_dir))).where("ioc_type in ('ipv4', 'tasks')").select("ioc_type", "val").distinct()
     return I.best_per_type(I.scored_indicators(rows)).select("ioc_type", "val", "score", F.col("place").cast("long").alias("place"))

@@ -103,12 +103,6 @@ def capture_diff(spark, sf_dir):
     return A.capture_diff(rows.where("sec < 1705363200"), rows.where("sec >= 1705363200"), ["event_code", "process_name"], 1.2)
 
 
-@query("SELECT source_file, count(*) AS seen, count(*) FILTER (level = 2) AS malformed, count(*) FILTER (level = 3) AS filtered, count(*) FILTER (level = 4) AS kept, true AS whole FROM security_log GROUP BY 1")
-def record_accounting(spark, sf_dir):
-    status = F.when(F.col("level") == 2, "malformed").when(F.col("level") == 3, "filtered").otherwise("ok")
-    return A.record_accounting(log(spark, sf_dir).withColumn("status", status))
-
-
 @query("""SELECT computer, CAST(count(DISTINCT x) AS BIGINT) AS expected FROM (SELECT computer, unnest(range(lo, hi + 1)) AS x FROM (SELECT computer, CAST(floor(record_id / 50) AS BIGINT) AS b, min(record_id) AS lo, max(record_id) + 30 AS hi FROM security_log GROUP BY 1, 2)) GROUP BY 1""")
 def expected_records(spark, sf_dir):
     ranges = log(spark, sf_dir).groupBy("computer", F.floor(F.col("record_id") / 50).alias("b")).agg(F.min("record_id").alias("lo"), (F.max("record_id") + 30).alias("hi"))

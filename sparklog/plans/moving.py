@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparklog.operators import aggregates as A
 from sparklog.operators.lineage import process_events
 from sparklog.plans.base import query
 from sparklog.plans.processes import LINEAGE_SQL
 from sparklog.sources import files as X
-from sparklog.sources.security_log import ingest_json
+from sparklog.sources.security_log import ingest_json, spread
 from sparklog.sources.security_log import security_log as log
 from sparklog.streaming import jobs as J
 from sparklog.streaming.lineage import lineage
@@ -27,7 +28,7 @@ def _records(spark, sf_dir):
     system = F.struct(F.struct(F.col("event_code").cast("string").alias("#text")).alias("EventID"), F.col("level").cast("string").alias("Level"), F.col("computer").alias("Computer"), F.col("record_id").cast("string").alias("EventRecordID"), F.struct(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("SystemTime")).alias("TimeCreated"))
     data = F.struct(F.array(*[F.struct(F.struct(F.lit(n).alias("Name")).alias("#attributes"), F.col(c).alias("#text")) for n, c in (("TargetUserName", "user_name"), ("IpAddress", "ip_address"))]).alias("Data"))
     text = F.to_json(F.struct(system.alias("System"), data.alias("EventData")))
-    return log(spark, sf_dir).select(F.when(F.col("record_id") % 50 == 49, F.left(text, F.lit(40))).otherwise(text).alias("json"), "source_file")
+    return spread(log(spark, sf_dir)).select(F.when(F.col("record_id") % 50 == 49, F.left(text, F.lit(40))).otherwise(text).alias("json"), "source_file")
 
 
 @query("SELECT CASE WHEN record_id % 50 <> 49 THEN record_id END AS record_id, CASE WHEN record_id % 50 <> 49 THEN event_code END AS event_code, CASE WHEN record_id % 50 <> 49 THEN user_name END AS user_name, CASE WHEN record_id % 50 <> 49 THEN concat(user_name, ' ', ip_address) END AS field_values, CASE WHEN record_id % 50 = 49 THEN 'malformed' ELSE 'ok' END AS status FROM security_log")
@@ -37,6 +38,12 @@ def json_ingest(spark, sf_dir):
     return rows.select("record_id", "event_code", F.col("fields")["TargetUserName"].alias("user_name"), F.when(ok, F.col("field_values")).alias("field_values"), "status")
 
 
+@query("""SELECT source_file, count(*) AS seen, count(*) FILTER (record_id % 50 = 49) AS malformed, count(*) FILTER (record_id % 50 <> 49 AND (level = 3 OR user_name LIKE '%7')) AS filtered, count(*) FILTER (record_id % 50 <> 49 AND level <> 3 AND user_name NOT LIKE '%7') AS kept, true AS whole FROM security_log GROUP BY 1""")
+def record_accounting(spark, sf_dir):
+    """Records of each file by how the ingest ended for them."""
+    return A.record_accounting(ingest_json(_records(spark, sf_dir), keep=(F.col("level") != 3) & ~F.col("target_user").endswith("7")))
+
+
 @query("SELECT record_id, user_name AS \"ED_TargetUserName\", ip_address AS \"ED_IpAddress\" FROM security_log WHERE record_id % 50 <> 49")
 def field_columns(spark, sf_dir):
     rows = ingest_json(_records(spark, sf_dir)).where("status = 'ok'").select("record_id", "fields")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sparklog.functions.scalars import let
+
 #: The view's columns in Spark SQL.
 _VIEW = """
   event_id AS record_id, CAST(ts AS TIMESTAMP_NTZ) AS ts, timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS sec,
@@ -41,6 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its input has so few splits that most would be idle; else as it is.
+
+    For work that costs far more than moving the rows: a log of one file is one task otherwise.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def security_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log view over ``events``; columns that a query doesn't use aren't read."""
     events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
@@ -69,58 +80,102 @@ def level_name(level: Column) -> Column:
     return F.coalesce(names[level], level.cast("string"))
 
 
-RECORD_SCHEMA = """struct<
-  System: struct<EventID: string, Level: string, Task: string, Opcode: string, Keywords: string, Channel: string, Computer: string,
-    Provider: struct<Name: string, EventSourceName: string>, Execution: struct<ProcessID: string, ThreadID: string>,
-    Correlation: struct<ActivityID: string>, Security: struct<UserID: string>, TimeCreated: struct<SystemTime: string>, EventRecordID: string>,
-  EventData: string, UserData: string>"""
+#: Fields of the event data that have a column of their own, and that column.
+OWN_FIELDS = {"SubjectUserName": "subject_user", "TargetUserName": "target_user", "IpAddress": "ip_address", "LogonType": "logon_type", "NewProcessName": "new_process", "SubjectUserSid": "subject_sid", "TargetUserSid": "target_sid"}
+#: Levels of containers in event data whose children become fields.
+DEPTH = 4
+
+_SYSTEM = """struct<EventID: variant, Level: string, Task: string, Opcode: string, Keywords: string, Channel: string, Computer: string, EventRecordID: string,
+  Provider: variant, Execution: variant, Correlation: variant, Security: variant, TimeCreated: variant>"""
+_ENTRIES = "array<struct<key: string, value: string>>"
 
 
-def ingest_json(raw: DataFrame, text: str = "json", source_file: str = "source_file") -> DataFrame:
-    """Rows of JSON-rendered records: typed header fields, the flat field map, its values, and a status.
+def ingest_json(raw: DataFrame, text: str = "json", source_file: str = "source_file", keep: Column | None = None) -> DataFrame:
+    """Rows of JSON-rendered records: typed header fields, the flat field map and its values, seven of its fields, and a status.
 
-    status is ``ok``, or ``malformed`` with all other fields null (the raw text stays in ``json``).
+    status is ``ok``; ``malformed``, with all other fields null (the raw text stays in ``json``); or ``filtered``
+    where ``keep``, a condition on the other columns, doesn't hold.  Rows of all three stay, so that they can be
+    counted in the same scan.  A record is parsed once; header containers may have their values in ``#attributes``.
     """
-    record = F.from_json(text, RECORD_SCHEMA)
-    rows = raw.select(F.col(text).alias("json"), F.col(source_file).alias("source_file"), record.alias("r"))
-    system = F.col("r.System")
-    event_id = F.coalesce(F.get_json_object(system["EventID"], "$.#text"), system["EventID"])
-    payload = F.coalesce(F.col("r.EventData"), F.col("r.UserData"))
-    flat = flat_fields(payload)
-    stamp = F.regexp_replace(F.regexp_replace(system["TimeCreated"]["SystemTime"], "T", " "), "(Z|\\+00:?00)$", "")
-    return rows.select(
-        F.expr("try_cast(r.System.EventRecordID as long)").alias("record_id"),
+    parsed = raw.select(F.col(text).alias("json"), F.col(source_file).alias("source_file"), F.try_parse_json(text).alias("v"))
+    event = F.coalesce(F.try_variant_get("v", "$.Event", "variant"), F.col("v"))
+    rows = parsed.select("json", "source_file", event.alias("v"))
+    part = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    payload = F.coalesce(part("EventData", "variant"), part("UserData", "variant"))
+    rows = rows.select("json", "source_file", part("System", _SYSTEM).alias("s"), flat_of(payload).alias("fields"))
+    get = lambda name, path: F.try_variant_get(F.col(f"s.{name}"), path, "string")
+    of = lambda name, field: F.coalesce(get(name, f"$['#attributes'].{field}"), get(name, f"$.{field}"))
+    system = F.col("s")
+    event_id = F.coalesce(get("EventID", "$['#text']"), get("EventID", "$"))
+    time = F.coalesce(of("TimeCreated", "SystemTime"), get("TimeCreated", "$"))
+    stamp = F.regexp_replace(F.regexp_replace(time, "T", " "), "(Z|\\+00:?00)$", "")
+    provider = F.coalesce(of("Provider", "Name"), get("Provider", "$"))
+    out = rows.select(
+        system["EventRecordID"].try_cast("long").alias("record_id"),
         F.try_to_timestamp(stamp).alias("ts"),
         "source_file",
         event_id.try_cast("int").alias("event_code"),
-        F.coalesce(system["Level"].try_cast("int"), F.lit(4)).alias("level"),
-        level_name(system["Level"].try_cast("int")).alias("level_name"),
+        F.nullif(get("EventID", "$['#attributes'].Qualifiers").try_cast("int"), F.lit(0)).alias("qualifiers"),
+        F.when(system.isNotNull(), F.coalesce(system["Level"].try_cast("int"), F.lit(4))).alias("level"),
+        F.when(system.isNotNull(), level_name(system["Level"].try_cast("int"))).alias("level_name"),
         system["Channel"].alias("channel"),
-        system["Provider"]["Name"].alias("provider"),
-        system["Provider"]["EventSourceName"].alias("event_source_name"),
+        provider.alias("provider"),
+        of("Provider", "EventSourceName").alias("event_source_name"),
         system["Computer"].alias("computer"),
-        system["Security"]["UserID"].alias("user_id"),
+        of("Security", "UserID").alias("user_id"),
         system["Keywords"].alias("keywords"),
         system["Task"].try_cast("int").alias("task"),
         system["Opcode"].try_cast("int").alias("opcode"),
-        system["Execution"]["ProcessID"].try_cast("int").alias("process_id"),
-        system["Execution"]["ThreadID"].try_cast("int").alias("thread_id"),
-        system["Correlation"]["ActivityID"].alias("correlation_id"),
-        flat.alias("fields"),
-        F.array_join(F.map_values(flat), " ").alias("field_values"),
-        F.when(system.isNull(), "malformed").otherwise("ok").alias("status"),
+        of("Execution", "ProcessID").try_cast("int").alias("process_id"),
+        of("Execution", "ThreadID").try_cast("int").alias("thread_id"),
+        of("Correlation", "ActivityID").alias("correlation_id"),
+        F.when(system.isNotNull(), F.col("fields")).alias("fields"),
+        *[F.when(system.isNotNull(), F.coalesce(F.col("fields")[field], F.lit(""))).alias(column) for field, column in OWN_FIELDS.items()],
+        F.when(system.isNotNull(), F.array_join(F.map_values("fields"), " ")).alias("field_values"),
+        system.isNull().alias("_malformed"),
         "json",
     )
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    return out.withColumn("status", F.when(F.col("_malformed"), "malformed").when(kept, "ok").otherwise("filtered")).drop("_malformed")
+
+
+def observed(rows: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
+    """``rows`` of ``ingest_json``, and the numbers of each status, known once some action has read them."""
+    counts = Observation(name)
+    of = lambda status: F.count_if(F.col("status") == status).alias(status)
+    return rows.observe(counts, F.count("*").alias("seen"), of("ok"), of("filtered"), of("malformed")), counts
+
+
+def _entries(m: Column, depth: int) -> Column:
+    """Entries of an object; those of a container, and its ``#text`` under its own name, stand in its place."""
+    leaf = lambda e: F.array(F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "string").alias("value")))
+
+    def one(e: Column) -> Column:
+        own = F.try_variant_get(e["value"], "$['#text']", "string")
+        hoisted = F.when(own.isNotNull(), F.array(F.struct(e["key"].alias("key"), own.alias("value")))).otherwise(F.array().cast(_ENTRIES))
+        inner = lambda o: F.when(o.isNull(), leaf(e)).otherwise(F.concat(hoisted, _entries(o, depth - 1)))
+        return let(F.try_variant_get(e["value"], "$", "map<string,variant>"), inner)
+
+    kept = F.filter(F.map_entries(m), lambda e: ~(e["key"].startswith("#") | e["key"].startswith("@")))
+    return F.flatten(F.transform(kept, one if depth else leaf))
+
+
+def flat_of(payload: Column) -> Column:
+    """Name to value of event data: a list of named ``Data``, a map under ``Data``, or flat, with containers in any of them.
+
+    Of equal names the last counts.
+    """
+    named = F.try_variant_get(payload, "$.Data", "array<struct<`#attributes`: struct<Name: string>, `#text`: string>>")
+    pairs = F.transform(F.filter(named, lambda x: x["#attributes"]["Name"].isNotNull()), lambda x: F.struct(x["#attributes"]["Name"].alias("key"), x["#text"].alias("value")))
+    others = let(F.try_variant_get(payload, "$", "map<string,variant>"), lambda m: _entries(F.when(named.isNull(), m).otherwise(F.map_filter(m, lambda k, v: k != "Data")), DEPTH - 1))
+    none = F.array().cast(_ENTRIES)
+    plain = let(F.try_variant_get(payload, "$", "map<string,variant>"), F.size) == 1
+    found = F.when(named.isNotNull() & plain, pairs).otherwise(F.concat(F.coalesce(pairs, none), F.coalesce(others, none)))
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda y: y["key"] == e["key"]))
+    unique = lambda es: F.when(F.size(F.array_distinct(es["key"])) == F.size(es), F.map_from_entries(es)).otherwise(F.map_from_entries(last(es)))
+    return let(found, unique)
 
 
 def flat_fields(payload: Column) -> Column:
-    """Name to value of event data in any of three shapes: a list of named ``Data``, a map under ``Data``, or flat."""
-    named = F.from_json(F.get_json_object(payload, "$.Data"), "array<struct<`#attributes`: struct<Name: string>, `#text`: string>>")
-    pairs = F.transform(F.filter(named, lambda x: x["#attributes"]["Name"].isNotNull()), lambda x: F.struct(x["#attributes"]["Name"].alias("col1"), x["#text"].alias("col2")))
-    nested = F.from_json(F.get_json_object(payload, "$.Data"), "map<string,string>")
-    flat = F.from_json(payload, "map<string,string>")
-    plain = lambda m: F.map_filter(m, lambda k, v: ~k.startswith("#") & ~k.startswith("@"))
-    is_list = F.get_json_object(payload, "$.Data").startswith("[")
-    is_map = F.get_json_object(payload, "$.Data").startswith("{")
-    unique = F.aggregate(pairs, F.from_json(F.lit("{}"), "map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["col1"]), F.map_from_arrays(F.array(p["col1"]), F.array(p["col2"]))))
-    return F.when(is_list, unique).when(is_map, plain(nested)).otherwise(plain(flat))
+    """``flat_of`` of event data as JSON text."""
+    return flat_of(F.try_parse_json(payload))

@@ -12,7 +12,7 @@ from sparklog.operators import baseline as B
 from sparklog.operators import predicates as P
 from sparklog.operators import scripts, sequences
 from sparklog.sources import files
-from sparklog.sources.security_log import flat_fields, ingest_json, security_log
+from sparklog.sources.security_log import flat_fields, ingest_json, observed, security_log
 from sparklog.streaming import jobs
 
 
@@ -38,6 +38,28 @@ def test_ingest_keeps_malformed_and_big_numbers(spark):
     assert got["malformed"].record_id is None
 
 
+def test_ingest_of_containers_and_attributes(spark):
+    record = {
+        "Event": {
+            "System": {"EventID": {"#attributes": {"Qualifiers": "16384"}, "#text": "1102"}, "Provider": {"#attributes": {"Name": "P", "EventSourceName": "S"}}, "Execution": {"#attributes": {"ProcessID": 4, "ThreadID": 8}}, "Security": {"#attributes": {"UserID": "S-1"}}, "TimeCreated": {"#attributes": {"SystemTime": "2024-01-01T10:00:00Z"}}, "EventRecordID": "9"},
+            "UserData": {"LogFileCleared": {"#text": "own", "@x": "no", "SubjectUserName": "eve", "Inner": {"Deep": {"A": 1}}, "B": [1, 2]}, "SubjectUserName": "bob"},
+        }
+    }
+    mixed = {"System": {"EventID": 1, "Provider": "plain"}, "EventData": {"Data": [{"#attributes": {"Name": "X"}, "#text": "1"}, {"#text": "unnamed"}], "Y": "2"}}
+    got = ingest_json(rows(spark, [(json.dumps(record), "a"), (json.dumps(mixed), "a")], "json string, source_file string"), keep=F.col("event_code") == 1102).collect()
+    a, b = sorted(got, key=lambda r: -r.event_code)
+    assert (a.event_code, a.qualifiers, a.provider, a.event_source_name, a.process_id, a.thread_id, a.user_id, a.record_id, a.status) == (1102, 16384, "P", "S", 4, 8, "S-1", 9, "ok")
+    assert a.fields == {"LogFileCleared": "own", "A": "1", "B": "[1,2]", "SubjectUserName": "bob"} and a.subject_user == "bob" and a.target_user == ""
+    assert (b.fields, b.provider, b.status, b.level) == ({"X": "1", "Y": "2"}, "plain", "filtered", 4)
+
+
+def test_ingest_counts_in_the_same_scan(spark):
+    texts = [json.dumps({"System": {"EventID": i % 3, "EventRecordID": i}}) for i in range(9)] + ["{", None, "[1]"]
+    found, counts = observed(ingest_json(rows(spark, [(t, "f") for t in texts], "json string, source_file string"), keep=F.col("event_code") > 0))
+    assert found.where("status = 'ok'").count() == 6
+    assert counts.get == {"seen": 12, "ok": 6, "filtered": 3, "malformed": 3}
+
+
 def test_id_expression():
     assert P.id_ranges("1-3, 7!2,x,9-8") == ([(1, 3), (7, 7)], [(2, 2)], ["x", "9-8"])
 
