@@ -6,8 +6,9 @@ over all of them, of length 1; no term is cut for its count, and there is no gre
 The evidence of a term is the square of its chi-square (with half an example less of label 1)
 times what its share of label 1 exceeds the sample's by; so a term that doesn't lean to label 1
 weighs 0, and needs no place in the index.  A query adds up the postings of its terms, those of
-the greatest possible share first, until what is left can't change the ``k`` nearest; what may
-still be among them is scored in full.  So they are exact, ties going to the lower id.  Votes weigh
+the greatest possible share first, until what is left can't change the ``k`` nearest: what the other terms can add to
+the examples of a block is known from their greatest weights in it (block maxima).  What may
+still be among the nearest is scored in full.  So they are exact, ties going to the lower id.  Votes weigh
 ``1 / (distance + 0.1)``.  The share of votes is calibrated by isotonic regression on the
 examples themselves, each without its own vote.
 
@@ -38,6 +39,8 @@ SAMPLE = 12_000
 NEIGHBOURS = 15
 #: What the terms left may add to a cosine when a query looks whether it can stop; how many examples it then scores in full at most.
 _LEFT, _IN_FULL = (0.1, 0.01, 0.001), 100
+#: Examples of a block, and postings from which a term has maxima by block beside the one of all.
+_BLOCK, _LISTED = 64, 32
 #: A document is toxic from this score.
 TOXIC = 0.3
 _BEGINNINGS = (4, 5, 6, 7)
@@ -157,13 +160,40 @@ class Index:
         self.by_term = np.argsort(self.at, kind="stable").astype(np.int32)
         self.docs = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.int32), self.sizes)[self.by_term]
         self.start = np.append(0, np.cumsum(np.bincount(self.at, minlength=len(self.kept))))
+        self._build_blocks()
+
+    def _build_blocks(self) -> None:
+        """Greatest weight of each longer posting list in each block of examples; lists are in order of examples."""
+        sizes = np.diff(self.start)
+        long = np.flatnonzero(sizes >= _LISTED)
+        blocks, most, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], np.zeros(len(sizes), np.int64)
+        for i in range(0, len(long), 2000):
+            terms = long[i : i + 2000]
+            n = sizes[terms]
+            place = np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            key = np.repeat(np.arange(len(terms)), n) * (len(self.ids) // _BLOCK + 1) + self.docs[place] // _BLOCK
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            blocks.append((self.docs[place] // _BLOCK)[first])
+            most.append(np.maximum.reduceat(self.weights[self.by_term[place]], first))
+            counts[terms] = np.bincount(key[first] // (len(self.ids) // _BLOCK + 1), minlength=len(terms))
+        self.block_at = np.concatenate(blocks).astype(self.docs.dtype)
+        self.block_most = np.concatenate(most)
+        self.block_start = np.append(0, np.cumsum(counts))
+
+    def _can_add(self, at: np.ndarray, w: np.ndarray, most: float) -> np.ndarray:
+        """What terms can add to an example of each block, ``most`` at most."""
+        n = self.block_start[at + 1] - self.block_start[at]
+        rest = (w * self.most[at])[n == 0].sum()
+        place = np.repeat(self.block_start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        bound = np.bincount(self.block_at[place], self.block_most[place] * np.repeat(w, n), len(self.ids) // _BLOCK + 1)
+        return np.minimum(bound + rest, most)
 
     def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.cuts[i], self.cuts[i + 1]
         return self.at[a:b], self.weights[a:b]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("cuts", "docs", "weights", "by_term", "start", "most")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cuts", "docs", "weights", "by_term", "start", "most", "block_at", "block_most", "block_start")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -196,6 +226,9 @@ class Index:
             done = stop
             held = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
             found = np.flatnonzero(scores >= max(held - left[done] - 1e-12, 1e-12))
+            if done < len(at) and held > left[done] + 1e-9 and len(found) > _IN_FULL:
+                most_left = self._can_add(at[done:], w[done:], left[done])
+                found = found[scores[found] >= held - most_left[found // _BLOCK] - 1e-12]
             if done < len(at) and held > left[done] + 1e-9 and len(found) <= _IN_FULL:
                 query = np.zeros(len(self.kept))
                 query[at[done:]] = w[done:]
