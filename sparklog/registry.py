@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparklog.plans import anomalies, chains, detection, filtering, indicators, joining, moving, processes, profiling, reporting, script_events  # noqa: F401
+from sparklog.plans import anomalies, chains, detection, filtering, indicators, joining, moving, processes, profiling, reporting, script_events, sessions  # noqa: F401
 from sparklog.plans.base import ORACLES, QUERIES
 
 
