@@ -1,7 +1,14 @@
 """A training corpus from ``documents``: toxic documents and repeated lines go, one of each near-duplicate
 group stays, documents that hold test items go, the rest is encoded.
 
-Each stage gets all that the stage before kept, and is written as Parquet before the next reads it.
+Each stage gets all that the stage before kept, and is written as Parquet before the next reads it; what the
+stage before wrote is deleted then.
+
+Null texts count as empty: they hold no toxic term, no line, no shingle and no test item, so they stay to the
+end, as do empty ones (documents that had words and lost all in line dedup go).  Repeated rows: each of them is
+kept or goes as its text does, but near-dedup keeps one id of a group, with all rows of that id.  Ties in a group
+go to the least id.  Texts are read whole.  Empty tables give an empty result of the same columns; other columns
+pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklog.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
-from sparklog.llm.common import materialize, table, tokenizer_path
+from sparklog.llm.common import discard, materialize, table, tokenizer_path
 
 #: SQL can't express the stages; tests/llm hold them against brute force.
 ORACLE_SQL = None
@@ -60,7 +67,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, spent = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if spent is not None:
+            discard(spent)
+        spent = docs
     return docs

@@ -95,11 +95,17 @@ def squeeze(c: Column, most: int | None = 500) -> Column:
     return out if most is None else F.left(out, F.lit(most))
 
 
+#: Fixed value: characters that XML can't hold.
+_NOT_XML = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]"
+
+
 def xml_text(c: Column) -> Column:
-    """Text that XML may hold: markup characters escaped, illegal control characters shown as escapes."""
+    """Text that XML may hold: markup characters escaped, characters that it can't hold shown as ``\\xNN``."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.regexp_replace(c, r"([\x00-\x08\x0b\x0c\x0e-\x1f])", "?")
+    code = lambda x: F.hex(F.ascii(x))
+    shown = lambda x: F.when(x.rlike(_NOT_XML), F.concat(F.lit("\\x"), F.when(F.length(code(x)) < 2, "0").otherwise(""), code(x))).otherwise(x)
+    return F.when(c.rlike(_NOT_XML), F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), shown), "")).otherwise(c)
 
 
 def stix_escape(c: Column) -> Column:
