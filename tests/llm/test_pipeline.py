@@ -46,3 +46,32 @@ def test_stages(spark, sf_dir):
 
 def test_run_is_the_stages_together(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string"
+
+
+def odd_documents(spark):
+    same = "one two three four five six seven eight"
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, same), (4, same), (5, same), (None, "a row without an id"), (6, "long " * 60_000)]
+    return spark.createDataFrame([(d, t, None, None, None, 0.5, "clash") for d, t in rows], SCHEMA)
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_on_odd_documents(spark, sf_dir, name, stage):
+    """Nulls, empty and very long texts, repeated rows, ties and clashing columns; and an empty table."""
+    docs = odd_documents(spark)
+    out = stage(spark, docs, sf_dir)
+    found = out.select("doc_id").collect()
+    ids = {r.doc_id for r in found}
+    assert {1, 2, 3, 4, 6} <= ids
+    if name == "byte-level BPE":
+        assert len(found) == 8
+    else:
+        assert out.columns == docs.columns
+    if name in ("toxicity", "decontamination"):
+        assert len(found) == 8
+    if name == "near-dedup":
+        assert 5 not in ids and sum(r.doc_id == 4 for r in found) == 2
+    empty = stage(spark, docs.limit(0), sf_dir)
+    assert empty.columns == out.columns and empty.count() == 0
