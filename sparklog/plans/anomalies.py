@@ -11,7 +11,8 @@ from sparklog.plans.processes import LINEAGE_SQL
 from sparklog.sources.audit_log import audit_log
 from sparklog.sources.files import stored
 
-SPLIT, SECONDS, BOUNDS = 2160, 1800, (20.0, 30.0, 40.0)
+#: Half of the log, the window of drift, and tiers that fit the sparse log.
+SPLIT, SECONDS, BOUNDS = 2160, 1800, (5.0, 10.0, 20.0)
 
 #: Templates of the log's commands, by hand.
 _TEMPLATES = {
