@@ -17,7 +17,7 @@ HEADLINE = [
     "filter_ids", "filter_layers", "filter_conditions", "filter_text_regex", "payload_semi_join", "column_metadata", "column_values", "capture_diff",
     "interval_join", "parent_as_of", "greedy_burst", "logon_sessions", "record_gaps", "tags_context", "tag_summary", "ioc_table", "threat_match",
     "chain_brute_force", "chain_process_tree", "surprisal_command", "composite_score", "script_blocks", "json_ingest",
-    "rule_brute_force", "rule_process_trees", "log_ioc_table", "process_parents", "session_events", "ps_sessions", "anomaly_scores",
+    "rule_brute_force", "log_ioc_table", "process_parents",
 ]
 
 
