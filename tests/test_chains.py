@@ -1,9 +1,11 @@
 """Attack chains, indicators, tags and lineage on hand-made events."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from sparklog.functions.scalars import number, service_path_is_odd
-from sparklog.operators import chains, ioc, lineage
+from sparklog.operators import chains, ioc, lineage, sequences
 
 SCHEMA = """record_id long, source_file string, sec long, event_code int, computer string, subject_user string, target_user string, image string, parent_image string,
   pid string, ppid string, process_guid string, parent_guid string, sub_status string, logon_type string, ip_address string, service_path string"""
@@ -104,3 +106,38 @@ def test_service_paths_and_numbers(spark):
 def test_addresses_and_domains_have_bounds(spark):
     df = spark.createDataFrame([(1, "see 999.1.1.1 and 8.8.8.8; FOO.example.COM, not foo.common")], "id long, t string")
     assert {(r.ioc_type, r.val) for r in ioc.text_indicators(df, "t", "id").collect()} == {("ipv4", "8.8.8.8"), ("domain", "foo.example.com")}
+
+
+def test_pair_rules_make_no_row_per_pair(spark, monkeypatch):
+    """Random events against a plain walk, with seconds of many events, in several chunks of time; pairs are never joined."""
+    rng, odd = random.Random(5), "D:\\temp\\x.exe"
+    made = []
+    for _ in range(900):
+        code = rng.choice([4624, 4624, 7045, 4698, 4798, 4720, 1102, 4663])
+        more = {"target_user": rng.choice(["bob", "eve"]) if code == 4624 else "", "subject_user": rng.choice(["bob", "eve", ""]) if code in (4720, 4798) else "", "logon_type": "3", "ip_address": "8.8.8.8", "service_path": rng.choice([odd, "x.exe", None])}
+        made.append((rng.choice([0, 5000]) + rng.randrange(900), code, rng.choice(["A", "B", "", None]), more))
+    log = events(spark, *made).withColumn("channel", F.lit("Security"))
+    monkeypatch.setattr(sequences, "SPREAD", 2)
+    monkeypatch.delattr(chains, "interval_join")
+    rows = [(s, i, e, c, m["target_user"] or m["subject_user"], m["service_path"] == odd) for i, (s, e, c, m) in enumerate(made) if c is not None]
+    cases = {
+        "service_after_logon": ((4624,), (7045,), 120, lambda a, b: True),
+        "task_after_logon": ((4624,), (4698,), 300, lambda a, b: True),
+        "account_after_recon": ((4798,), (4720,), 600, lambda a, b: a[4] in ("", b[4])),
+    }
+    for name, (first, then, seconds, fits) in cases.items():
+        rule, expected = getattr(chains, name), []
+        for a in (r for r in rows if r[2] in first):
+            found = sorted(b for b in rows if b[2] in then and b[3] == a[3] and 0 <= b[0] - a[0] <= seconds and fits(a, b))
+            if name == "service_after_logon" and any(b[5] for b in found):
+                found = [b for b in found if b[5]]
+            if found:
+                expected.append((a[1], a[4], a[0], found[-1][0], len(found) + 1, [a[1], *[b[1] for b in found[: rule.most]]], [a[3]] if a[3] else []))
+        got = sorted((*ids(r.first_event), r.user_name, r.first_s, r.last_s, r.n, ids(*r.shown), r.hosts) for r in rule(log).collect())
+        assert got == sorted(expected)
+    expected = []
+    for b in (r for r in rows if r[2] == 1102):
+        found = sorted(a for a in rows if a[2] != 1102 and a[3] == b[3] and 0 < b[0] - a[0] <= 1800)
+        if found:
+            expected.append((b[1], found[0][0], b[0], len(found) + 1, [*[a[1] for a in found[-5:]], b[1]]))
+    assert sorted((*ids(r.first_event), r.first_s, r.last_s, r.n, ids(*r.shown)) for r in chains.log_clearing(log).collect()) == sorted(expected)
