@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparklog.functions.scalars import decode_encoded_command, key_values
 from sparklog.operators.scripts import ZERO_ID
 from sparklog.operators.sequences import as_of
+from sparklog.sources.files import stored
 
 #: Channels of the script engine, and the event ids of each.
 CHANNELS = {
@@ -98,8 +99,10 @@ def assigned(events: DataFrame) -> DataFrame:
     Starts open theirs.  The first stop of a host id, and providers, belong to the first session of that id, or
     nowhere.  Commands (4103, 800) go by host id, then by number; of a block's fragments (4104) the first goes, by
     number.  By number means the latest session that had started, else the earliest; the rest has no session.
+
+    Sessions and loose events are used several times and stored.
     """
-    sessions = opened(events)
+    sessions = stored(opened(events), "script-sessions")
     cols = ["event", "event_code", "computer", "pid", "sec"]
     own = sessions.select("event", F.lit(400).alias("event_code"), "computer", "pid", F.col("start_s").alias("sec"), "session")
     by_id = sessions.where("n = 1").select("computer", "host_id", "session")
@@ -107,7 +110,7 @@ def assigned(events: DataFrame) -> DataFrame:
     stops = events.where("event_code = 403 and host_id is not null").withColumn("_p", stop).where("_p = 1").drop("_p")
     bound = stops.unionByName(events.where("event_code = 600")).join(by_id, ["computer", "host_id"]).select(*cols, "session")
     loose = events.where("event_code in (4103, 800)").unionByName(first_fragments(events).drop("block").withColumn("host_id", F.lit(None).cast("string")))
-    loose = loose.join(by_id, ["computer", "host_id"], "left").select(*cols, "session")
+    loose = stored(loose.join(by_id, ["computer", "host_id"], "left").select(*cols, "session"), "script-loose")
     left = loose.where("session is null and pid is not null").select("computer", "pid", "sec", F.struct(F.lit(1).alias("side"), "event").alias("tie"), "event", "event_code")
     versions = sessions.where("pid is not null").select("computer", "pid", F.col("start_s").alias("sec"), F.struct(F.lit(0).alias("side"), "event").alias("tie"), "session")
     earliest = versions.groupBy("computer", "pid").agg(F.min_by("session", F.struct("sec", "tie")).alias("first_session"))
@@ -153,3 +156,12 @@ def write_by_key(rows: DataFrame, key: str, path: str, kind: str = "json") -> No
     Rows are dealt by key and sorted by it within tasks, so that a task has one file open at a time.
     """
     rows.repartition(F.col(key)).sortWithinPartitions(key).write.partitionBy(key).format(kind).save(path)
+
+
+def write_runs(rows: DataFrame, keys: list[str], path: str) -> None:
+    """JSON lines in which all rows of a key are one run of lines of one file.
+
+    For keys of a few rows each, as sessions are: ``write_by_key`` makes a folder and a file for each of them, which
+    costs more to open, move and list than the rows do to write.
+    """
+    rows.repartition(*keys).sortWithinPartitions(*keys).write.json(path)

@@ -1,5 +1,8 @@
 """Routing, sessions and exports of script events by hand."""
 
+import glob
+import itertools
+import json
 import tempfile
 
 from sparklog.operators import script_events as E
@@ -51,3 +54,19 @@ def test_blocks_round_trip(spark):
     E.write_by_key(spark.createDataFrame(list(blocks.items()), "block string, text string"), "block", path, "text")
     back = spark.read.text(path, wholetext=True)
     assert {r.block: r.value.removesuffix("\n") for r in back.collect()} == blocks
+
+
+def test_sessions_are_runs_of_lines_in_few_files(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/runs"
+    rows = spark.range(3000).selectExpr("concat('s', id % 700) as session", "concat('H', id % 2) as computer", "id as sec")
+    E.write_runs(rows, ["computer", "session"], path)
+    files, seen = {}, 0
+    for f in glob.glob(path + "/*.json"):
+        with open(f) as lines:
+            names = [tuple(json.loads(x)[c] for c in ("computer", "session")) for x in lines]
+        seen += len(names)
+        runs = [n for n, _ in itertools.groupby(names)]
+        assert len(runs) == len(set(runs))
+        for n in runs:
+            assert files.setdefault(n, f) == f
+    assert (seen, len(files)) == (3000, 700) and len(glob.glob(path + "/*.json")) <= 8
