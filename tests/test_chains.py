@@ -141,3 +141,30 @@ def test_pair_rules_make_no_row_per_pair(spark, monkeypatch):
         if found:
             expected.append((b[1], found[0][0], b[0], len(found) + 1, [*[a[1] for a in found[-5:]], b[1]]))
     assert sorted((*ids(r.first_event), r.first_s, r.last_s, r.n, ids(*r.shown)) for r in chains.log_clearing(log).collect()) == sorted(expected)
+
+
+def test_members_of_pair_rules_are_exploded(spark, monkeypatch):
+    """Random events against a plain walk, with seconds of many events in several groups; pairs aren't joined one by one."""
+    rng, odd = random.Random(8), "D:\\temp\\x.exe"
+    made = []
+    for _ in range(500):
+        code = rng.choice([4624, 7045, 1102, 4663, 4663])
+        more = {"target_user": "bob", "logon_type": "3", "ip_address": "8.8.8.8", "service_path": rng.choice([odd, "x.exe", "x.exe", None])}
+        made.append((rng.choice([0, 5000]) + rng.choice([7, 60, rng.randrange(2400)]), code, rng.choice(["A", "B", "", None]), more))
+    log = events(spark, *made).withColumn("channel", F.lit("Security"))
+    monkeypatch.setattr(sequences, "GROUP", 2)
+    monkeypatch.delattr(chains, "interval_join")
+    rows = [(s, i, e, c, m["service_path"] == odd) for i, (s, e, c, m) in enumerate(made) if c is not None]
+    cases = {
+        "log_clearing": ((1102,), lambda a, b: b[2] != 1102 and 0 < a[0] - b[0] <= 1800),
+        "service_after_logon": ((4624,), lambda a, b: b[2] == 7045 and 0 <= b[0] - a[0] <= 120),
+    }
+    for name, (first, fits) in cases.items():
+        expected = []
+        for a in (r for r in rows if r[2] in first):
+            found = [b for b in rows if b[3] == a[3] and fits(a, b)]
+            if name == "service_after_logon" and any(b[4] for b in found):
+                found = [b for b in found if b[4]]
+            expected += [(a[1], b[1], b[0], b[3], b is a) for b in (found and [a, *found])]
+        got = getattr(chains, name).members(log).collect()
+        assert sorted((r.chain.record_id, r.event.record_id, r.sec, r.host, r.lead) for r in got) == sorted(expected)
