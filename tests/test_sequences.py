@@ -47,3 +47,31 @@ def test_one_island_of_many_bursts(spark):
     found = sequences.bursts(df, ["k"], 9, 10)
     assert found.count() == 20_000
     assert found.where("start_s % 10 <> 0 or n <> 10").count() == 0
+
+
+def test_no_window_of_a_burst_is_summed_anew(spark, monkeypatch):
+    """Frames have one end, so that they grow row by row; values may be null and don't count then."""
+    plans, real = [], sequences.stored
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(sequences, "stored", stored)
+    monkeypatch.setattr(sequences, "SPREAD", 3)
+    rng = random.Random(9)
+    rows = [(f"k{i % 2}", rng.randrange(300), i, rng.choice(["a", "b", "c", None, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, sec long, record_id long, v string")
+    found = sequences.bursts(df, ["k"], 10, 3, distinct="v", least_distinct=3, fold=0)
+    expected = []
+    for k in ("k0", "k1"):
+        own, i = sorted(r[1:] for r in rows if r[0] == k), 0
+        while i < len(own):
+            window = [r for r in own[i:] if r[0] - own[i][0] <= 10]
+            good = len(window) >= 3 and len({r[2] for r in window} - {None}) >= 3
+            expected += [(k, window[0][0], window[-1][0], len(window), window[0][1], window[-1][1])] if good else []
+            i += len(window) if good else 1
+    assert sorted((r.k, r.start_s, r.end_s, r.n, r.first_id, r.last_id) for r in found.collect()) == sorted(expected)
+    assert any("RangeFrame" in p for p in plans)
+    frames = [f for p in plans for f in p.split("specifiedwindowframe(RangeFrame, ")[1:]]
+    assert all(f.startswith("unboundedpreceding$()") for f in frames)
