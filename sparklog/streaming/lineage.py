@@ -1,19 +1,21 @@
 """Parents and first-seen hashes of process starts over a stream, with state per process number, GUID or name.
 
-The twin of ``operators.lineage.with_parents``.  State is keyed by (computer, what is looked up), not by host: a
+The twin of ``operators.lineage.with_parents``.  State is kept by (computer, what is looked up), not by host: a
 start is a version of its own number and GUID, an end one of its number, and a child looks its parent's up.  So the
-starts of a busy host are spread over all tasks, and a task sees the few rows of one number at a time.
+starts of a busy host are spread over all tasks.  Keys are grouped in ``BUCKETS`` by a hash: a group's state comes and
+goes with its rows, once a trigger, where a call per GUID, or per entry of its state, costs far more than the lookup.
 """
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from sparklog.operators.lineage import ENDS, STARTS
 
@@ -21,39 +23,35 @@ from sparklog.operators.lineage import ENDS, STARTS
 KEEP = 60 * 86_400
 OUT = "kind string, computer string, source_file string, record_id long, entry_id long, entry_file string, parent string, flag boolean"
 _NAMES = [c.split()[0] for c in OUT.split(", ")]
+_ROWS = ["computer", "what", "sec", "record_id", "source_file", "role", "own"]
+#: Groups that all numbers, GUIDs and names are dealt over, fixed for a stream's life; a group is one call a trigger.
+BUCKETS = 1024
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Versions(StatefulProcessor):
-    """Starts and ends of one process number or GUID of a host, and hashes of one process name.
+def _versions(keep: int):
+    """Starts and ends of the process numbers and GUIDs of a bucket, and hashes of its process names.
 
     A lookup finds the latest version strictly before the child by time and key, so rows of a trigger, and rows that
     come late, need no order.  Behind the watermark only the latest start and end stay.
     """
 
-    def __init__(self, keep: int):
-        self.keep = keep
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.versions = handle.getMapState("versions", "sec long, record_id long, source_file string, ended boolean", "name string")
-        self.hashes = handle.getMapState("hashes", "hash string", "sec long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        computer, what = key
-        children, hashed, new, latest = [], [], {}, 0
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                at, latest = (int(r.sec), int(r.record_id), r.source_file), max(latest, int(r.sec))
-                if r.role == "child":
-                    children.append((at, r.own))
-                elif r.role == "hash":
-                    hashed.append((at, r.own))
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs() // 1000
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        out, changed, brought = [], False, {}
+        for frame in frames:
+            for computer, what, sec, record, file, role, own in zip(*[frame[c].tolist() for c in _ROWS]):
+                children, hashed, new = brought.setdefault((computer, what), ([], [], {}))
+                if role == "child":
+                    children.append(((sec, record, file), own))
+                elif role == "hash":
+                    hashed.append(((sec, record, file), own))
                 else:
-                    new[(*at, r.role == "end")] = r.own
-        out = []
-        if new or children:
-            found = {tuple(k): v[0] for k, v in self.versions.iterator()} | new
+                    new[(sec, record, file, role == "end")] = own
+        for (computer, what), (children, hashed, new) in brought.items():
+            versions, hashes, latest = held.get((computer, what), ({}, {}, 0))
+            found = versions | new
             starts, ends = (sorted(k[:3] for k in found if k[3] == ended) for ended in (False, True))
             for at, own in children:
                 p, e = bisect_left(starts, at), bisect_left(ends, at)
@@ -61,33 +59,27 @@ class _Versions(StatefulProcessor):
                 over = bool(start and end and end > start and end[0] < at[0])
                 parent = None if over else (found[(*start, False)] if start else own)
                 out.append(("parent", computer, at[2], at[1], start and start[1], start and start[2], parent, over))
-            self._store(found, new, timerValues.getCurrentWatermarkInMs() // 1000)
-        for at, value in sorted(hashed):
-            known = self.hashes.exists()
-            fresh = known and not self.hashes.containsKey((value,))
-            if not known or fresh:
-                self.hashes.updateValue((value,), (at[0],))
-            out.append(("hash", computer, at[2], at[1], None, None, what[2:], bool(fresh)))
-        if new or hashed:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((latest + self.keep) * 1000)
-        yield pd.DataFrame(out, columns=_NAMES).astype({"record_id": "Int64", "entry_id": "Int64"})
-
-    def _store(self, found: dict, new: dict, watermark: int) -> None:
-        for k, name in new.items():
-            self.versions.updateValue(k, (name,))
-        for ended in (False, True):
-            for k in sorted(k for k in found if k[3] == ended and k[0] < watermark)[:-1]:
-                self.versions.removeKey(k)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.versions.clear()
-        self.hashes.clear()
-        yield pd.DataFrame([], columns=_NAMES).astype({"record_id": "Int64", "entry_id": "Int64"})
-
-    def close(self) -> None:
-        pass
+            for at, value in sorted(hashed):
+                out.append(("hash", computer, at[2], at[1], None, None, what[2:], bool(hashes) and value not in hashes))
+                hashes.setdefault(value, at[0])
+            if new or hashed:
+                for ended, all_of in ((False, starts), (True, ends)):
+                    for k in all_of[: max(0, bisect_left(all_of, (watermark,)) - 1)]:
+                        del found[(*k, ended)]
+                held[computer, what], changed = (found, hashes, max(latest, *[k[0] for k in new], *[at[0] for at, _ in hashed])), True
+        for k in [k for k, (_, _, latest) in held.items() if latest + keep <= watermark]:
+            del held[k]
+            changed = True
+        if held:
+            if changed:
+                state.update((pickle.dumps(held),))
+            state.setTimeoutTimestamp((min(latest for _, _, latest in held.values()) + keep) * 1000)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=_NAMES).astype({"record_id": "Int64", "entry_id": "Int64"})
+
+    return run
 
 
 def lineage(events: DataFrame, late: str = "10 minutes", keep: int = KEEP) -> DataFrame:
@@ -116,7 +108,7 @@ def lineage(events: DataFrame, late: str = "10 minutes", keep: int = KEEP) -> Da
         )
     )
     rows = events.withWatermark("ts", late).select("ts", "computer", F.unix_timestamp("ts").alias("sec"), "event.*", F.explode(roles).alias("r")).select("ts", "computer", "sec", "record_id", "source_file", "r.*")
-    kept = rows.groupBy("computer", "what").transformWithStateInPandas(_Versions(keep), OUT, "append", "eventTime")
+    kept = rows.withColumn("bucket", F.pmod(F.hash("computer", "what"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(_versions(keep), OUT, "held binary", "append", "EventTimeTimeout")
     alone = events.where(start & ~by_guid & ~by_number)
     none = F.lit(None)
     return kept.union(alone.select(F.lit("parent"), "computer", "event.source_file", "event.record_id", none.cast("long"), none.cast("string"), own, F.lit(False)))

@@ -48,3 +48,25 @@ def test_lineage_over_triggers(spark):
     assert sorted(((r.source_file, r.record_id, r.entry_file, r.entry_id, r.parent, r.flag) for r in got if r.kind == "parent"), key=str) == want
     assert {(r.source_file, r.record_id) for r in got if r.kind == "hash" and r.flag} == new_hashes(rows)
     assert sum(r.kind == "hash" for r in got) == sum(bool(r[12]) for r in rows)
+
+
+def test_lineage_state_is_kept_by_bucket(spark, monkeypatch):
+    """Many GUIDs over triggers need few calls; a row looks up what earlier triggers brought, unless its key has been forgotten."""
+    monkeypatch.setattr(lineage, "BUCKETS", 8, raising=False)
+    start = lambda i, sec, guid, parent: (i, "f", sec, 1, "A", f"{guid}.exe", "own.exe", "0", "0", guid, parent, "u", "")
+    first = [start(i, 1000 + i, f"g{i}", "") for i in range(300)]
+    second = [start(300 + i, 2000 + i, f"c{i}", f"g{i}") for i in range(300)]
+    fresh, later = [start(600, 9000, "x", "")], [start(603, 9050, "w", "")]
+    last = [start(601, 9100, "y", "g5"), start(602, 9101, "z", "c250")]
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for k, rows in enumerate((first, second, fresh, later, last)):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/in-{k}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in-*").withColumn("ts", F.timestamp_seconds("sec"))
+    kept = lineage.lineage(process_events(stream, "ts"), late="5 seconds", keep=6800)
+    query = kept.writeStream.format("memory").queryName("kept_by_bucket").trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).start()
+    query.awaitTermination()
+    parents = {r.record_id: r.parent for r in spark.table("kept_by_bucket").where("kind = 'parent'").collect()}
+    assert len(parents) == 604 and all(parents[300 + i] == f"g{i}.exe" for i in range(300))
+    # behind the watermark of the trigger before the last, g5's last version is by 7,990 s, c250's by 6,745 s
+    assert (parents[601], parents[602]) == ("own.exe", "c250.exe")
+    assert all(int(p["stateOperators"][0]["numRowsTotal"]) <= 8 for p in query.recentProgress)
